@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import table
 from spanloom.llm.line_dedup import dedup_lines
+from spanloom.llm.minhash import near_duplicates
 from spanloom.llm.mixing import mix
 from spanloom.llm.tokens import count_tokens
 from spanloom.llm.url_filter import Rule, filter_urls
@@ -16,6 +17,10 @@ from spanloom.llm.url_filter import Rule, filter_urls
 URL_RULES = [Rule.of("net/", "block"), Rule.of("example.net/en/", "allow"), Rule.of("example.com/de/", "block"), Rule.of("org/fr/", "allow")]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_mix_sources": op8_mix_sources,

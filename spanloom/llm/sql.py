@@ -57,4 +57,22 @@ m AS (SELECT b.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdi
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM b LEFT JOIN m USING (page_id)
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op8_mix_sources": MIX, "op10_url_filter": URLS}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+r AS (SELECT sh.doc_id, sh.s FROM sh SEMI JOIN shared USING (s)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * n_both >= 75 * (a.n + b.n - n_both)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.y AS v, c.c FROM c JOIN e ON e.x = c.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN (SELECT v AS doc_id, min(c) AS component_id FROM c GROUP BY v) m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_line_dedup": LINE_DEDUP, "op8_mix_sources": MIX, "op10_url_filter": URLS}
