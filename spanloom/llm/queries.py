@@ -11,6 +11,7 @@ from spanloom.llm.common import table
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.minhash import near_duplicates
 from spanloom.llm.mixing import mix
+from spanloom.llm.suffix_dedup import dedup_substrings
 from spanloom.llm.tokens import count_tokens
 from spanloom.llm.url_filter import Rule, filter_urls
 
@@ -36,6 +37,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dedup_substrings(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -45,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_mix_sources": op8_mix_sources,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }

@@ -75,4 +75,21 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d JOIN (SELECT v AS doc_id, min(c) AS component_id FROM c GROUP BY v) m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_line_dedup": LINE_DEDUP, "op8_mix_sources": MIX, "op10_url_filter": URLS}
+SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+s AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS k FROM b, unnest(range(0, greatest(n - 99, 0))) AS u(i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM s),
+l AS (SELECT doc_id, i FROM f WHERE r > 1),
+m AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+r AS (SELECT doc_id, g, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY ALL),
+c AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS after FROM r),
+k AS (SELECT c.doc_id, min(lo) AS first, sum(hi - lo) AS removed, count(*) AS spans,
+             string_agg(substr(b.h, CAST(2 * hi + 1 AS BIGINT), CAST(2 * (coalesce(after, b.n) - hi) AS BIGINT)), '' ORDER BY lo) AS rest FROM c JOIN b USING (doc_id) GROUP BY c.doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, coalesce(k.spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN b.h ELSE substr(b.h, 1, CAST(2 * k.first AS BIGINT)) || k.rest END)) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_line_dedup": LINE_DEDUP, "op8_mix_sources": MIX, "op9_suffix_dedup": SUFFIX_DEDUP, "op10_url_filter": URLS}
