@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm import toxicity
 from spanloom.llm.common import table
 from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.line_dedup import dedup_lines
@@ -28,6 +29,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def third(id_col: str = "doc_id"):
+    """Column: the remainder by 3 of the CRC-32 of an id's text; null without id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), third() != 1)
+    held = F.coalesce(third() == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op8_mix_sources": op8_mix_sources,
