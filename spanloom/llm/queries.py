@@ -16,6 +16,7 @@ from spanloom.llm.mixing import mix
 from spanloom.llm.suffix_dedup import dedup_substrings
 from spanloom.llm.tokens import count_tokens
 from spanloom.llm.url_filter import Rule, filter_urls
+from spanloom.llm.vectors import near_vectors
 
 URL_RULES = [Rule.of("net/", "block"), Rule.of("example.net/en/", "allow"), Rule.of("example.com/de/", "block"), Rule.of("org/fr/", "allow")]
 
@@ -45,6 +46,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = count_tokens(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_bytes", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.transform("section_tokens", lambda x: x.cast("long")).alias("section_tokens"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,

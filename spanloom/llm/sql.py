@@ -92,4 +92,14 @@ SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_rem
 FROM b LEFT JOIN k USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_line_dedup": LINE_DEDUP, "op8_mix_sources": MIX, "op9_suffix_dedup": SUFFIX_DEDUP, "op10_url_filter": URLS}
+VECTORS = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+c AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.y AS v, c.c FROM c JOIN l ON l.x = c.v),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT m.v AS vec_id, coalesce(n.n, 0) AS n_links, m.component_id, m.v = m.component_id AS kept
+FROM (SELECT v, min(c) AS component_id FROM c GROUP BY v) m LEFT JOIN n ON n.x = m.v
+"""
+
+SQL: dict[str, str] = {"op1_minhash_dedup": NEAR_DUPLICATES, "op2_line_dedup": LINE_DEDUP, "op5_vector_dedup": VECTORS, "op8_mix_sources": MIX, "op9_suffix_dedup": SUFFIX_DEDUP, "op10_url_filter": URLS}
