@@ -11,6 +11,7 @@ from spanloom.llm import toxicity
 from spanloom.llm.common import table
 from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.line_dedup import dedup_lines
+from spanloom.llm.lm_score import score_texts
 from spanloom.llm.minhash import near_duplicates
 from spanloom.llm.mixing import mix
 from spanloom.llm.suffix_dedup import dedup_substrings
@@ -55,6 +56,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_tokens", "n_crossing", F.size("section_tokens").cast("long").alias("n_sections"), F.transform("section_tokens", lambda x: x.cast("long")).alias("section_tokens"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    d = score_texts(table(spark, sf_dir, "documents"), F.coalesce(fifth != 1, F.lit(True)))
+    return d.select("doc_id", F.coalesce(fifth == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mix(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"))
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_score": op7_lm_score,
     "op8_mix_sources": op8_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
