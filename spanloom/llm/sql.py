@@ -34,7 +34,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, CAST
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * CAST(source_size AS DOUBLE) AS cap FROM r),
 f AS (SELECT *, (1.5::DOUBLE * total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
        / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-l AS (SELECT min(level) FILTER (WHERE level * weight <= cap) AS level FROM f),
+l AS (SELECT max(level) FILTER (WHERE level * weight <= cap) AS level FROM f),
 t AS (SELECT source, rank, CAST(source_size AS BIGINT) AS source_size, CASE WHEN l.level IS NULL THEN cap ELSE least(cap, weight * l.level) END AS target FROM f, l),
 c AS (SELECT d.doc_id, d.size, t.rank, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c

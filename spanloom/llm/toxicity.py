@@ -166,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     return train([(r[0], r[1].encode(), r[2]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, score, predicted, windows) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, score, predicted, windows) of every row, and the columns of keep."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.differences()
@@ -177,6 +177,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                 raw = data.tobytes()
                 each = [of(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 p = model.probability(each)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([len(d) for d in each], pa.int64())], names=[id_col, "score", "predicted", "windows"])
+                own = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([len(d) for d in each], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kinds] + own, names=[*kinds, "score", "predicted", "windows"])
 
-    return docs.select(id_col, "text").mapInArrow(judge, f"`{id_col}` {kind}, score double, predicted int, windows long")
+    asked = [F.col(f"`{c}`") for c in dict.fromkeys((*kinds, "text"))]
+    return docs.select(asked).mapInArrow(judge, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", score double, predicted int, windows long")
