@@ -14,6 +14,7 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
