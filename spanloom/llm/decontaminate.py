@@ -83,7 +83,7 @@ class Items:
 
     def __init__(self, texts: list[str], share: float, stride: int):
         raw = [(t or "").encode() for t in texts]
-        at = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        at = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         self.symbols, self.first = hashed_words(np.frombuffer(b"".join(raw), dtype=np.uint8), at)
         self.size = np.diff(self.first)
         self.most = (self.size * share + 1e-9).astype(np.int64)
