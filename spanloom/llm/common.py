@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,16 +168,53 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+#: Edges that one task contracts.
+CONTRACT = 500_000
+
+
+def roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that links between m nodes reach from each (minimum propagation with jumps)."""
+    label = np.arange(m)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v) as stars (node, least node) of each task's own components: at most one row for each node and task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            both = pa.concat_arrays([*t["u"].chunks, *t["v"].chunks])
+            names = both.unique()
+            names = names.take(pc.sort_indices(names))
+            at = pc.index_in(both, names).to_numpy()
+            root = roots(len(names), at[: t.num_rows], at[t.num_rows :])
+            own = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(root[own]))], names=["u", "v"])
+
+    return edges.select("u", "v").repartition(tasks).mapInArrow(contract, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
-    Alternates large-star and small-star steps (MapReduce connected components) until nothing changes. Every step
-    is a minimum by key, which is combined before the shuffle, and a join back, which AQE may split at hubs.
+    Each task first contracts its CONTRACT edges to stars.  If there is more than one, large-star and small-star steps (MapReduce connected components) alternate
+    until nothing changes: each is a minimum by key, which is combined before the shuffle, and a join back, which AQE may split at hubs.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = scratch.keep(e)
+    e = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    tasks = 1 + e.count() // CONTRACT
+    e = scratch.keep(contracted(e, tasks))
     seen = None
-    while True:
+    while tasks > 1:
         n = scratch.n
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -184,12 +222,11 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e2 = scratch.keep(small)
-        now = e2.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
+        e = scratch.keep(small)
+        now = e.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
         scratch.drop(n)
-        e = e2
         if tuple(now) == seen:
             break
         seen = tuple(now)
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    centres = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

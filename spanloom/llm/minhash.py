@@ -7,11 +7,11 @@ to be found.  A node with one document ends; a node of at most ``SMALL`` documen
 
 Comparison of nodes doesn't emit all pairs of a group.  In some rounds every document meets one pivot of its node, and only pairs that aren't
 connected yet are confirmed; a large group of near copies so costs as many pairs as it has documents.  Then all pairs of a node that are still
-in different components, and whose 64 minima agree often enough, are confirmed: those outside a node's largest component against
+in different components, and whose 128 minima agree often enough, are confirmed: those outside a node's largest component against
 all of the node, in blocks of at most SMALL; this is the exact way for nodes that stay large at the last depth.  Links are confirmed on full sets.
 
 Recall: a pair at the threshold shares a root child in 1 - 0.25 ** (root tokens) of cases, over 0.9999; for pairs in nodes that branch to
-DEPTH it stays over 0.99 with TREES trees.  The agreement of minima that is asked for lies 3.7 standard deviations under the threshold.
+DEPTH it stays over 0.99 with TREES trees.  The agreement of minima that is asked for lies 3.4 standard deviations under the threshold.
 
 Defined results: null, empty or blank text has no set (n_shingles 0), links with nothing and is kept; equal texts are in one component; rows that share an id are one
 node of the graph; a row without id links with nothing, has a null component and is kept; an empty table gives an empty result; other columns are not read.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import BASES, U64, Scratch, components, mix64, signed, text_blocks
 from spanloom.llm.shingles import linked, shingle_hashes, shingle_sets
 
-K, TREES, SMALL, DEPTH, ROUNDS = 64, 12, 128, 4, 4
-SLACK = 0.20
+K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 4, 3
+SLACK = 0.13
 #: Ids up to this many are broadcast to pick the texts to confirm; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -200,19 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
     texts = scratch.keep(texts)
     sig_a, sig_b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
 
-    links, comp = None, None
+    links, label = None, None
     for r in range(ROUNDS):
         pairs = found.select(F.col("id").alias("a"), F.col(f"p{r}").alias("b")).where("a <> b").distinct()
-        if comp is not None:
-            ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ka")), comp.select(F.col("node").alias("b"), F.col("component").alias("kb"))
+        if label is not None:
+            ca, cb = (label.select(F.col("node").alias(x), F.col("component").alias("k" + x)) for x in "ab")
             pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ka, a) <> coalesce(kb, b)").select("a", "b")
-        pairs = pairs.join(sig_a, "a").where(F.col("na") > 0).join(sig_b, "b").where("100 * least(na, nb) >= " + str(percent) + " * greatest(na, nb)")
-        pairs = alike(pairs, similarity - SLACK)
-        more = scratch.keep(confirmed(pairs, texts, percent))
-        if more.isEmpty() and links is not None:
-            continue
-        links = more if links is None else scratch.keep(links.unionByName(more))
-        comp = components(links, scratch)
+        pairs = pairs.join(sig_a, "a").join(sig_b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        more = scratch.keep(confirmed(alike(pairs, similarity - SLACK), texts, percent))
+        links = more if links is None else links.unionByName(more)
+        # Labels only spare pairs that are connected already; a round without links changes nothing.
+        if r == 0 or r == ROUNDS - 1 or not more.isEmpty():
+            label = components(links, scratch)
+    comp = label
 
     rows = found.select("node", "id", "size").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_part = rows.groupBy("node", "component").agg(F.count("*").alias("m"))
