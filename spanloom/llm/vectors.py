@@ -5,7 +5,7 @@
    A shard over ``LIMIT`` is dealt on into blocks, and each pair of blocks becomes a shard: the exact way for clusters that don't split.
 3. In each shard every node keeps at most ``DEGREE`` neighbours by robust pruning (a candidate goes if a kept one is nearer to it, by ALPHA), of its nearest and some
    random candidates, and backward edges. A node's lists of all its shards are united.
-4. Each node of a shard is sought from the shard's medoid: best first over ``BEAM`` expansions, then on through all nodes in range. What is found is verified by
+4. Each node of a shard is sought from the shard's medoid and from its own place: best first over ``BEAM`` expansions, then on through all nodes in range. What is found is verified by
    its cosine in double precision. A pair that several shards hold counts in one (the least shard they share); so no pair leaves its task, only counts and spanning links.
 5. Components of the links, counts of links.
 
@@ -25,11 +25,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, components
+from spanloom.llm.common import Scratch, components, roots
 
-SAMPLE, CENTRES, SHARD, OVERLAP, LIMIT = 20_000, 4096, 1024, 3, 12_000
+SAMPLE, CENTRES, SHARD, OVERLAP, LIMIT = 20_000, 4096, 256, 3, 12_000
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 40, 24, 1.15
-BEAM, AT_ONCE, SLACK, BATCH = 48, 8, 0.04, 256
+BEAM, AT_ONCE, SLACK, BATCH = 32, 8, 0.04, 256
 BY = 50
 
 
@@ -88,7 +88,13 @@ def graph(v: np.ndarray, seed: int = 11) -> list[np.ndarray]:
     for i, n in enumerate(out):
         for j in n:
             back[j].append(i)
-    return [np.unique(np.concatenate((n, np.array(b[: 2 * DEGREE], np.int64)))) if len(b) else n for n, b in zip(out, back, strict=True)]
+    # A hub keeps the first of its backward edges; the others hang on those as a tree, so that no node is out of reach.
+    most = 2 * DEGREE
+    tree: list[list[int]] = [[] for _ in range(m)]
+    for b in back:
+        for j in range(most, len(b)):
+            tree[b[j // most - 1]].append(b[j])
+    return [np.unique(np.concatenate((n, np.array(b[:most] + t, np.int64)))) if b or t else n for n, b, t in zip(out, back, tree, strict=True)]
 
 
 def padded(lists: list[np.ndarray]) -> np.ndarray:
@@ -99,7 +105,7 @@ def padded(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def found(v: np.ndarray, near: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, rows in range) of a greedy search from the medoid that expands its range; each row of v is a query."""
+    """(queries, rows in range) of a greedy search from the medoid and its own node that expands its range; each row of v is a query."""
     m = len(v)
     mean = v.mean(axis=0)
     start = int((v @ mean).argmax())
@@ -109,6 +115,7 @@ def found(v: np.ndarray, near: np.ndarray, threshold: float) -> Iterator[tuple[n
         sims = np.full((len(q), m), -np.inf)  # of rows that have been visited
         left = np.full((len(q), m), -np.inf)  # of those that may still be expanded
         sims[:, start] = left[:, start] = v[q] @ v[start]
+        sims[rows, q] = left[rows, q] = 1.0  # a query is a node itself; among far vectors the walk alone may not come near it
         for turn in range(10 * m):
             wide = turn * AT_ONCE >= BEAM
             many = min(m, 8 * AT_ONCE if wide else AT_ONCE)
@@ -132,26 +139,10 @@ def found(v: np.ndarray, near: np.ndarray, threshold: float) -> Iterator[tuple[n
                 s = np.einsum("ij,ij->i", v[q[rr]], v[nn])
                 sims[rr, nn] = s
                 left[rr, nn] = s
-        del rows
         r, n = np.nonzero(sims >= threshold - 1e-9)
         yield q[r], n
 
 
-def roots(m: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each node the first, by order, that links reach (minimum propagation with jumps)."""
-    label = order.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        by = np.empty(m, dtype=np.int64)
-        by[order] = np.arange(m)
-        new = np.minimum(new, new[by[new]])
-        if (new == label).all():
-            return by[label]
-        label = new
-
-
 def usable(df: DataFrame, vec_col: str, label_col: str):
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -245,7 +236,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         n = np.zeros(m, dtype=np.int64)
         np.add.at(n, a[mine], c[b[mine]])
         np.add.at(n, b[mine], c[a[mine]])
-        root = roots(m, a, b, np.arange(m)) if len(a) else np.arange(m)
+        root = roots(m, a, b) if len(a) else np.arange(m)
         return pa.table([t["label"].combine_chunks(), rep, pa.array(n), rep.take(pa.array(root))], names=["label", "rep", "n", "root"])
 
     out = scratch.keep(ready.groupBy("label", "dim", "shard").applyInArrow(search, f"label {label_kind}, rep {id_kind}, n long, root {id_kind}"))
