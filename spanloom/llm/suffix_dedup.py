@@ -4,8 +4,9 @@ Which bytes are covered by a string of ``length`` bytes that also starts earlier
 dealt by content.  Every string of ``length`` bytes has one anchor: of its ``GRAM``-byte grams the one with the least hash (the leftmost on ties), which depends on
 the string alone; so all copies of a string have the same anchor gram.  Consecutive strings with one anchor form a piece (their union, under 2 * length bytes).
 
-1. Grams that are the anchor of one piece only in the whole corpus can't be part of a repeated string and go (an aggregate by gram, combined before its shuffle, and a join back).
-2. Equal pieces (same gram, same bytes by a 128-bit hash) are combined into their first occurrence; all strings of the later ones start earlier there.
+1. Pieces are dealt by their gram and sorted within their task by gram, bytes (a 96-bit hash) and place. Read as a stream, equal pieces of a gram show their first occurrence and
+   the later ones, all of whose strings start earlier there; grams of one piece only go.
+2. What goes on is the first occurrence of each of the different pieces of a gram.
 3. Different pieces of a gram meet in a bundle.  There the texts of the first occurrences are laid one after the other, each with an end of its own, their suffix array is sorted
    to ``length`` bytes by prefix doubling, and the longest common prefixes of neighbours are derived on the transform by increasing value: a border of value v between two rows that
    a letter precedes gives, one step backward by that letter, a border of value v + 1, unless that border has a lesser one already.  Stopping at ``length`` leaves the borders whose prefix is at
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import BASES, U64, Rolling, Scratch, signed, text_blocks
 
-GRAM, MOST = 24, 512
+GRAM = 24
+#: Different pieces of a gram that one task sorts: under 3.3 MB of text and about 250 MB of arrays.
+MOST = 16_384
 #: Bytes of distinct pieces that a bundle holds on average.
 BUNDLE = 1 << 20
 #: A text longer than this many bytes is searched in overlapping stretches of this size, so that memory stays bounded.
@@ -116,12 +119,16 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, p1, p2, id, th, lo, n) of every piece: its anchor's hash, its own hash, its document, first byte and length."""
+    """(gram, p1, p2, id, pos, n) of every piece: its anchor's hash, 96 bits of its own hash, its document, its place and its length.
+
+    A place is 31 bits of the text's hash (so that rows that share an id are told apart) and the first byte.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", 1 << 19):
+                text_bits = part.column(1).to_numpy()
                 for begin in range(0, max(1, len(data) - length + 1), STRETCH):
                     d = data[begin : begin + STRETCH + length - 1]
                     if len(d) < length:
@@ -132,35 +139,76 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
                     anchor = anchors(grams, length - GRAM + 1)
                     text = np.searchsorted(offsets, np.arange(len(anchor)) + begin, side="right") - 1
                     whole = np.arange(len(anchor)) + begin + length <= offsets[text + 1]
-                    lo = np.flatnonzero(whole & np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
-                    end = np.flatnonzero(whole & np.concatenate(((anchor[1:] != anchor[:-1]) | ~whole[1:] | (text[1:] != text[:-1]), [True])))
-                    hi = end + length
-                    row = pa.array(text[lo])
+                    turn = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                    lo = np.flatnonzero(whole & np.concatenate(([True], turn)))
+                    hi = np.flatnonzero(whole & np.concatenate((turn | ~whole[1:], [True]))) + length
+                    row = text[lo]
+                    pos = (text_bits[row] << 32) | (lo + begin - offsets[row])
+                    p2 = (second.spans(lo, hi) >> U64(32)).astype(np.uint32).view(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(grams[anchor[lo]])), pa.array(signed(first.spans(lo, hi))), pa.array(signed(second.spans(lo, hi))), part.column(0).take(row), part.column(1).take(row), pa.array(lo + begin - offsets[text[lo]]), pa.array((hi - lo).astype(np.int32))],
-                        names=["gram", "p1", "p2", "id", "th", "lo", "n"],
+                        [pa.array(signed(grams[anchor[lo]])), pa.array(signed(first.spans(lo, hi))), pa.array(p2), part.column(0).take(pa.array(row)), pa.array(pos), pa.array((hi - lo).astype(np.int32))],
+                        names=["gram", "p1", "p2", "id", "pos", "n"],
                     )
 
-    return docs.select("id", "th", "text").mapInArrow(find, f"gram long, p1 long, p2 long, id {kind}, th long, lo long, n int")
+    return docs.select("id", "bits", "text").mapInArrow(find, f"gram long, p1 long, p2 int, id {kind}, pos long, n int")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Of pieces sorted by gram, own hash and place: the later ones of equal pieces (later is true), and the first ones of grams with different pieces.
+
+    Reads each partition as a stream and holds one batch, so a gram of any size needs no memory of its own.
+    """
+    columns = ["gram", "p1", "p2", "id", "pos", "n"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, own, waiting = None, None, None  # of the last row; waiting: a gram's only class so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, a, b = (batch.column(k).to_numpy() for k in range(3))
+            same_gram = np.concatenate(([gram is not None and g[0] == gram], g[1:] == g[:-1]))
+            same = same_gram & np.concatenate(([own is not None and (a[0], b[0]) == own], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+            new = np.flatnonzero(~same)  # first of their class
+            opens = ~same_gram[new]  # and of their gram
+            follows = np.concatenate((~opens[1:], [False]))  # another class of the gram comes in this batch
+            if waiting is not None and len(new):
+                if not opens[0]:
+                    yield waiting
+                waiting = None
+            out = new[~opens | follows]
+            if len(new) and opens[-1]:
+                waiting = flagged(batch.slice(int(new[-1]), 1), False)
+            gram, own = g[-1], (a[-1], b[-1])
+            yield flagged(batch.take(pa.array(np.flatnonzero(same))), True)
+            yield flagged(batch.take(pa.array(out)), False)
+
+    def flagged(rows: pa.RecordBatch, later: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, later))], names=[*columns, "later"])
+
+    kind = found.schema["id"].dataType.simpleString()
+    return found.select(*columns).mapInArrow(walk, f"gram long, p1 long, p2 int, id {kind}, pos long, n int, later boolean")
 
 
 def with_bytes(firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of firsts (gram, p1, p2, id, th, lo, n, kinds) with the bytes of their pieces instead of n."""
-    asked = firsts.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "p1", "p2", "lo", "n", "kinds")).alias("asked"))
-    both = docs.join(asked, docs["id"].eqNullSafe(asked["id"]) & (docs["th"] == asked["th"])).select(docs["id"], docs["th"], F.encode("text", "UTF-8").alias("raw"), "asked")
-    flat = both.select("id", "th", "raw", F.explode("asked").alias("x"))
-    got = flat.select("x.gram", "x.p1", "x.p2", "id", "th", "x.lo", "x.kinds", F.substr("raw", F.col("x.lo").cast("int") + 1, F.col("x.n")).alias("bytes"))
-    return got.dropDuplicates(["gram", "p1", "p2"])  # rows that share id and text answer once
+    """The rows of firsts (gram, p1, p2, id, pos, n) with the bytes of their pieces; rows of docs that share id and text answer more than once."""
+    asked = firsts.withColumn("bits", F.shiftright("pos", 32)).groupBy("id", "bits").agg(F.collect_list(F.struct("gram", "p1", "p2", "pos", "n")).alias("asked"))
+    both = docs.join(asked, docs["id"].eqNullSafe(asked["id"]) & (docs["bits"] == asked["bits"])).select(docs["id"], F.encode("text", "UTF-8").alias("raw"), "asked")
+    flat = both.select("id", "raw", F.explode("asked").alias("x"))
+    first = F.col("x.pos").bitwiseAND((1 << 32) - 1).cast("int") + 1
+    return flat.select("x.gram", "x.p1", "x.p2", "id", "x.pos", F.substr("raw", first, F.col("x.n")).alias("bytes"))
 
 
 def expand(bundled: DataFrame, length: int) -> DataFrame:
-    """(gram, p1, p2, from, to): stretches of a first occurrence's strings that start earlier in another piece of its gram. bundled: sorted by bundle."""
+    """(id, pos, n): stretches of a first occurrence's strings that start earlier in another piece of its gram. bundled: (bundle, gram, p1, p2, id, pos, bytes) sorted by bundle, id and pos."""
+    kind = bundled.schema["id"].dataType.simpleString()
+
     def search(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        texts = [np.frombuffer(x, dtype=np.uint8) for x in t["bytes"].to_pylist()]
-        place = t["place"].to_numpy()
-        piece, offset, group = repeats(texts, length)
-        o = np.lexsort((offset, place[piece], group))
+        p = np.stack([t[c].to_numpy() for c in ("gram", "p1", "p2")], axis=1)
+        _, once = np.unique(p, axis=0, return_index=True)
+        t = t.take(pa.array(np.sort(once)))  # rows stay in the corpus' order
+        piece, offset, group = repeats([np.frombuffer(x, dtype=np.uint8) for x in t["bytes"].to_pylist()], length)
+        o = np.lexsort((offset, piece, group))
         piece, offset, group = piece[o], offset[o], group[o]
         later = np.concatenate(([False], group[1:] == group[:-1])) if len(group) else np.zeros(0, bool)
         piece, offset = piece[later], offset[later]
@@ -169,8 +217,8 @@ def expand(bundled: DataFrame, length: int) -> DataFrame:
         fresh = np.concatenate(([True], (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(piece) else np.zeros(0, bool)
         a = np.flatnonzero(fresh)
         b = np.concatenate((a[1:] - 1, [len(piece) - 1])) if len(a) else a
-        rows_of = pa.array(piece[a], pa.int64())
-        return pa.RecordBatch.from_arrays([*[t[c].combine_chunks().take(rows_of) for c in ("gram", "p1", "p2")], pa.array(offset[a].astype(np.int32)), pa.array((offset[b] + length).astype(np.int32))], names=["gram", "p1", "p2", "from", "to"])
+        pos = t["pos"].to_numpy()[piece[a]]
+        return pa.RecordBatch.from_arrays([t["id"].combine_chunks().take(pa.array(piece[a], pa.int64())), pa.array(pos + offset[a]), pa.array((offset[b] - offset[a] + length).astype(np.int64))], names=["id", "pos", "n"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,81 +237,66 @@ def expand(bundled: DataFrame, length: int) -> DataFrame:
         if held:
             yield search(held)
 
-    return bundled.mapInArrow(walk, "gram long, p1 long, p2 long, from int, to int")
+    return bundled.mapInArrow(walk, f"id {kind}, pos long, n long")
 
 
 def strings(rows: DataFrame, length: int) -> DataFrame:
-    """(s1, s2, id, th, lo) of every string of rows (id, th, lo, bytes): the way of grams with too many pieces."""
+    """(s1, s2, id, pos) of every string of rows (id, pos, bytes): the way of grams with too many pieces."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                raw = part.column(3).to_pylist()
+                raw = part.column(2).to_pylist()
                 data = np.frombuffer(b"".join(raw), dtype=np.uint8)
                 size = np.array([len(x) for x in raw])
-                at, count = np.concatenate(([0], np.cumsum(size)))[:-1], size - length + 1
+                at, count = np.cumsum(size) - size, size - length + 1
                 row = np.repeat(np.arange(len(raw)), count)
                 o = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 lo = at[row] + o
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(Rolling(data, b).spans(lo, lo + length))) for b in BASES] + [part.column(0).take(take), part.column(1).take(take), pa.array(part.column(2).to_numpy()[row] + o)], names=["s1", "s2", "id", "th", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(Rolling(data, b).spans(lo, lo + length))) for b in BASES] + [part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + o)], names=["s1", "s2", "id", "pos"])
 
-    return rows.select("id", "th", "lo", "bytes").mapInArrow(find, f"s1 long, s2 long, id {kind}, th long, lo long")
+    return rows.select("id", "pos", "bytes").mapInArrow(find, f"s1 long, s2 long, id {kind}, pos long")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
-    """(id, th, spans array<struct<lo, hi>>) of the documents (id, th, text) that lose bytes; spans may overlap."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = pieces(docs, length)  # found twice: that costs less than to keep it
-    twice = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    twice = scratch.keep(twice)
-    again = scratch.keep(found.join(twice, "gram"))
+    """(id, bits, spans array<struct<lo, n>>) of the documents (id, bits, text) that lose bytes; spans may overlap."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct("id", "pos")
+    by_gram = pieces(docs, length).repartition(n, "gram").sortWithinPartitions("gram", "p1", "p2", "id", "pos")
+    known = scratch.keep(judged(by_gram))
     scratch.settle()
-    firsts = again.groupBy("gram", "p1", "p2").agg(F.min(F.struct("id", "th", "lo", "n")).alias("f"), F.max(F.struct("id", "th", "lo")).alias("l"))
-    kinds = firsts.groupBy("gram").agg(F.count("*").alias("kinds"))
-    firsts = scratch.keep(firsts.join(kinds, "gram"))
-    scratch.settle()
-
-    place = F.struct("id", "th", "lo")
-    equal = again.join(firsts.where(F.struct("f.id", "f.th", "f.lo") != F.col("l")).select("gram", "p1", "p2", F.struct("f.id", "f.th", "f.lo").alias("f")), ["gram", "p1", "p2"])
-    equal = equal.where(~place.eqNullSafe(F.col("f"))).select("id", "th", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    equal = known.where("later").select("id", "pos", F.col("n").cast("long").alias("n"))
+    varied = known.where("NOT later").drop("later")
+    many = scratch.keep(varied.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("gram"))
 
-    varied = firsts.where("kinds > 1").select("gram", "p1", "p2", "f.*", "kinds")
-    texts = scratch.keep(with_bytes(varied, docs))
-    scratch.settle()
-    usual = texts.where(F.col("kinds") <= MOST)
-    volume = usual.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    usual = varied.join(many, "gram", "left_anti")
+    volume = varied.agg(F.sum("n")).first()[0] or 0
     bundles = max(1, volume // BUNDLE)
-    order = F.struct("id", "th", "lo")
-    usual = usual.withColumn("bundle", F.pmod(F.xxhash64("gram"), F.lit(bundles))).repartition(min(bundles, max(n, bundles // 8)), "bundle")
-    # The place of a piece in the corpus, as a number within its task's rows: rows come in corpus order, and keep it.
-    usual = usual.sortWithinPartitions("bundle", "id", "th", "lo").select("bundle", "gram", "p1", "p2", "id", "th", "lo", "bytes", F.monotonically_increasing_id().alias("place"))
-    inner = expand(usual, length)
-    # What a first occurrence loses, every equal piece loses as well; the later ones lose all already.
-    one = firsts.select("gram", "p1", "p2", "f.id", "f.th", "f.lo")
-    varying = inner.join(one, ["gram", "p1", "p2"]).select("id", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
-
-    hot = strings(texts.where(F.col("kinds") > MOST), length)
-    hot = scratch.keep(hot)
-    first = hot.groupBy("s1", "s2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l").drop("l")
-    hot = hot.join(first, ["s1", "s2"]).where(~order.eqNullSafe(F.col("f"))).select("id", "th", "lo", (F.col("lo") + length).alias("hi"))
+    usual = with_bytes(usual, docs).withColumn("bundle", F.pmod(F.xxhash64("gram"), F.lit(bundles)))
+    usual = usual.repartition(max(1, min(bundles, max(n, bundles // 8))), "bundle").sortWithinPartitions("bundle", "id", "pos")
+    varying = scratch.keep(expand(usual.select("bundle", "gram", "p1", "p2", "id", "pos", "bytes"), length))
+    scratch.settle()
 
-    every = equal.unionByName(varying).unionByName(hot)
-    return every.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    hot = scratch.keep(strings(with_bytes(varied.join(many, "gram"), docs), length)) if not many.isEmpty() else None
+    every = equal.unionByName(varying)
+    if hot is not None:
+        first = hot.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").drop("l")
+        every = every.unionByName(hot.join(first, ["s1", "s2"]).where(~place.eqNullSafe(F.col("f"))).select("id", "pos", F.lit(length).cast("long").alias("n")))
+    every = every.select("id", F.shiftright("pos", 32).alias("bits"), F.col("pos").bitwiseAND((1 << 32) - 1).alias("lo"), "n")
+    return every.groupBy("id", "bits").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", length: int = 100) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, spans, kept) of every row: the removed runs of bytes and the bytes that stay. See the module's text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+    scratch = Scratch(docs.sparkSession, "suffix")
     kind = docs.schema[id_col].dataType.simpleString()
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    d = d.withColumn("bits", F.xxhash64("text").bitwiseAND((1 << 31) - 1))
     gone = scratch.keep(repeated_spans(d, scratch, length))
     scratch.settle()
-    both = d.join(gone, d["id"].eqNullSafe(gone["id"]) & (d["th"] == gone["th"]), "left").select(d["id"], "text", "spans")
+    both = d.join(gone, d["id"].eqNullSafe(gone["id"]) & (d["bits"] == gone["bits"]), "left").select(d["id"], "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +306,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", length: int = 100)
                 for k in range(part.num_rows):
                     d = data[offsets[k] : offsets[k + 1]]
                     pairs = given[k].values.flatten() if given[k].is_valid else None
-                    lo, hi = merged(pairs[0].to_numpy(), pairs[1].to_numpy()) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    lo, n = (x.to_numpy() for x in pairs) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    lo, hi = merged(lo, lo + n)
                     step = np.zeros(len(d) + 1, dtype=np.int32)
                     step[lo] += 1
                     step[hi] -= 1
-                    left = d[np.cumsum(step[:-1]) == 0].tobytes()
                     size.append(len(d))
                     removed.append(int((hi - lo).sum()))
                     spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi, strict=True)])
-                    kept.append(left)
+                    kept.append(d[np.cumsum(step[:-1]) == 0].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())],
                     names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"],
