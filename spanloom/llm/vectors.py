@@ -1,10 +1,12 @@
 """Embedding near-dedup on a robust-pruned flat graph, built on overlapping cluster shards.
 
 1. Equal vectors of a label are one class, stood for by its smallest id (an aggregate, combined before its shuffle): a thousand copies cost one node.
-2. Centres are fitted per label on a bounded sample (``SAMPLE`` vectors in all, ``CENTRES`` centres in all); every class goes to its ``OVERLAP`` nearest shards.
+2. Centres are fitted per label on a bounded sample (``SAMPLE`` vectors in all, ``CENTRES`` centres in all). Centres that are nearer to each other than two linked vectors may be are one shard, so that a group of near copies isn't split.
+   A class goes to its nearest centre and to every centre that the midpoint of a link from it may be nearest to: with home h and centre i, if (h - i) . v <= |h - i| * half the greatest length of a link.
+   Both ends of a link so meet in the shard of its midpoint, whatever the centres are: no link is lost between shards.
    A shard over ``LIMIT`` is dealt on into blocks, and each pair of blocks becomes a shard: the exact way for clusters that don't split.
 3. In each shard every node keeps at most ``DEGREE`` neighbours by robust pruning (a candidate goes if a kept one is nearer to it, by ALPHA), of its nearest and some
-   random candidates, and backward edges. A node's lists of all its shards are united.
+   random candidates, and backward edges.
 4. Each node of a shard is sought from the shard's medoid and from its own place: best first over ``BEAM`` expansions, then on through all nodes in range. What is found is verified by
    its cosine in double precision. A pair that several shards hold counts in one (the least shard they share); so no pair leaves its task, only counts and spanning links.
 5. Components of the links, counts of links.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Scratch, components, roots
 
-SAMPLE, CENTRES, SHARD, OVERLAP, LIMIT = 20_000, 4096, 256, 3, 12_000
+SAMPLE, CENTRES, SHARD, LIMIT = 20_000, 4096, 2048, 4096
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 40, 24, 1.15
 BEAM, AT_ONCE, SLACK, BATCH = 32, 8, 0.04, 256
 BY = 50
@@ -56,6 +58,27 @@ def centres(sample: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return c
 
 
+def merged(c: np.ndarray, length: float) -> np.ndarray:
+    """For each centre the least one that it is joined to by steps shorter than length."""
+    root, size = np.arange(len(c)), (c * c).sum(axis=1)
+    for lo in range(0, len(c), 256):
+        a, b = np.nonzero(size[lo : lo + 256, None] + size - 2 * c[lo : lo + 256] @ c.T < length * length)
+        root = roots(len(c), np.concatenate((a + lo, np.arange(len(c)))), np.concatenate((b, root)))
+    return root
+
+
+def shards_of(v: np.ndarray, c: np.ndarray, root: np.ndarray, length: float) -> list[list[int]]:
+    """The shards of unit vectors: two that are at most length apart share one, that of the centre nearest to their midpoint."""
+    out, size = [], (c * c).sum(axis=1)
+    for lo in range(0, len(v), 512):
+        sims = v[lo : lo + 512] @ c.T
+        home = sims.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0, size[home, None] + size - 2 * c[home] @ c.T))
+        for row in sims.max(axis=1)[:, None] - sims <= apart * (length / 2) + 1e-9:
+            out.append(np.unique(root[row]).tolist())
+    return out
+
+
 def pruned(node: int, candidates: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Robust pruning: the nearest candidate stays and drops those that it is nearer to, by ALPHA, than the node is."""
     to = 1 - v[candidates] @ v[node]
@@ -170,7 +193,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     by_label: dict = {}
     for r in picked.collect():  # SAMPLE at most
         by_label.setdefault((r.label, r.dim), (r.k, []))[1].append(r.vec)
-    known = spark.sparkContext.broadcast({key: centres(unit(np.array(v)), k) for key, (k, v) in by_label.items()})
+    length = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 1e-9))))
+    fitted = {key: centres(unit(np.array(v)), k) for key, (k, v) in by_label.items()}
+    known = spark.sparkContext.broadcast({key: (c, merged(c, length)) for key, c in fitted.items()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,66 +205,55 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
             shards: list = [[0]] * batch.num_rows
             for key in set(zip(label, dim, strict=True)) & set(known.value):
                 at = [k for k, x in enumerate(zip(label, dim, strict=True)) if x == key]
-                v, c = unit(matrix(batch.column("vec").take(pa.array(at)))), known.value[key]
-                top = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for k, t in zip(at, top, strict=True):
-                    shards[k] = sorted(t.tolist())
+                for k, held in zip(at, shards_of(unit(matrix(batch.column("vec").take(pa.array(at)))), *known.value[key], length), strict=True):
+                    shards[k] = held
             yield batch.select(["label", "dim", "rep", "c", "vec"]).append_column("shards", pa.array(shards, pa.list_(pa.int64())))
 
     dealt = node.select("label", "dim", "rep", "c", "vec").mapInArrow(deal, f"label {label_kind}, dim int, rep {id_kind}, c long, vec array<double>, shards array<long>")
-    flat = dealt.select("label", "dim", "rep", "c", "vec", F.explode("shards").alias("cluster"))
+    flat = dealt.select("label", "dim", "rep", "c", "vec", "shards", F.explode("shards").alias("cluster"))
     large = flat.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
     flat = flat.join(large, ["label", "dim", "cluster"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    flat = flat.select("label", "dim", "rep", "c", "vec", F.explode(F.transform(pairs, lambda p: F.col("cluster") * (1 << 32) + p)).alias("shard"))
-    flat = scratch.keep(flat)
-
-    def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        rep = t["rep"].combine_chunks()
-        lists = graph(unit(matrix(t["vec"]))) if len(rep) > 1 else [np.zeros(0, np.int64)] * len(rep)
-        near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)), rep.take(pa.array(np.concatenate(lists), pa.int64())))
-        return pa.table([t["label"].combine_chunks(), t["dim"].combine_chunks(), rep, near, t["shard"].combine_chunks()], names=["label", "dim", "rep", "near", "shard"])
-
-    built = flat.groupBy("label", "dim", "shard").applyInArrow(build, f"label {label_kind}, dim int, rep {id_kind}, near array<{id_kind}>, shard long")
-    union = built.groupBy("label", "dim", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    ready = flat.join(union, ["label", "dim", "rep"])
+    flat = flat.select("label", "dim", "rep", "c", "vec", "shards", "cluster", "blocks", own.alias("own"), F.explode(pairs).alias("pair"))
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
         rep = t["rep"].combine_chunks()
         raw, c = matrix(t["vec"]), t["c"].to_numpy()
         m, v = len(raw), unit(raw)
-        lists = t["near"].combine_chunks()
-        at = pa.compute.index_in(lists.flatten(), rep).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        near = padded([x[np.isfinite(x)].astype(np.int64) for x in (at[a:b].astype(float) for a, b in zip(cuts[:-1], cuts[1:], strict=True))])
-        held, shard = t["shards"].to_pylist(), t["shard"][0].as_py()
+        near = padded(graph(v) if m > 1 else [np.zeros(0, np.int64)])
+        held, cluster, own = t["shards"].to_pylist(), t["cluster"][0].as_py(), t["own"].to_numpy()
+        first, second = divmod(t["pair"][0].as_py(), t["blocks"][0].as_py())
         long = max(len(x) for x in held)
         member = np.array([x + [-1 - k] * (long - len(x)) for k, x in enumerate(held)])
         scale = np.abs(raw).max(axis=1)
         exact = raw / scale[:, None]
         norm = np.sqrt((exact * exact).sum(axis=1))
-        code = []
+        linked = np.zeros((m, m), dtype=bool)
         for a, b in found(v, near, threshold):
-            s = np.einsum("ij,ij->i", exact[a], exact[b]) / (norm[a] * norm[b])
-            good = (s >= threshold) & (a != b)
-            a, b = a[good], b[good]
-            code.append(np.minimum(a, b) * m + np.maximum(a, b))
-        code = np.unique(np.concatenate(code))
-        a, b = code // m, code % m
-        mine = np.ones(len(a), dtype=bool)
-        for k in range(long):  # the least shard that both hold
-            x = member[a, k]
-            mine &= ~((x < shard) & (member[b] == x[:, None]).any(axis=1) & (x >= 0))
-        n = np.zeros(m, dtype=np.int64)
-        np.add.at(n, a[mine], c[b[mine]])
-        np.add.at(n, b[mine], c[a[mine]])
-        root = roots(m, a, b) if len(a) else np.arange(m)
+            for z in range(0, len(a), 1 << 18):
+                x, y = a[z : z + (1 << 18)], b[z : z + (1 << 18)]
+                s = np.einsum("ij,ij->i", exact[x], exact[y]) / (norm[x] * norm[y])
+                good = (s >= threshold) & (x != y)
+                linked[np.minimum(x, y)[good], np.maximum(x, y)[good]] = True
+        n, root = np.zeros(m, dtype=np.int64), np.arange(m)
+        for lo in range(0, m, 64):
+            a, b = np.nonzero(linked[lo : lo + 64])
+            a += lo
+            if not len(a):
+                continue
+            mine = (own[a] != own[b]) | (first == second)
+            for k in range(long):  # the least cluster that both hold
+                x = member[a, k]
+                lower = (x < cluster) & (x >= 0)
+                if lower.any():
+                    mine[lower] &= ~(member[b[lower]] == x[lower, None]).any(axis=1)
+            n += np.bincount(a[mine], c[b[mine]], m).astype(np.int64) + np.bincount(b[mine], c[a[mine]], m).astype(np.int64)
+            root = roots(m, np.concatenate((a, np.arange(m))), np.concatenate((b, root)))
         return pa.table([t["label"].combine_chunks(), rep, pa.array(n), rep.take(pa.array(root))], names=["label", "rep", "n", "root"])
 
-    out = scratch.keep(ready.groupBy("label", "dim", "shard").applyInArrow(search, f"label {label_kind}, rep {id_kind}, n long, root {id_kind}"))
+    out = scratch.keep(flat.groupBy("label", "dim", "cluster", "pair").applyInArrow(search, f"label {label_kind}, rep {id_kind}, n long, root {id_kind}"))
     links = out.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     # Rows that share an id stand for one node: their classes meet.
     comp = components(links, scratch)

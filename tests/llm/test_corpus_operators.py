@@ -207,6 +207,35 @@ def test_graph_search_recall_in_one_shard():
     assert len(got & want) / max(1, len(want)) >= 0.97
 
 
+def test_links_between_shards_are_found(spark, monkeypatch):
+    """A group of 1,500 different near copies and linked pairs among noise, over many shards and blocks; the audit asks for all links."""
+    rng = np.random.default_rng(12)
+    at = rng.normal(size=32)
+    pair = rng.normal(size=(300, 32))
+    v = np.concatenate((at / np.linalg.norm(at) + rng.normal(size=(1500, 32)) * 0.03, pair, pair + rng.normal(size=pair.shape) * 0.3))
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "LIMIT", 500)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = np.array([r.n_links for r in vectors.near_vectors(df).orderBy("vec_id").collect()])
+    u = vectors.unit(v)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert got.sum() >= 0.999 * want.sum() and (got <= want).all()
+    assert got[1500:].sum() >= 0.99 * want[1500:].sum() > 300  # pairs have no other neighbours in range
+
+
+def test_ends_of_links_share_a_shard():
+    rng = np.random.default_rng(13)
+    a = vectors.unit(rng.normal(size=(4000, 32)))
+    b = vectors.unit(a + rng.normal(size=a.shape) * 0.06)
+    near = (a * b).sum(axis=1) >= 0.93
+    c, length = vectors.centres(a, 100), float(np.sqrt(2 - 2 * 0.93))
+    root = vectors.merged(c, length)
+    x, y = vectors.shards_of(a, c, root, length), vectors.shards_of(b, c, root, length)
+    assert near.sum() > 1000 and all(set(p) & set(q) for p, q, near in zip(x, y, near, strict=True) if near)
+    same = vectors.unit(a[0] + rng.normal(size=(50, 32)) * 0.01)
+    assert len(set(vectors.merged(same, length))) == 1
+
+
 def test_tokens_round_trip_and_rules(docs, none):
     encoding, lengths = tokens.encoder(tokens.vocabulary())
     for r, (i, t, _) in zip(sorted(tokens.count_tokens(docs).collect(), key=str), sorted(corpus(), key=str), strict=False):
