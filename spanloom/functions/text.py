@@ -96,10 +96,15 @@ def search_text(x: Column, most: int = 200) -> Column:
     return F.substring(F.btrim(F.btrim(F.btrim(x), F.lit("\"'"))), 1, most)
 
 
+def letter(index: Column) -> Column:
+    """A for 0, B for 1 and on through all code points (F.char begins anew at 256)."""
+    return F.decode(F.unhex(F.lpad(F.hex((index + 65).cast("long")), 8, "0")), "UTF-32")
+
+
 def lettered(options: Column) -> Column:
     """Options with their letters: A. first, B. second; empty ones go, and letters that are there already aren't doubled."""
     bare = F.filter(F.transform(options, lambda o: F.trim(o)), lambda o: o != "")
-    return F.transform(bare, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), F.regexp_replace(o, "^\\(?[A-Z][).:]\\s*", "")))
+    return F.transform(bare, lambda o, i: F.concat(letter(i), F.lit(". "), F.regexp_replace(o, "^\\(?[A-Z][).:]\\s*", "")))
 
 
 def interval_line(index: Column, start: Column, end: Column, score: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import lettered, parse_timestamp, strip_tags
+from spanloom.functions.text import letter, lettered, parse_timestamp, strip_tags
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,7 +61,7 @@ def multiple_choice(raw: DataFrame) -> DataFrame:
     """Samples of {id, question, candidates, correct_choice}: options with letters, the right letter; none without candidates."""
     x = raw.select(F.from_json("value", "id string, question string, candidates array<string>, correct_choice int").alias("x")).select("x.*")
     x = x.where(F.size(F.filter("candidates", lambda c: F.trim(c) != "")) > 0)
-    return x.select(F.col("id").alias("sample_id"), F.trim("question").alias("query"), lettered(F.col("candidates")).alias("options"), F.char(F.col("correct_choice") + 65).alias("gt_answer"))
+    return x.select(F.col("id").alias("sample_id"), F.trim("question").alias("query"), lettered(F.col("candidates")).alias("options"), letter(F.col("correct_choice")).alias("gt_answer"))
 
 
 def srt(raw: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def json_subtitles(raw: DataFrame) -> DataFrame:
     return x.select("video_id", sec(start).alias("start_sec"), sec(end).alias("end_sec"), strip_tags(F.coalesce("x.line", "x.text")).alias("text")).where("text <> ''")
 
 
-# ---------------------------------------------------------------- the driver's tables in these shapes
+# ---------------------------------------------------------------- the driver's tables in these shapes: every turn, whole texts
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,22 +99,22 @@ def captions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.struct(F.when(F.col("role") == "user", F.substring("text", 1, 40)).alias("query"), (F.col("turn") * 3.0).alias("clip_start_sec"), (F.col("turn") * 3.0 + 2.5).alias("clip_end_sec"))
+    q = F.struct(F.when(F.col("role") == "user", F.col("text")).alias("query"), (F.col("turn") * 3.0).alias("clip_start_sec"), (F.col("turn") * 3.0 + 2.5).alias("clip_end_sec"))
     c = _ordered(_talk(spark, sf_dir), q)
     clip = F.struct(F.concat(F.lit("c"), "conv_id").alias("clip_uid"), F.array(F.struct(F.col("x").alias("language_queries"))).alias("annotations"))
     return c.select(F.col("conv_id").alias("doc"), F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("v"), "conv_id").alias("video_uid"), F.array(clip).alias("clips"))).alias("videos"))).alias("value"))
 
 
 def choices_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _ordered(_talk(spark, sf_dir), F.substring("text", 1, 12))
-    return c.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit(" which one? ").alias("question"), F.slice("x", 1, 4).alias("candidates"), (F.col("conv_id") % F.least(F.size("x"), F.lit(4))).cast("int").alias("correct_choice"))).alias("value"))
+    c = _ordered(_talk(spark, sf_dir), F.col("text"))
+    return c.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit(" which one? ").alias("question"), F.col("x").alias("candidates"), (F.col("conv_id") % F.size("x")).cast("int").alias("correct_choice"))).alias("value"))
 
 
 def srt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), F.format_string("00:00:%02d,000 --> 00:00:%02d,500", F.col("turn") * 3, F.col("turn") * 3 + 2), F.lit("\n<i>"), F.regexp_replace(F.substring("text", 1, 60), "\\s+", " "), F.lit("</i>"))
+    line = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), F.format_string("00:00:%02d,000 --> 00:00:%02d,500", F.col("turn") * 3, F.col("turn") * 3 + 2), F.lit("\n<i>"), F.regexp_replace("text", "\\s+", " "), F.lit("</i>"))
     return _ordered(_talk(spark, sf_dir), line).select(F.col("conv_id").alias("video_id"), F.array_join("x", "\n\n").alias("value"))
 
 
 def subtitle_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.struct((F.col("turn") * 3.0).cast("string").alias("start"), F.format_string("00:00:%02d,500", F.col("turn") * 3 + 2).alias("end"), F.substring("text", 1, 60).alias("line"))
+    x = F.struct((F.col("turn") * 3.0).cast("string").alias("start"), F.format_string("00:00:%02d,500", F.col("turn") * 3 + 2).alias("end"), F.col("text").alias("line"))
     return _ordered(_talk(spark, sf_dir), x).select(F.col("conv_id").alias("video_id"), F.to_json("x").alias("value"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import aggregates, joins, metrics, windows
+from spanloom.plans import queries
 from spanloom.sources import loaders
 
 
@@ -55,3 +56,24 @@ def test_chunk_without_window_and_edges(spark):
 def test_srt(spark):
     df = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,500\n<i>Hello</i>  there\n\n00:00:03,000 --> 00:00:04,000\nNo number\n\n3\n00:00:05,000 --> 00:00:06,000\n\n")], "video_id int, value string")
     assert [tuple(r)[1:] for r in loaders.srt(df).collect()] == [(1.0, 2.5, "Hello there"), (3.0, 4.0, "No number")]
+
+
+def test_sources_hold_whole_texts_and_all_turns(spark, tmp_path):
+    def text(c, t):
+        return f'turn {t} of {c}: "quoted", back\\slash,\n\nblank line, ' + "é long text " * 20 + f"end {c}.{t}"
+
+    rows = [(c, t, ("user", "assistant")[t % 2], text(c, t)) for c, n in ((0, 2), (1, 7), (5, 260)) for t in range(n)]
+    spark.createDataFrame([*rows, (1, 7, "user", None)], "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    d, flat = str(tmp_path), {(c, t): " ".join(x.split()) for c, t, _, x in rows}
+    q = queries.R
+
+    asked = [r for r in rows if r[2] == "user"]
+    got = sorted(tuple(r) for r in q["s03_nested_queries"](spark, d).collect())
+    assert got == sorted((f"c{c}_{k}", f"v{c}", f"c{c}", x, t * 3.0, t * 3.0 + 2.5) for k, (c, t, _, x) in enumerate(asked))
+    choice = {r.sample_id: r for r in q["s08_multiple_choice"](spark, d).collect()}
+    for c, n in ((0, 2), (1, 7), (5, 260)):
+        assert choice[str(c)].options == [f"{chr(65 + t)}. {text(c, t)}" for t in range(n)]
+        assert choice[str(c)].gt_answer == chr(65 + c % n)
+    want = sorted((c, t * 3.0, x) for (c, t), x in flat.items())
+    for name in ("s15_srt", "s16_json_subtitles"):
+        assert sorted((r.video_id, r.start_sec, r.text) for r in q[name](spark, d).collect()) == want
