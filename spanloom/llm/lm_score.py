@@ -1,23 +1,22 @@
 """LM scoring by online logistic context mixing.
 
 A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts; a predictor for each of ``ORDERS``
-contexts (some preceding bytes, or the word so far) looks the bit's state up in a hashed table and gives a stretched probability.  A gate, the number of contexts that have been seen before, selects a set of weights;
+contexts (some preceding bytes, or the word so far) looks the bit's counts up and gives a stretched probability.  A gate, the number of contexts that have been seen before, selects a set of weights;
 their weighted sum is the mixed prediction, and after every GROUP bits the set is refined by the gradient of their coding cost.  The costs add up to the text's total, in bits per byte or as log10 probability.
 
-Tables are gathered from every training text: each task counts bits by slot (of ``SLOTS`` for each context) and the counts are summed by a shuffle. So what is gathered grows with the corpus, while the tables stay at len(ORDERS) * SLOTS bytes,
-which is the bound of what is broadcast.  Scoring refines weights within the text only, in stretches of ``STRETCH`` groups that start from ``WEIGHTS``; so a score depends on the tables and the text alone, not on its neighbours,
-and stretches of many texts run in step as arrays.
+Counts are gathered from every training text: how often each byte follows each context (a row for each pair, its key a 56-bit hash of the context and the byte), summed by a shuffle and written. So the model grows with the corpus, and contexts don't share counts.
+Each block of documents gets the rows of its own distinct contexts by a join, so no task or the driver holds the model. Scoring refines weights within the text only, in stretches of ``STRETCH`` groups that start from ``WEIGHTS``;
+so a score depends on the counts and the text alone, not on its neighbours, and stretches of many texts run in step as arrays.
 
-Beside the score there is a unigram base.  Token counts of the training texts are summed by token; then each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts of its own distinct tokens by a join, so no task or the driver holds the vocabulary.
+Beside the score there is a unigram base.  Token counts of the training texts are summed by token; then each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts of its own distinct tokens by a join in the same way.
 
-Defined results: null, empty and blank texts have the end as their only token; without training texts all counts are 0 and the tables empty (every bit has probability 1/2); repeated rows are scored one by one (and learned from each);
+Defined results: null, empty and blank texts have the end as their only token; without training texts all counts are 0 (every bit has probability 1/2); repeated rows are scored one by one (and learned from each);
 an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,12 @@ from spanloom.llm.common import SPACES, TO_LOWER, U64, Rolling, Scratch, mix64,
 
 #: Preceding bytes of each context; 0 is the word so far (its last seven bytes).
 ORDERS = (2, 3, 4, 6, 0)
-SLOT_BITS = 21
-SLOTS, CHUNK, STRETCH, BLOCK = 1 << SLOT_BITS, 1 << 16, 1024, 24 << 20
+STRETCH, BLOCK = 1024, 6 << 20
 #: Bits between two refinements of the weights; first weights; rate; scale and bound of stretched predictions.
 GROUP, WEIGHTS, RATE, SCALE, MOST = 8, (0.05, 0.10, 0.20, 0.40, 0.40), 0.006, 15.0, 8.0
 PAD, SPACE, END = 7, 32, 10
 #: Bytes whose keys a task gathers before it adds up the distinct ones.
-GATHER = 6_000_000
+GATHER = 12_000_000
 END_TOKEN = np.int64(-0x123456789ABCDEF)
 _SALT = mix64(np.arange(301, 301 + len(ORDERS), dtype=np.uint64)) | U64(1)
 _NODE = mix64(np.arange(401, 401 + 256, dtype=np.uint64))
@@ -96,15 +94,9 @@ def keys_of(texts: list[bytes]) -> np.ndarray:
     return keys[own]
 
 
-def bits(keys: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots (contexts, bits), bit, first bit of each key) of the last bytes of keys, each in the context of its other bytes."""
-    symbol = (keys & U64(255)).astype(np.int64)
-    long = code.size[symbol]
-    first = np.cumsum(long) - long
-    of = np.repeat(np.arange(len(keys)), long)
-    flat = symbol[of] * code.node.shape[1] + (np.arange(len(of)) - first[of])
-    node, bit = _NODE[code.node.ravel()[flat]], code.bit.ravel()[flat]
-    slots = np.empty((len(ORDERS), len(of)), dtype=np.int32)
+def contexts(keys: np.ndarray) -> np.ndarray:
+    """(contexts, keys): hashes of what precedes the last bytes of keys; their own lowest byte is free."""
+    out = np.empty((len(ORDERS), len(keys)), dtype=U64)
     before = keys >> U64(8)
     for k, order in enumerate(ORDERS):
         if order:
@@ -115,23 +107,43 @@ def bits(keys: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 octet = (before >> U64(8 * j)) & U64(255)
                 alive &= (octet != SPACE) & (octet != END)
                 context |= np.where(alive, octet << U64(8 * j), U64(0))
-        x = mix64(context * _SALT[k] + U64(k))[of]
-        x ^= node
-        x *= U64(0x9E3779B97F4A7C15)
-        x >>= U64(64 - SLOT_BITS)
-        slots[k] = x
-    return slots, bit, first
+        out[k] = mix64(context * _SALT[k] + U64(k)) & ~U64(255)
+    return out
+
+
+def bits(symbol: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol's index, hash of the node, bit, first bit of each symbol) of the bits of symbols."""
+    long = code.size[symbol]
+    first = np.cumsum(long) - long
+    of = np.repeat(np.arange(len(symbol)), long)
+    flat = symbol[of] * code.node.shape[1] + (np.arange(len(of)) - first[of])
+    return of, _NODE[code.node.ravel()[flat]], code.bit.ravel()[flat], first
 
 
-def costs(texts: list[bytes], code: Code, table: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each canonical text's probability. table: (contexts, SLOTS) stretched predictions in SCALE-ths."""
+def model(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted places, stretched predictions in SCALE-ths) of the bits of (context, byte) pairs that occur n times."""
+    pairs = pairs.view(U64)
+    of, node, bit, _ = bits((pairs & U64(255)).astype(np.int64), code)
+    place, at = np.unique((pairs & ~U64(255))[of] ^ node, return_inverse=True)
+    weight = n[of]
+    one = np.bincount(at, weight * bit, len(place))
+    zero = np.bincount(at, weight * (1 - bit.astype(np.int64)), len(place))
+    st = np.rint(np.clip(np.log((one + 0.05) / (zero + 0.05)), -MOST, MOST) * SCALE)
+    return place, np.where(st == 0, 1, st).astype(np.int8)  # what has been seen is never 0
+
+
+def costs(texts: list[bytes], code: Code, places: np.ndarray, stretched: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each canonical text's probability, by a model that holds the counts of its contexts."""
     n = len(ORDERS)
     keys, back = np.unique(keys_of(texts), return_inverse=True)  # equal bytes in equal contexts are looked up once
-    slots, bit, first = bits(keys, code)
+    of, node, bit, first = bits((keys & U64(255)).astype(np.int64), code)
     found = np.zeros((len(bit), 8), dtype=np.int8)  # eight, so that a bit's row moves as one number
-    for k in range(n):
-        found[:, k] = table[k][slots[k]]
-    del slots
+    for k, context in enumerate(contexts(keys) if len(places) else ()):
+        x = context[of] ^ node
+        order = np.argsort(x)  # sorted places are sought faster
+        x = x[order]
+        at = np.minimum(np.searchsorted(places, x), len(places) - 1)
+        found[order, k] = np.where(places[at] == x, stretched[at], 0)
     long = code.size[(keys & U64(255)).astype(np.int64)][back]
     size = np.add.reduceat(long, np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])))
     # Each text's bits, then bits of weight 0 up to a whole group.
@@ -210,61 +222,27 @@ def counted(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
-def tables(training: DataFrame, code: Code) -> np.ndarray:
-    """The predictors' tables, learned from all training texts."""
-    n = len(ORDERS)
+def followers(training: DataFrame) -> DataFrame:
+    """(p, n): how often each byte (the lowest of p) follows each context (its others) in the training texts."""
 
-    def add_up(held: list[np.ndarray], total: np.ndarray) -> None:
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, times = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        for c in range(0, len(keys), 1 << 17):
-            slots, bit, _ = bits(keys[c : c + (1 << 17)], code)
-            weight = np.repeat(times[c : c + (1 << 17)], code.size[(keys[c : c + (1 << 17)] & U64(255)).astype(np.int64)]).astype(np.int32)
-            for k in range(n):
-                np.add.at(total[k], slots[k] * 2 + bit, weight)
+        for context in contexts(keys):
+            p, at = np.unique(context | (keys & U64(255)), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(p)), pa.array(np.bincount(at, times).astype(np.int64))], names=["p", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some, held = np.zeros((n, 2 * SLOTS), dtype=np.int32), False, []
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, texts in _texts(batch, 1 << 20):
                 held.append(keys_of([canonical(t) for t in texts]))
                 if sum(map(len, held)) > GATHER:
-                    add_up(held, total)
-                    some = True
+                    yield from rows(held)
         if held:
-            add_up(held, total)
-            some = True
-        for k in range(n if some else 0):
-            for c in range(0, SLOTS, CHUNK):
-                part = total[k, 2 * c : 2 * (c + CHUNK)]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * (SLOTS // CHUNK) + c // CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, None
-        for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.int32).astype(np.int64)
-                if chunk != last and last is not None:
-                    yield stretched(last, total)
-                    total = None
-                last, total = chunk, part if total is None else total + part
-        if last is not None:
-            yield stretched(last, total)
-
-    def stretched(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        zero, one = total[0::2], total[1::2]
-        st = np.clip(np.log((one + 0.05) / (zero + 0.05)), -MOST, MOST) * SCALE
-        st = np.where((one + zero > 0) & (np.rint(st) == 0), 1, np.rint(st)).astype(np.int8)  # what has been seen is never 0
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([st.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    parts = training.select("text").mapInArrow(learn, kind).repartition(n * 4, "chunk").sortWithinPartitions("chunk").mapInArrow(add, kind)
-    out = np.zeros((n, SLOTS), dtype=np.int8)
-    flat = out.reshape(-1, CHUNK)
-    for r in parts.collect():  # n * SLOTS bytes at most
-        flat[r.chunk] = np.frombuffer(r.counts, dtype=np.int8)
-    return out
+            yield from rows(held)
+
+    return training.select("text").mapInArrow(learn, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
@@ -282,7 +260,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     vocabulary = counts.where("kind = 0").select("h", "n")
     all_tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     code = Code(octets)
-    sent = spark.sparkContext.broadcast((code, tables(training, code)))
+    sent = spark.sparkContext.broadcast(code)
+    pairs = scratch.keep(followers(training))
     scratch.settle()
 
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -291,10 +270,13 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     placed = d.repartition(max(1, min(blocks, 4 * n)), "block").sortWithinPartitions("block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.int64)
+        last, held, seen = None, np.zeros(0, np.int64), np.zeros(0, U64)
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int32)), pa.array(held)], names=["block", "h"])
+            context = np.unique(contexts(seen))
+            size = len(held) + len(context)
+            kinds = np.repeat(np.arange(2, dtype=np.int32), [len(held), len(context)])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, last, np.int32)), pa.array(kinds), pa.array(np.concatenate((held, signed(context))))], names=["block", "kind", "h"])
 
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", 1 << 22):
@@ -303,22 +285,31 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                 for b in np.unique(block):  # rows come in order of their blocks
                     if b != last and last is not None:
                         yield rows()
-                        held = np.zeros(0, np.int64)
+                        held, seen = np.zeros(0, np.int64), np.zeros(0, U64)
                     last = b
                     at = np.flatnonzero(block == b)
                     held = np.union1d(held, np.append(words[first[at[0]] : first[at[-1] + 1]], END_TOKEN))
+                    raw = data[offsets[at[0]] : offsets[at[-1] + 1]].tobytes()
+                    cuts = offsets[at[0] : at[-1] + 2] - offsets[at[0]]
+                    seen = np.union1d(seen, keys_of([canonical(raw[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]))
         if last is not None:
             yield rows()
 
-    asked = placed.mapInArrow(ask, "block int, h long")
-    known = scratch.keep(asked.join(vocabulary, "h").select("block", "h", "n"))
+    asked = scratch.keep(placed.mapInArrow(ask, "block int, kind int, h long"))
+    context = F.col("p").bitwiseAND(F.lit(-256).cast("long"))
+    of_contexts = asked.where("kind = 1").select("block", "h").join(pairs.withColumn("h", context), "h").select("block", F.lit(1).alias("kind"), F.col("p").alias("h"), "n")
+    known = scratch.keep(asked.where("kind = 0").select("block", "h").join(vocabulary, "h").select("block", F.lit(0).alias("kind"), "h", "n").unionByName(of_contexts))
+    scratch.drop(2, 3)  # the pairs and what was asked
     scratch.settle()
     floor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
-    def judge(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def judge(texts: pa.Table, got: pa.Table) -> pa.Table:
+        code = sent.value
+        follow = got.filter(pc.equal(got["kind"], 1))
+        places, stretched = model(follow["h"].to_numpy(), follow["n"].to_numpy(), code)
+        words = got.filter(pc.equal(got["kind"], 0))
         words = words.take(pc.sort_indices(words["h"]))
         h, c = words["h"].to_numpy(), words["n"].to_numpy()
-        code, table = sent.value
         out = {x: [] for x in ("n", "known", "base", "score", "bytes")}
         ending = int(c[h == END_TOKEN].sum())
         for batch in texts.combine_chunks().to_batches():
@@ -334,7 +325,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                 out["base"].extend(float(base[i:j].sum()) + end for i, j in zip(first[:-1], first[1:], strict=True))
                 raw = data.tobytes()
                 spelled = [canonical(raw[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                out["score"].extend((costs(spelled, code, table) / np.log(10)).tolist())
+                out["score"].extend((costs(spelled, code, places, stretched) / np.log(10)).tolist())
                 out["bytes"].extend(len(t) for t in spelled)
                 del part
         score, size = np.array(out["score"]), np.array(out["bytes"])

@@ -272,6 +272,26 @@ def test_lm_base_and_score(docs, none):
     assert lm_score.score_texts(none, learn).count() == 0
 
 
+def test_lm_model_holds_the_counts_of_every_context(spark):
+    """The model against brute force: a row for each context and byte, as many as the corpus has, none shared."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9)))) for _ in range(200)), "s") for i in range(60)]
+    sizes = []
+    for n in (15, 60):
+        want: dict = {}
+        for _, t, _ in rows[:n]:
+            x = b"\n" * 7 + lm_score.canonical(t.encode())
+            for j in range(7, len(x)):
+                word = x[j - 7 : j].replace(b"\n", b" ").split(b" ")[-1]
+                for k, order in enumerate(lm_score.ORDERS):
+                    key = k, x[j - order : j] if order else word, x[j]
+                    want[key] = want.get(key, 0) + 1
+        got = [(r.p & 255, r.n) for r in lm_score.followers(spark.createDataFrame(rows[:n], DOCS).repartition(3)).collect()]
+        assert sorted(got) == sorted((b, c) for (_, _, b), c in want.items())
+        sizes.append(len(got))
+    assert sizes[1] > 2 * sizes[0]
+
+
 def test_lm_probabilities_sum_to_one():
     """Of all bytes that may follow, the probabilities add up to one: a code's bits form a tree."""
     code = lm_score.Code(np.bincount(np.frombuffer(b"the quick brown fox", np.uint8), minlength=256))
