@@ -5,8 +5,8 @@ contexts (some preceding bytes, or the word so far) looks the bit's counts up an
 their weighted sum is the mixed prediction, and after every GROUP bits the set is refined by the gradient of their coding cost.  The costs add up to the text's total, in bits per byte or as log10 probability.
 
 Counts are gathered from every training text: how often each byte follows each context (a row for each pair, its key a 56-bit hash of the context and the byte), summed by a shuffle and written. So the model grows with the corpus, and contexts don't share counts.
-Each block of documents gets the rows of its own distinct contexts by a join, so no task or the driver holds the model. Scoring refines weights within the text only, in stretches of ``STRETCH`` groups that start from ``WEIGHTS``;
-so a score depends on the counts and the text alone, not on its neighbours, and stretches of many texts run in step as arrays.
+Each block of documents gets the rows of its own distinct contexts by a join, so no task or the driver holds the model. Scoring refines weights through the whole text, from ``WEIGHTS`` at its start;
+so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
 
 Beside the score there is a unigram base.  Token counts of the training texts are summed by token; then each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts of its own distinct tokens by a join in the same way.
 
@@ -29,7 +29,7 @@ from spanloom.llm.common import SPACES, TO_LOWER, U64, Rolling, Scratch, mix64,
 
 #: Preceding bytes of each context; 0 is the word so far (its last seven bytes).
 ORDERS = (2, 3, 4, 6, 0)
-STRETCH, BLOCK = 1024, 6 << 20
+BLOCK = 6 << 20
 #: Bits between two refinements of the weights; first weights; rate; scale and bound of stretched predictions.
 GROUP, WEIGHTS, RATE, SCALE, MOST = 8, (0.05, 0.10, 0.20, 0.40, 0.40), 0.006, 15.0, 8.0
 PAD, SPACE, END = 7, 32, 10
@@ -161,10 +161,7 @@ def costs(texts: list[bytes], code: Code, places: np.ndarray, stretched: np.ndar
     x = wide.view(np.int8).reshape(-1, GROUP, 8)
     y, count = y.reshape(-1, GROUP), real.reshape(-1, GROUP)
     gate = np.minimum((x != 0).sum(axis=(1, 2)) // GROUP, n).astype(np.int64)  # how many contexts are known, on average
-    each = -(-groups // STRETCH)
-    text = np.repeat(np.arange(len(texts)), each)
-    begin = whole[:-1][text] // GROUP + (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * STRETCH
-    steps = np.minimum(begin + STRETCH, whole[1:][text] // GROUP) - begin
+    begin, steps = whole[:-1] // GROUP, groups
     order = np.argsort(-steps, kind="stable")
     begin, steps = begin[order], steps[order]
     w = np.tile(np.array(WEIGHTS, dtype=np.float32), (len(begin) * (n + 1), 1))

@@ -292,6 +292,31 @@ def test_lm_model_holds_the_counts_of_every_context(spark):
     assert sizes[1] > 2 * sizes[0]
 
 
+def test_lm_weights_are_carried_through_a_text():
+    """Costs of texts against a plain loop that never starts its weights anew; the first is over 8,192 bits."""
+    rng = np.random.default_rng(15)
+    texts = [lm_score.canonical(" ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n)).encode()) for n in (1500, 3)]
+    code = lm_score.Code(np.bincount(np.frombuffer(texts[0], np.uint8), minlength=256))
+    keys, times = np.unique(lm_score.keys_of([texts[0][:3000]]), return_counts=True)
+    pairs, n = np.concatenate([c | (keys & np.uint64(255)) for c in lm_score.contexts(keys)]), np.tile(times, len(lm_score.ORDERS))
+    places, st = lm_score.model(pairs.view(np.int64), n, code)
+    known = dict(zip(places.tolist(), st.tolist(), strict=True))
+    for text, got in zip(texts, lm_score.costs(texts, code, places, st), strict=True):
+        keys = lm_score.keys_of([text])
+        of, node, bit, _ = lm_score.bits((keys & np.uint64(255)).astype(np.int64), code)
+        x = np.array([[known.get(int(c), 0) for c in (context[of] ^ node)] for context in lm_score.contexts(keys)], float).T
+        w, total = np.tile(np.array(lm_score.WEIGHTS), (len(lm_score.ORDERS) + 1, 1)), 0.0
+        for a in range(0, len(x), lm_score.GROUP):
+            part, y = x[a : a + lm_score.GROUP], bit[a : a + lm_score.GROUP]
+            gate = min(int((part != 0).sum()) // lm_score.GROUP, len(lm_score.ORDERS))
+            v = part / lm_score.SCALE
+            e = y - 1 / (1 + np.exp(-np.clip(v @ w[gate], -12, 12)))
+            total += np.log(1 - np.abs(e)).sum()
+            w[gate] += lm_score.RATE * e @ v
+        assert np.isclose(got, total, rtol=1e-4)
+    assert len(bit) < 8192 < sum(code.size[b] for b in texts[0])
+
+
 def test_lm_probabilities_sum_to_one():
     """Of all bytes that may follow, the probabilities add up to one: a code's bits form a tree."""
     code = lm_score.Code(np.bincount(np.frombuffer(b"the quick brown fox", np.uint8), minlength=256))
