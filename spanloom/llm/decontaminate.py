@@ -14,7 +14,7 @@ Before, a lossless test drops those that lack more of the item's words than that
 Items go to all tasks in parts of at most ``PART_BYTES``; a larger benchmark takes several passes.  Nothing is shuffled.
 
 Defined results: null or empty texts and items match nothing; each row is searched whole and by itself, so repeated rows repeat their hits; items that share an id answer with the nearest;
-an item shorter than five words is sought by its first word, and must be there without an edit if share * words is below one; empty tables give an empty result; other columns are not read.
+an item shorter than six words is sought by single words as well (a walk need not leave a band within so few), and must be there without an edit if share * words is below one; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from spanloom.llm.common import TO_LOWER, U64, Rolling, mix64, text_blocks, word
 WALKS, STEPS, PART_BYTES = 3, 28, 32 << 20
 #: Positions of the embedding that a band samples, and the items it is for: those under so many words.
 BANDS = ((0,), (0, 3, 7), (1, 6, 11, 16), (2, 9, 18, 27))
-UNDER = (5, 24, 1 << 60, 1 << 60)
+UNDER = (6, 24, 1 << 60, 1 << 60)
 _WALK = mix64(np.arange(701, 701 + WALKS, dtype=np.uint64))
 _BAND = mix64(np.arange(1, 1 + WALKS * len(BANDS), dtype=np.uint64))
 

@@ -175,6 +175,16 @@ def test_decontamination_recall_and_cases(spark, none):
     assert find_leaks(none, b).count() == 0 and find_leaks(d, b.where("false")).count() == 0
 
 
+def test_exact_copies_of_short_items_always_hit():
+    rng = np.random.default_rng(16)
+    for size in (4, 5, 6):
+        items = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, size)) for _ in range(1500)]
+        raw = [f"before it {item} and after it".encode() for item in items]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        hits = Items(items, 0.2, 1).hits(*hashed_words(np.frombuffer(b"".join(raw), np.uint8), at))
+        assert all((k, k) in hits for k in range(len(items)))
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 16))
