@@ -5,10 +5,11 @@ its documents by selected minwise tokens: in a node, hash function j is selected
 document goes to the child (j, its minimum under j).  A pair of similarity s so shares s / similarity children of a node on average: one or more if the pair is
 to be found.  A node with one document ends; a node of at most ``SMALL`` documents is compared exhaustively; a larger one branches again, down to ``DEPTH``.
 
-Comparison of nodes doesn't emit all pairs of a group.  In some rounds every document meets one pivot of its node, and only pairs that aren't
-connected yet are confirmed; a large group of near copies so costs as many pairs as it has documents.  Then all pairs of a node that are still
-in different components, and whose 128 minima agree often enough, are confirmed: those outside a node's largest component against
-all of the node, in blocks of at most SMALL; this is the exact way for nodes that stay large at the last depth.  Links are confirmed on full sets.
+Comparison of nodes doesn't emit all pairs of a group.  In a round every document meets one pivot, that of the largest of its nodes that has one it isn't connected with; so a
+round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node branches on only while more than ``SMALL`` of
+its documents lie outside its largest component, each time after rounds of its own.  In the end all pairs of a node that are still in different components, and whose 128 minima agree often enough, are
+confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL, which is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
+the last depth.  Links are confirmed on full sets.
 
 Recall: a pair at the threshold shares a root child in 1 - 0.25 ** (root tokens) of cases, over 0.9999; for pairs in nodes that branch to
 DEPTH it stays over 0.99 with TREES trees.  The agreement of minima that is asked for lies 3.4 standard deviations under the threshold.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import BASES, U64, Scratch, components, mix64, signed, text_blocks
 from spanloom.llm.shingles import linked, shingle_hashes, shingle_sets
 
-K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 4, 3
+K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 8, 2
+#: Root children of each document in which large groups of near copies are joined first, before any other node is looked at.
+FIRST = 4
 SLACK = 0.13
 #: Ids up to this many are broadcast to pick the texts to confirm; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -169,6 +172,32 @@ def across(rows: DataFrame, least: float, percent: int) -> DataFrame:
     return got.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def meetings(rows: DataFrame, label: DataFrame | None, salt: int) -> DataFrame:
+    """Pairs (a, b): of every document in rows (node, id) one pivot that it isn't connected with yet, that of the largest of its nodes that has one."""
+    rows = labelled(rows.select("node", "id"), label)
+    pivot = F.min(F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), F.col("id").alias("p"), F.col("component").alias("of")))
+    pivots = rows.groupBy("node").agg(F.count("*").alias("size"), pivot.alias("m")).where("size > 1").select("node", "size", "m.p", "m.of")
+    pairs = rows.join(pivots, "node").where("component <> of")
+    return pairs.groupBy("id").agg(F.max(F.struct("size", "node", "p"))["p"].alias("b")).select(F.col("id").alias("a"), "b")
+
+
+def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """rows with the component of their id; of an id without links, the id."""
+    if label is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def divided(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(node, id, component, size, outside) of the nodes of rows (node, id) that hold two components or more; outside: how many rows aren't of the largest."""
+    rows = labelled(rows.select("node", "id"), label)
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = rows.join(nodes.select("node", "size"), "node")
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy("node").agg(F.max(F.struct("m", "component")).alias("m")).select("node", F.col("m.component").alias("main"), F.col("m.m").alias("within"))
+    return rows.join(main, "node").select("node", "id", "component", "size", "main", (F.col("size") - F.col("within")).alias("outside"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row. See the module's text."""
     spark, similarity = docs.sparkSession, percent / 100
@@ -177,47 +206,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
     some = sk.where("n_shingles > 0 AND id IS NOT NULL")
     classes = scratch.keep(some.groupBy("c1", "c2").agg(F.min(F.struct("id", "n_shingles", "sig", "nodes")).alias("r")).select("c1", "c2", "r.*"))
     reps = classes.select("id", F.col("n_shingles").alias("n"), "sig")
+    sig_a, sig_b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
+    in_roots = scratch.keep(classes.select("id", F.posexplode("nodes").alias("at", "node")))
+    shared = in_roots.groupBy("node").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    pool = in_roots.join(shared.select("node"), "node", "left_semi").select("id").distinct()
+    pool = scratch.keep(pool)
+    few = pool.count() <= BROADCAST_IDS
+    texts = scratch.keep(docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(pool) if few else pool, "id", "left_semi"))
+
+    # Rows that share an id are one node of the graph, so the classes of their texts meet.
+    repeated = some.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x <> y").select("id")
+    links = some.join(repeated, "id").join(classes.select("c1", "c2", F.col("id").alias("b")), ["c1", "c2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    links = scratch.keep(links)
+    label = None if links.isEmpty() else components(links, scratch)
+
+    def meet(rows: DataFrame, rounds: int) -> None:
+        nonlocal links, label
+        for r in range(rounds):
+            pairs = meetings(rows, label, r).join(sig_a, "a").join(sig_b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            more = scratch.keep(confirmed(alike(pairs, similarity - SLACK), texts, percent))
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            label = components(links, scratch)
 
-    frontier = classes.select(F.explode("nodes").alias("node"), "id").distinct()
-    found = None
+    meet(in_roots.where(F.col("at") < FIRST), ROUNDS)
+    frontier, found = in_roots.select("node", "id"), None
     for depth in range(DEPTH):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        level = scratch.keep(frontier.join(sizes, "node"))
-        last = depth == DEPTH - 1
-        ended = level if last else level.where(F.col("size") <= SMALL)
+        level = scratch.keep(divided(frontier, label))
+        ended = level if depth == DEPTH - 1 else level.where(F.least("size", "outside") <= SMALL)
         found = ended if found is None else found.unionByName(ended)
-        large = level.where(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        large = level.where(F.least("size", "outside") > SMALL)
+        if depth == DEPTH - 1 or large.isEmpty():
             break
+        meet(large, ROUNDS)
+        large = divided(large, label).where(F.least("size", "outside") > 0)
         frontier = branch(large.join(reps.select("id", "sig"), "id"), similarity).distinct()
-    by_round = [F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("p")))["p"].alias(f"p{r}") for r in range(ROUNDS)]
-    pivots = found.groupBy("node").agg(*by_round)
-    found = scratch.keep(found.join(pivots, "node"))
-
-    pool = found.select("id").distinct()
-    few = pool.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(pool) if few else pool, "id", "left_semi")
-    texts = scratch.keep(texts)
-    sig_a, sig_b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-
-    links, label = None, None
-    for r in range(ROUNDS):
-        pairs = found.select(F.col("id").alias("a"), F.col(f"p{r}").alias("b")).where("a <> b").distinct()
-        if label is not None:
-            ca, cb = (label.select(F.col("node").alias(x), F.col("component").alias("k" + x)) for x in "ab")
-            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ka, a) <> coalesce(kb, b)").select("a", "b")
-        pairs = pairs.join(sig_a, "a").join(sig_b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        more = scratch.keep(confirmed(alike(pairs, similarity - SLACK), texts, percent))
-        links = more if links is None else links.unionByName(more)
-        # Labels only spare pairs that are connected already; a round without links changes nothing.
-        if r == 0 or r == ROUNDS - 1 or not more.isEmpty():
-            label = components(links, scratch)
-    comp = label
+    meet(found, ROUNDS)
 
-    rows = found.select("node", "id", "size").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_part = rows.groupBy("node", "component").agg(F.count("*").alias("m"))
-    main = by_part.groupBy("node").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(main.select("node", "main"), "node").withColumn("outside", F.col("component") != F.col("main"))
+    rows = divided(found.select("node", "id"), label).withColumn("outside", F.col("component") != F.col("main"))
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     all_blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))
@@ -228,7 +255,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
     comp = components(links, scratch)
 
     of_class = classes.select("c1", "c2", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
-    # Rows that share an id are one node: the least component of any of its classes.
     out = sk.select("id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))

@@ -84,6 +84,47 @@ def test_minhash_large_groups(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_minhash_rows_that_share_an_id_are_one_node(spark):
+    """The texts of an id join their components, also over a third document; blank rows keep their id."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s"), (7, " ", "s"), (9, "c d e f g", "s")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(3, 36, 3), (5, 36, 3), (5, 36, 3), (7, 0, 7), (7, 36, 3), (9, 1, 9)]
+
+
+def test_minhash_pairs_stay_few_in_large_groups(spark, monkeypatch):
+    """2,000 near copies make a few pairs for each document, and 600 texts that share a passage but aren't alike make no pair of texts."""
+    from spanloom.llm import minhash
+
+    rng = np.random.default_rng(6)
+    base, common = [f"t{k}" for k in range(300)], [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for j in rng.integers(300, size=2):
+            w[int(j)] = f"own{i}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(5000 + i, " ".join(common + [f"q{i}x{k}" for k in range(60)]), "s") for i in range(600)]
+    asked, whole = [], minhash.confirmed
+
+    def counted(pairs, texts, percent):
+        asked.append(pairs.count())
+        return whole(pairs, texts, percent)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    got = near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert {r.component_id for r in got if r.doc_id < 5000} == {0}
+    assert all(r.kept for r in got if r.doc_id >= 5000)
+    assert sum(asked) <= 3 * 2000
+
+
+def test_minhash_ignores_clashing_columns_and_reads_long_texts(spark):
+    long = " ".join(f"w{k % 5000}x{k // 5000}" for k in range(300_000))
+    rows = [(1, long, 1, "x"), (2, long + " end", 2, "y"), (3, "z", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int, node string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def brute_lines(rows):
     seen, out = {}, {}
     occurrences = []
