@@ -1,14 +1,19 @@
 """LM scoring by online logistic context mixing.
 
-A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts; a predictor for each of ``ORDERS``
-contexts (some preceding bytes, or the word so far) looks the bit's counts up and gives a stretched probability.  A gate, the number of contexts that have been seen before, selects a set of weights;
-their weighted sum is the mixed prediction, and after every GROUP bits the set is refined by the gradient of their coding cost.  The costs add up to the text's total, in bits per byte or as log10 probability.
+A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts.  A predictor for each of four contexts
+(the last byte, the last two, the last three, and the whole word so far) looks up how often the bit was 0 and 1 after its context at this place of the code, and gives a stretched probability.  A gate (has the place been seen after the word so far,
+and after three bytes) selects a set of weights; their weighted sum is the mixed prediction.  After every GROUP bits the sets are refined by the gradient of the bits' coding cost.  The costs add up to the text's total, in
+bits per byte or as log10 probability.  Contexts, gate and weights depend on earlier bits alone, so the probabilities of all continuations add up to one.
 
-Counts are gathered from every training text: how often each byte follows each context (a row for each pair, its key a 56-bit hash of the context and the byte), summed by a shuffle and written. So the model grows with the corpus, and contexts don't share counts.
-Each block of documents gets the rows of its own distinct contexts by a join, so no task or the driver holds the model. Scoring refines weights through the whole text, from ``WEIGHTS`` at its start;
-so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
+Counts are gathered from every training text.  Those after the word so far are exact and grow with the corpus: they are the counts of the vocabulary's branches.  The vocabulary (every distinct token of docs with its training count) is dealt
+in ranges of its sorted words; the branches of a range are found by reading the words side by side, letter by letter.  Branches that a border of ranges cuts (beginnings of the border words) are summed over ranges first. So each
+distinct word gets the stretched predictions of all bits of its spelling once, however often it occurs.  Counts after three bytes are kept in ``BUCKETS`` hashed contexts, those after one and two bytes exactly: tables of
+2 * 2**24 + 2**16 bytes at most, which go to all tasks.
 
-Beside the score there is a unigram base.  Token counts of the training texts are summed by token; then each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts of its own distinct tokens by a join in the same way.
+Each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts and predictions of its own distinct words by a join; so no task or the driver holds the vocabulary.
+Weights are refined through the whole text, from ``WEIGHTS`` at its start (a group also ends after every ``STRETCH`` words of a text, which bounds memory); so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
+
+Beside the score there is a unigram base, from the same counts of words.
 
 Defined results: null, empty and blank texts have the end as their only token; without training texts all counts are 0 (every bit has probability 1/2); repeated rows are scored one by one (and learned from each);
 an empty table gives an empty result; other columns are not read.
@@ -17,6 +22,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,35 +31,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACES, TO_LOWER, U64, Rolling, Scratch, mix64, signed, text_blocks, words_of
-
-#: Preceding bytes of each context; 0 is the word so far (its last seven bytes).
-ORDERS = (2, 3, 4, 6, 0)
-BLOCK = 6 << 20
-#: Bits between two refinements of the weights; first weights; rate; scale and bound of stretched predictions.
-GROUP, WEIGHTS, RATE, SCALE, MOST = 8, (0.05, 0.10, 0.20, 0.40, 0.40), 0.006, 15.0, 8.0
-PAD, SPACE, END = 7, 32, 10
-#: Bytes whose keys a task gathers before it adds up the distinct ones.
-GATHER = 12_000_000
+from spanloom.llm.common import TO_LOWER, U64, Rolling, Scratch, signed, text_blocks, words_of
+
+BLOCK, PIECE, STRETCH = 24 << 20, 1 << 22, 1 << 17
+#: Hashed contexts of three bytes.
+BUCKETS = 1 << 16
+#: Distinct words of a range of the vocabulary; words sampled for each border; bytes of a border.
+RANGE, SAMPLED, BORDER = 150_000, 64, 48
+#: Bits between two refinements of the weights; their rate; what is added to counts; scale and bound of stretched predictions.
+GROUP, RATE, PRIOR, SCALE, MOST = 64, 0.002, 0.05, 15.0, 8.0
+#: First weights of the four contexts by gate: neither seen, three bytes seen, word so far seen, both.
+WEIGHTS = ((0.2, 0.8, 0.0, 0.0), (0.0, 0.25, 0.75, 0.0), (0.1, 0.3, 0.0, 0.6), (0.0, 0.05, 0.1, 0.85))
+SPACE, END = 32, 10
 END_TOKEN = np.int64(-0x123456789ABCDEF)
-_SALT = mix64(np.arange(301, 301 + len(ORDERS), dtype=np.uint64)) | U64(1)
-_NODE = mix64(np.arange(401, 401 + 256, dtype=np.uint64))
-
-
-def canonical(text: bytes) -> bytes:
-    words = text.lower().split()
-    return b" ".join(words) + b" \n" if words else b"\n"
-
-
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts, and where each text's begin (one more at the end); ends of texts aren't among them."""
-    low = TO_LOWER[data]
-    starts, ends, first = words_of(low, offsets)
-    return (signed(Rolling(low).spans(starts, ends)) if len(starts) else np.zeros(0, np.int64)), first
 
 
 class Code:
-    """A Huffman code: for each byte its length, the inner nodes it passes and the bits it takes there."""
+    """A Huffman code: for each byte its length and where its path begins in ``node`` (the inner nodes it passes) and ``bit`` (what it takes there)."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
@@ -73,173 +67,368 @@ class Code:
                 path.append((k - 256, bit))
             paths.append(path[::-1])
         self.size = np.array([len(p) for p in paths])
-        self.node = np.zeros((256, self.size.max()), dtype=np.uint64)
-        self.bit = np.zeros((256, self.size.max()), dtype=np.uint8)
-        for b, p in enumerate(paths):
-            self.node[b, : len(p)] = [x for x, _ in p]
-            self.bit[b, : len(p)] = [x for _, x in p]
-
-
-def keys_of(texts: list[bytes]) -> np.ndarray:
-    """For each byte of canonical texts, itself (lowest) and the seven bytes before it in one number; a text's start is preceded by ends."""
-    data = np.frombuffer(b"".join(b"\n" * PAD + t for t in texts), dtype=np.uint8)
-    size = np.array([len(t) for t in texts])
-    own = np.ones(len(data), dtype=bool)
-    begin = np.cumsum(size + PAD) - size - PAD
-    own[(begin[:, None] + np.arange(PAD)).ravel()] = False
-    wide = data.astype(U64)
-    keys = wide.copy()
-    for j in range(1, PAD + 1):
-        keys[j:] |= wide[:-j] << U64(8 * j)
-    return keys[own]
-
-
-def contexts(keys: np.ndarray) -> np.ndarray:
-    """(contexts, keys): hashes of what precedes the last bytes of keys; their own lowest byte is free."""
-    out = np.empty((len(ORDERS), len(keys)), dtype=U64)
-    before = keys >> U64(8)
-    for k, order in enumerate(ORDERS):
-        if order:
-            context = before & U64((1 << (8 * order)) - 1)
-        else:
-            context, alive = np.zeros(len(keys), U64), np.ones(len(keys), dtype=bool)
-            for j in range(PAD):
-                octet = (before >> U64(8 * j)) & U64(255)
-                alive &= (octet != SPACE) & (octet != END)
-                context |= np.where(alive, octet << U64(8 * j), U64(0))
-        out[k] = mix64(context * _SALT[k] + U64(k)) & ~U64(255)
-    return out
-
-
-def bits(symbol: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol's index, hash of the node, bit, first bit of each symbol) of the bits of symbols."""
-    long = code.size[symbol]
-    first = np.cumsum(long) - long
-    of = np.repeat(np.arange(len(symbol)), long)
-    flat = symbol[of] * code.node.shape[1] + (np.arange(len(of)) - first[of])
-    return of, _NODE[code.node.ravel()[flat]], code.bit.ravel()[flat], first
-
-
-def model(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted places, stretched predictions in SCALE-ths) of the bits of (context, byte) pairs that occur n times."""
-    pairs = pairs.view(U64)
-    of, node, bit, _ = bits((pairs & U64(255)).astype(np.int64), code)
-    place, at = np.unique((pairs & ~U64(255))[of] ^ node, return_inverse=True)
-    weight = n[of]
-    one = np.bincount(at, weight * bit, len(place))
-    zero = np.bincount(at, weight * (1 - bit.astype(np.int64)), len(place))
-    st = np.rint(np.clip(np.log((one + 0.05) / (zero + 0.05)), -MOST, MOST) * SCALE)
-    return place, np.where(st == 0, 1, st).astype(np.int8)  # what has been seen is never 0
-
-
-def costs(texts: list[bytes], code: Code, places: np.ndarray, stretched: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each canonical text's probability, by a model that holds the counts of its contexts."""
-    n = len(ORDERS)
-    keys, back = np.unique(keys_of(texts), return_inverse=True)  # equal bytes in equal contexts are looked up once
-    of, node, bit, first = bits((keys & U64(255)).astype(np.int64), code)
-    found = np.zeros((len(bit), 8), dtype=np.int8)  # eight, so that a bit's row moves as one number
-    for k, context in enumerate(contexts(keys) if len(places) else ()):
-        x = context[of] ^ node
-        order = np.argsort(x)  # sorted places are sought faster
-        x = x[order]
-        at = np.minimum(np.searchsorted(places, x), len(places) - 1)
-        found[order, k] = np.where(places[at] == x, stretched[at], 0)
-    long = code.size[(keys & U64(255)).astype(np.int64)][back]
-    size = np.add.reduceat(long, np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])))
-    # Each text's bits, then bits of weight 0 up to a whole group.
-    groups = -(-size // GROUP)
-    whole = np.concatenate(([0], np.cumsum(groups))) * GROUP
-    start = np.cumsum(size) - size
-    source = np.repeat(first[back] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-    place = np.arange(len(source)) + np.repeat(whole[:-1] - start, size)
-    wide = np.zeros(whole[-1], dtype=U64)
-    wide[place] = found.view(U64).ravel()[source]
-    y = np.zeros(whole[-1], dtype=np.float32)
-    y[place] = bit[source]
-    real = np.zeros(whole[-1], dtype=bool)
-    real[place] = True
-    x = wide.view(np.int8).reshape(-1, GROUP, 8)
-    y, count = y.reshape(-1, GROUP), real.reshape(-1, GROUP)
-    gate = np.minimum((x != 0).sum(axis=(1, 2)) // GROUP, n).astype(np.int64)  # how many contexts are known, on average
-    begin, steps = whole[:-1] // GROUP, groups
-    order = np.argsort(-steps, kind="stable")
-    begin, steps = begin[order], steps[order]
-    w = np.tile(np.array(WEIGHTS, dtype=np.float32), (len(begin) * (n + 1), 1))
-    q = np.ones(y.shape, dtype=np.float32)  # the probability of each bit
-    lane = np.arange(len(begin)) * (n + 1)
-    for t, m in enumerate(np.searchsorted(-steps, -np.arange(int(steps[0])), side="left")):
-        rows = begin[:m] + t
-        sets = lane[:m] + gate[rows]
-        v = x[rows][:, :, :n].astype(np.float32)
-        v *= np.float32(1 / SCALE)
-        mine = w[sets]
-        s = np.einsum("gik,gk->gi", v, mine)
-        np.clip(s, -12, 12, out=s)
-        e = y[rows] - 1 / (1 + np.exp(-s))
-        q[rows] = 1 - np.abs(e)
-        e *= count[rows] * np.float32(RATE)
-        mine += np.einsum("gi,gik->gk", e, v)
-        w[sets] = mine
-    gain = np.where(count, np.log(q), 0).sum(axis=1, dtype=np.float64)
-    return np.add.reduceat(gain, whole[:-1] // GROUP)
+        self.first = np.cumsum(self.size) - self.size
+        self.node = np.array([x for p in paths for x, _ in p], dtype=np.int64)
+        self.bit = np.array([x for p in paths for _, x in p], dtype=np.int8)
+
+    def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol's index, place in node and bit) of all bits of symbols, in order."""
+        long = self.size[symbol]
+        of = np.repeat(np.arange(len(symbol)), long)
+        return of, np.arange(len(of)) + np.repeat(self.first[symbol] - (np.cumsum(long) - long), long)
+
+
+def stretched(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Predictions in SCALE-ths: 0 for what hasn't been seen, and for nothing else."""
+    st = np.rint(np.clip(np.log((one + PRIOR) / (zero + PRIOR)), -MOST, MOST) * SCALE)
+    return np.where(one + zero == 0, 0, np.where(st == 0, 1, st)).astype(np.int8)
+
+
+# ---------------------------------------------------------------- texts as tokens and bytes
+
+
+class Tokens:
+    """The tokens of texts in data: hashes, spelled bytes, where each token's and each text's begin (one more at the end)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.low = TO_LOWER[data]
+        starts, ends, first = words_of(self.low, offsets)
+        texts = len(offsets) - 1
+        self.first = first + np.arange(texts + 1)  # an end follows each text's words
+        word = np.ones(self.first[-1], dtype=bool)
+        word[self.first[1:] - 1] = False
+        self.begin, self.size = np.zeros(len(word), np.int64), np.ones(len(word), np.int64)
+        self.begin[word], self.size[word] = starts, ends - starts + 1
+        self.hash = np.full(len(word), END_TOKEN)
+        if len(starts):
+            self.hash[word] = signed(Rolling(self.low).spans(starts, ends))
+
+    def spelled(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, where each token's begin) of some tokens."""
+        size = self.size[which]
+        at = np.concatenate(([0], np.cumsum(size)))
+        source = np.arange(at[-1]) + np.repeat(self.begin[which] - at[:-1], size)
+        flat = self.low[np.minimum(source, max(len(self.low) - 1, 0))] if len(self.low) else np.zeros(at[-1], np.uint8)
+        flat[at[1:] - 1] = np.where(self.hash[which] == END_TOKEN, END, SPACE)
+        return flat, at
+
+
+def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of one, two and three bytes before each; texts begin at begins, preceded by ends."""
+    p = [np.full(len(flat), END, dtype=np.uint32) for _ in range(3)]
+    for k in range(3):
+        p[k][k + 1 :] = flat[: len(flat) - k - 1]
+    for k in range(3):
+        for late in range(k + 1):
+            at = begins + late
+            p[k][at[at < len(flat)]] = END
+    # A text of one byte is followed by the next text, whose own beginning has been set above.
+    two = p[1] << np.uint32(8) | p[0]
+    three = ((p[2] << np.uint32(16) | two) * np.uint32(2654435761)) >> np.uint32(16)
+    return p[0], two, three & np.uint32(BUCKETS - 1)
+
+
+def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(kind, h, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; n counts training texts."""
+
+    def rows(kind: int, h: np.ndarray, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+        words = pa.nulls(len(h), pa.binary()) if words is None else words
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.astype(np.int64)), words, pa.array(n.astype(np.int64))], names=["kind", "h", "word", "n"])
+
+    def summed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        h, first, at = np.unique(t["h"].to_numpy(), return_index=True, return_inverse=True)
+        return rows(t["kind"][0].as_py(), h, t["word"].take(pa.array(first)).combine_chunks(), np.bincount(at, t["n"].to_numpy(), len(h)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: []}
+        for batch in batches:
+            for part, data, offsets in text_blocks(batch, "text", PIECE):
+                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+                t = Tokens(data, offsets)
+                h, first, at = np.unique(t.hash, return_index=True, return_inverse=True)
+                flat, ends = t.spelled(first)
+                words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                held[0].append(rows(0, h, words, np.bincount(at, np.repeat(learn, np.diff(t.first)), len(h))))
+                if learn.any():
+                    mine = np.flatnonzero(np.repeat(learn, np.diff(t.first)))
+                    flat, ends = t.spelled(mine)
+                    own = np.diff(t.first)[learn]
+                    _, two, three = before(flat, ends[np.cumsum(own) - own])
+                    for kind, context in ((1, two), (2, three)):
+                        held[kind].append(rows(kind, *(lambda cell, n: (cell, None, n))(*_counts(context << np.uint32(8) | flat))))
+                for kind, some in held.items():
+                    if sum(b.num_rows for b in some) > 1_500_000:
+                        yield summed(some)
+                        some.clear()
+        for some in held.values():
+            if some:
+                yield summed(some)
+
+    return docs.mapInArrow(count, "kind int, h long, word binary, n long").groupBy("kind", "h", "word").agg(F.sum("n").alias("n"))
+
+
+def table_of(cell: np.ndarray, n: np.ndarray, code: Code, contexts: int) -> np.ndarray:
+    """The stretched predictions of (context, node), from the counts of cells context << 8 | byte."""
+    out = np.zeros(contexts << 8, dtype=np.int8)
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
+    for lo in range(0, contexts, 2048):
+        a, b = np.searchsorted(cell, (lo << 8, (lo + 2048) << 8))
+        of, at = code.bits(cell[a:b] & 255)
+        place = ((cell[a:b] >> 8)[of] - lo << 8) + code.node[at]
+        times, bit = n[a:b][of], code.bit[at]
+        size = min(2048, contexts - lo) << 8
+        out[lo << 8 : (lo << 8) + size] = stretched(np.bincount(place, times * bit, size), np.bincount(place, times * (1 - bit), size))
+    return out
 
-def _texts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for part, data, offsets in text_blocks(batch, "text", most):
-        raw = data.tobytes()
-        yield part, [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
+# ---------------------------------------------------------------- the vocabulary's branches
 
-def counted(training: DataFrame) -> DataFrame:
-    """(kind, h, n): how often each token (kind 0, by hash) and each byte of canonical texts (kind 1) occurs."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        octets = np.zeros(256, dtype=np.int64)
-        held: list[np.ndarray] = []
+def cut(words: list[bytes], n: np.ndarray, borders: list[bytes]) -> dict[bytes, np.ndarray]:
+    """How often each byte follows each beginning of the borders, within sorted words."""
+    out: dict[bytes, np.ndarray] = {}
+    for border in borders:
+        lo, hi = 0, len(words)
+        for d in range(len(border)):
+            lo, hi = bisect_left(words, border[:d], lo, hi), bisect_right(words, border[:d], lo, hi, key=lambda w, d=d: w[:d])
+            if lo == hi:
+                break
+            follows = np.frombuffer(b"".join(w[d : d + 1] for w in words[lo:hi]), dtype=np.uint8)
+            out[border[:d]] = np.bincount(follows, n[lo:hi], 256)
+    return out
 
-        def rows() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h), pa.array(n)], names=["kind", "h", "n"])
 
+def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[bytes] = (), shared: dict[bytes, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched predictions of all bits of sorted words, where each word's begin). shared: what follows the beginnings that borders cut, over all ranges."""
+    size = np.array([len(w) for w in words])
+    at = np.concatenate(([0], np.cumsum(size)))
+    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+    bit_at = np.concatenate(([0], np.cumsum(code.size[flat])))
+    out = np.zeros(bit_at[-1], dtype=np.int8)
+    alive, group, d = np.arange(len(words)), np.zeros(len(words), np.int64), 0
+    cuts = {0: b""} if shared else {}  # groups that borders cut, and their beginning
+    while len(alive):
+        byte = flat[at[alive] + d]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (byte[1:] != byte[:-1])))
+        branch = np.cumsum(new) - 1
+        of_group, of_byte, times = group[new], byte[new], np.bincount(branch, n[alive])
+        more = []
+        for g, beginning in cuts.items():
+            mine = np.flatnonzero(of_group == g)
+            follows = shared[beginning]
+            times[mine] = follows[of_byte[mine]]
+            rest = np.setdiff1d(np.flatnonzero(follows), of_byte[mine])  # in other ranges
+            more.append((np.full(len(rest), g), rest.astype(np.uint8), follows[rest]))
+        all_group, all_byte, all_times = (np.concatenate(x) for x in zip((of_group, of_byte, times), *more, strict=True))
+        of, path = code.bits(all_byte)
+        _, place = np.unique((all_group[of] << 8) + code.node[path], return_inverse=True)
+        weight, bit = all_times[of], code.bit[path]
+        st = stretched(np.bincount(place, weight * bit), np.bincount(place, weight * (1 - bit)))[place]
+        long = code.size[all_byte]
+        begin, many = (np.cumsum(long) - long)[branch], code.size[byte]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat(bit_at[at[alive] + d], many) + step] = st[np.repeat(begin, many) + step]
+        cuts = {int(k): cuts[g] + bytes([of_byte[k]]) for g in cuts for k in np.flatnonzero(of_group == g)}
+        cuts = {k: x for k, x in cuts.items() if x in shared}
+        d += 1
+        lone = (np.bincount(branch)[branch] == 1) & ~np.isin(branch, list(cuts))
+        k = alive[lone & (size[alive] > d)]  # the rest of words that no other shares
+        rest = size[k] - d
+        own = flat[np.arange(rest.sum()) + np.repeat(at[k] + d - (np.cumsum(rest) - rest), rest)]
+        many = bit_at[at[k + 1]] - bit_at[at[k] + d]
+        where = np.arange(many.sum()) + np.repeat(bit_at[at[k] + d] - (np.cumsum(many) - many), many)
+        out[where] = np.where(code.bit[code.bits(own)[1]] == 1, 1, -1) * np.repeat(stretched(n[k], 0 * n[k]), many)
+        on = ~lone & (size[alive] > d)
+        alive, group = alive[on], branch[on]
+    return out, bit_at[at]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(key, rows) of batches that come sorted by their first column."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column(0).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1, [len(x)]))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and key != x[lo]:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = x[lo]
+            held.append(batch.slice(int(lo), int(hi - lo)))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch) -> DataFrame:
+    """(h, n, st) of vocabulary (h, word, n): the stretched predictions of all bits of each word."""
+    spark = vocabulary.sparkSession
+    parts = 1 + types // RANGE
+    some = vocabulary.where(F.pmod(F.xxhash64("h"), F.lit(max(1, types // (SAMPLED * parts)))) == 0).select(F.substring("word", 1, BORDER).alias("w")) if parts > 1 else None
+    sample = sorted({bytes(r.w) for r in some.collect()}) if parts > 1 else []  # about SAMPLED for each range
+    borders = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    sent = spark.sparkContext.broadcast((code, borders))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, borders = sent.value
         for batch in batches:
-            for part, data, offsets in text_blocks(batch, "text"):
-                words, _ = tokens(data, offsets)
-                held += [words, np.full(part.num_rows, END_TOKEN)]
-                low = np.bincount(TO_LOWER[data], minlength=256)
-                low[list(SPACES)] = 0
-                octets += low
-                octets[[SPACE, END]] += len(words), part.num_rows
-                if sum(map(len, held)) > 4_000_000:
-                    yield rows()
-        if held:
-            yield rows()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(256, np.int32)), pa.array(np.arange(256)), pa.array(octets)], names=["kind", "h", "n"])
-
-    return training.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-
-
-def followers(training: DataFrame) -> DataFrame:
-    """(p, n): how often each byte (the lowest of p) follows each context (its others) in the training texts."""
-
-    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, times = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        for context in contexts(keys):
-            p, at = np.unique(context | (keys & U64(255)), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(p)), pa.array(np.bincount(at, times).astype(np.int64))], names=["p", "n"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, texts in _texts(batch, 1 << 20):
-                held.append(keys_of([canonical(t) for t in texts]))
-                if sum(map(len, held)) > GATHER:
-                    yield from rows(held)
-        if held:
-            yield from rows(held)
-
-    return training.select("text").mapInArrow(learn, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+            part = [bisect_right(borders, w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "h", "word", "n"])
+
+    dealt = vocabulary.select("h", "word", "n").mapInArrow(deal, "part int, h long, word binary, n long")
+    dealt = dealt.repartition(len(borders) + 1, "part").sortWithinPartitions("part", "word")
+
+    def near(part: int) -> list[bytes]:
+        borders = sent.value[1]
+        return borders[max(0, part - 1) : part + 1]
+
+    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in groups_of(batches):
+            got = cut(t["word"].to_pylist(), t["n"].to_numpy(), near(part))
+            rows = [(x, b, int(v[b])) for x, v in got.items() for b in np.flatnonzero(v)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["beginning", "byte", "n"])
+
+    shared: dict[bytes, np.ndarray] = {b[:d]: np.zeros(256) for b in borders for d in range(len(b))}
+    if borders:  # at most BORDER beginnings for each border
+        for r in dealt.mapInArrow(border, "beginning binary, byte int, n long").groupBy("beginning", "byte").agg(F.sum("n").alias("n")).collect():
+            shared[bytes(r.beginning)][r.byte] = r.n
+    cuts = spark.sparkContext.broadcast(shared)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = sent.value[0]
+        for part, t in groups_of(batches):
+            beginnings = {b[:d] for b in near(part) for d in range(len(b))}
+            flat, at = predictions(t["word"].to_pylist(), t["n"].to_numpy(), code, near(part), {x: cuts.value[x] for x in beginnings})
+            st = pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            yield from pa.table([t["h"], t["n"], st], names=["h", "n", "st"]).to_batches(50_000)
+
+    return scratch.keep(dealt.mapInArrow(spell, "h long, n long, st binary"))
+
+
+# ---------------------------------------------------------------- mixing
+
+
+class Mixer:
+    """The tables that all tasks hold."""
+
+    def __init__(self, code: Code, one: np.ndarray, two: np.ndarray, three: np.ndarray):
+        self.code, self.one, self.two, self.three = code, one, two, three
+
+    def inputs(self, flat: np.ndarray, begins: np.ndarray, trie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((bits, 4) stretched predictions, bits) of spelled bytes of texts that begin at begins; trie: the predictions after the words so far."""
+        one, two, three = before(flat, begins)
+        x, y = np.empty((len(trie), 4), dtype=np.int8), np.empty(len(trie), dtype=np.int8)
+        x[:, 3] = trie
+        done = 0
+        for lo in range(0, len(flat), 1 << 18):
+            part = slice(lo, lo + (1 << 18))
+            of, path = self.code.bits(flat[part])
+            node, to = self.code.node[path], slice(done, done + len(of))
+            for k, (table, context) in enumerate(((self.one, one), (self.two, two), (self.three, three))):
+                x[to, k] = table[(context[part].astype(np.int64) << 8)[of] + node]
+            y[to] = self.code.bit[path]
+            done += len(of)
+        return x, y
+
+
+def mixed(x: np.ndarray, y: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each bit's probability. x, y: inputs and bits of texts one after the other, size: bits of each; w: (texts, 4, 4) weights, refined in place."""
+    begin, steps = np.cumsum(size) - size, -(-size // GROUP)
+    order = np.argsort(-steps, kind="stable")  # those still being read stay in front
+    begin, left, steps = begin[order], size[order], steps[order]
+    own = w[order]
+    q = np.ones(len(y), dtype=np.float32)
+    slot = np.arange(GROUP)
+    lane = np.arange(len(size))[:, None]
+    for t, m in enumerate(np.searchsorted(-steps, -np.arange(int(steps[0]) if len(steps) else 0), side="left")):
+        real = slot < (left[:m] - t * GROUP)[:, None]
+        at = np.minimum(begin[:m, None] + t * GROUP + slot, len(y) - 1)
+        raw = x[at]
+        v = raw * np.float32(1 / SCALE)
+        gate = (raw[:, :, 3] != 0) * 2 + (raw[:, :, 2] != 0)
+        s = np.einsum("gik,gik->gi", v, own[lane[:m], gate])
+        np.clip(s, -12, 12, out=s)
+        e = y[at] - 1 / (1 + np.exp(-s))
+        q[at[real]] = (1 - np.abs(e))[real]
+        e *= real * np.float32(RATE)
+        for g in range(4):
+            own[:m, g] += np.einsum("gi,gik->gk", e * (gate == g), v)
+    w[order] = own
+    return np.log(q)
+
+
+def first_weights(texts: int) -> np.ndarray:
+    return np.tile(np.array(WEIGHTS, dtype=np.float32), (texts, 1, 1))
+
+
+class Known:
+    """The counts and predictions of a block's words, sorted by hash."""
+
+    def __init__(self, t: pa.Table):
+        t = t.take(pc.sort_indices(t["h"])).combine_chunks()
+        self.hash, self.n = t["h"].to_numpy(), t["n"].to_numpy()
+        st = t["st"].combine_chunks() if isinstance(t["st"], pa.ChunkedArray) else t["st"]
+        self.at = np.frombuffer(st.buffers()[1], dtype=np.int32, count=len(st) + 1 + st.offset)[st.offset :].astype(np.int64)
+        self.st = np.frombuffer(st.buffers()[2], dtype=np.int8) if st.buffers()[2] is not None else np.zeros(0, np.int8)
+
+    def bits(self, which: np.ndarray) -> np.ndarray:
+        size = self.at[which + 1] - self.at[which]
+        return self.st[np.arange(size.sum()) + np.repeat(self.at[which] - (np.cumsum(size) - size), size)]
+
+
+def text_costs(t: Tokens, which: np.ndarray, known: Known, mixer: Mixer) -> np.ndarray:
+    """The natural logarithm of each text's probability. which: the row in known of each token."""
+    texts = len(t.first) - 1
+    w, gain = first_weights(texts), np.zeros(texts)
+    tail = np.zeros((texts, 3), dtype=np.uint8) + END
+    for r in range(-(-int(np.diff(t.first).max(initial=0)) // STRETCH)):
+        a = np.minimum(t.first[:-1] + r * STRETCH, t.first[1:])
+        b = np.minimum(a + STRETCH, t.first[1:])
+        on = np.flatnonzero(b > a)
+        many = (b - a)[on]
+        rows = np.arange(many.sum()) + np.repeat(a[on] - (np.cumsum(many) - many), many)
+        flat, at = t.spelled(rows)
+        begins = at[np.cumsum(many) - many]
+        ends = np.append(begins[1:], len(flat))
+        trie = known.bits(which[rows])
+        if r:  # three bytes of the stretch before lead each text on
+            lead = np.concatenate([np.append(tail[k], flat[i:j]) for k, i, j in zip(on, begins, ends, strict=True)])
+            skip = int(mixer.code.size[tail[on]].sum())
+            x, y, size = continued(mixer, lead, tail[on], begins, ends, trie, skip)
+        else:
+            x, y = mixer.inputs(flat, begins, trie)
+            long = mixer.code.size[flat]
+            size = np.add.reduceat(long, begins) if len(begins) else np.zeros(0, np.int64)
+        own = w[on]
+        logs = mixed(x, y, size, own)
+        w[on] = own
+        gain[on] += np.add.reduceat(logs.astype(np.float64), np.cumsum(size) - size)
+        for k, i, j in zip(on, begins, ends, strict=True) if (t.first[1:] > b).any() else ():
+            tail[k] = np.append(tail[k], flat[max(i, j - 3) : j])[-3:]
+    return gain
+
+
+def continued(mixer: Mixer, lead: np.ndarray, tail: np.ndarray, begins: np.ndarray, ends: np.ndarray, trie: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, bits and sizes of stretches that go on after tail: the three bytes are read for their context, then their bits dropped."""
+    heads = mixer.code.size[tail].sum(axis=1)
+    first = begins + 3 * np.arange(len(begins))
+    body = [mixer.code.size[lead[f + 3 : f + 3 + (j - i)]].sum() for f, i, j in zip(first, begins, ends, strict=True)]
+    size = np.array(body)
+    keep = np.concatenate([np.repeat([False, True], [h, s]) for h, s in zip(heads, size, strict=True)])
+    filled = np.zeros(len(keep), dtype=np.int8)
+    filled[keep] = trie
+    x, y = mixer.inputs(lead, first, filled)
+    assert skip == len(keep) - keep.sum()
+    return x[keep], y[keep], size
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
@@ -248,85 +437,78 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     scratch = Scratch(spark, "lm")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    training = docs.where(learn).select("text")
-    counts = scratch.keep(counted(training))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    counts = scratch.keep(counted(docs.select(text, F.coalesce(learn, F.lit(False)).alias("learn"))))
     scratch.settle()
-    octets = np.zeros(256, dtype=np.int64)
-    for r in counts.where("kind = 1").collect():  # 256 rows
-        octets[r.h] = r.n
-    vocabulary = counts.where("kind = 0").select("h", "n")
-    all_tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    code = Code(octets)
-    sent = spark.sparkContext.broadcast(code)
-    pairs = scratch.keep(followers(training))
+    cells = [counts.where(F.col("kind") == k).select("h", "n").toArrow() for k in (1, 2)]  # 2**24 at most of each
+    cells = [(t["h"].to_numpy(), t["n"].to_numpy()) for t in cells]
+    code = Code(np.bincount(cells[0][0] & 255, cells[0][1], 256))
+    one, at = np.unique(cells[0][0] & 0xFFFF, return_inverse=True)
+    one = one, np.bincount(at, cells[0][1], len(one)).astype(np.int64)
+    tables = [table_of(h, m, code, size) for (h, m), size in ((one, 256), (cells[0], 1 << 16), (cells[1], BUCKETS))]
+    sent = spark.sparkContext.broadcast(Mixer(code, *tables))
+    vocabulary = counts.where("kind = 0").select("h", "word", "n")
+    all_tokens, distinct, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count("*")).first()
+    spelled = spelled_out(vocabulary, code, types, scratch)
+    scratch.drop(1)
     scratch.settle()
 
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, volume // BLOCK)
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    placed = d.repartition(max(1, min(blocks, 4 * n)), "block").sortWithinPartitions("block")
+    blocks = max(1, volume // BLOCK, min(n, volume >> 18))
+    parts = int(max(1, min(blocks, 4 * n)))
+    d = docs.select(F.col(id_col).alias("id"), text).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, seen = None, np.zeros(0, np.int64), np.zeros(0, U64)
-
-        def rows() -> pa.RecordBatch:
-            context = np.unique(contexts(seen))
-            size = len(held) + len(context)
-            kinds = np.repeat(np.arange(2, dtype=np.int32), [len(held), len(context)])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, last, np.int32)), pa.array(kinds), pa.array(np.concatenate((held, signed(context))))], names=["block", "kind", "h"])
-
+        last, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            for part, data, offsets in text_blocks(batch, "text", 1 << 22):
+            for part, data, offsets in text_blocks(batch, "text", PIECE):
                 block = part.column("block").to_numpy()
-                words, first = tokens(data, offsets)
+                t = Tokens(data, offsets)
                 for b in np.unique(block):  # rows come in order of their blocks
                     if b != last and last is not None:
-                        yield rows()
-                        held, seen = np.zeros(0, np.int64), np.zeros(0, U64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int32)), pa.array(held)], names=["block", "h"])
+                        held = np.zeros(0, np.int64)
                     last = b
                     at = np.flatnonzero(block == b)
-                    held = np.union1d(held, np.append(words[first[at[0]] : first[at[-1] + 1]], END_TOKEN))
-                    raw = data[offsets[at[0]] : offsets[at[-1] + 1]].tobytes()
-                    cuts = offsets[at[0] : at[-1] + 2] - offsets[at[0]]
-                    seen = np.union1d(seen, keys_of([canonical(raw[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]))
+                    held = np.union1d(held, t.hash[t.first[at[0]] : t.first[at[-1] + 1]])
         if last is not None:
-            yield rows()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int32)), pa.array(held)], names=["block", "h"])
 
-    asked = scratch.keep(placed.mapInArrow(ask, "block int, kind int, h long"))
-    context = F.col("p").bitwiseAND(F.lit(-256).cast("long"))
-    of_contexts = asked.where("kind = 1").select("block", "h").join(pairs.withColumn("h", context), "h").select("block", F.lit(1).alias("kind"), F.col("p").alias("h"), "n")
-    known = scratch.keep(asked.where("kind = 0").select("block", "h").join(vocabulary, "h").select("block", F.lit(0).alias("kind"), "h", "n").unionByName(of_contexts))
-    scratch.drop(2, 3)  # the pairs and what was asked
+    asked = scratch.keep(d.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, h long"))
     scratch.settle()
+    known = asked.join(spelled, "h").select("block", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "h", "n", "st")
+    both = known.unionByName(d.select("block", F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("st")))
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
     floor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
-    def judge(texts: pa.Table, got: pa.Table) -> pa.Table:
-        code = sent.value
-        follow = got.filter(pc.equal(got["kind"], 1))
-        places, stretched = model(follow["h"].to_numpy(), follow["n"].to_numpy(), code)
-        words = got.filter(pc.equal(got["kind"], 0))
-        words = words.take(pc.sort_indices(words["h"]))
-        h, c = words["h"].to_numpy(), words["n"].to_numpy()
-        out = {x: [] for x in ("n", "known", "base", "score", "bytes")}
-        ending = int(c[h == END_TOKEN].sum())
-        for batch in texts.combine_chunks().to_batches():
-            for part, data, offsets in text_blocks(batch, "text", 1 << 21):
-                x, first = tokens(data, offsets)
-                at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
-                own = np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)
-                known_before = np.concatenate(([0], np.cumsum(own > 0)))
-                base = np.log10(own + 0.5) - floor
-                out["n"].extend((np.diff(first) + 1).tolist())
-                out["known"].extend((np.diff(known_before[first]) + (ending > 0)).tolist())
-                end = float(np.log10(ending + 0.5) - floor)
-                out["base"].extend(float(base[i:j].sum()) + end for i, j in zip(first[:-1], first[1:], strict=True))
-                raw = data.tobytes()
-                spelled = [canonical(raw[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                out["score"].extend((costs(spelled, code, places, stretched) / np.log(10)).tolist())
-                out["bytes"].extend(len(t) for t in spelled)
-                del part
-        score, size = np.array(out["score"]), np.array(out["bytes"])
-        return pa.table([texts["id"].combine_chunks(), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(score), pa.array(-score * np.log2(10) / size)], names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-
-    got = d.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, mixer: Mixer) -> pa.RecordBatch:
+        t = Tokens(data, offsets)
+        which = np.searchsorted(known.hash, t.hash)
+        own = known.n[which]
+        size = np.add.reduceat(t.size, t.first[:-1])
+        score = text_costs(t, which, known, mixer) / np.log(10)
+        base = np.add.reduceat(np.log10(own + 0.5) - floor, t.first[:-1])
+        ints = [np.diff(t.first), np.add.reduceat((own > 0).astype(np.int64), t.first[:-1])]
+        return pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(a.astype(np.int64)) for a in ints], pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / size)], names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, held, words, known = sent.value, None, [], None
+        for batch in batches:
+            block, what = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(what) != 0)) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(block)), strict=True):
+                if lo == hi:
+                    continue
+                rows = batch.slice(int(lo), int(hi - lo))
+                if block[lo] != held:
+                    held, words, known = block[lo], [], None
+                if what[lo] == 0:
+                    words.append(rows.select(["h", "n", "st"]))
+                    continue
+                if known is None:
+                    known, words = Known(pa.Table.from_batches(words)), []
+                for piece in text_blocks(rows, "text", PIECE):
+                    yield scored(*piece, known, mixer)
+
+    got = both.mapInArrow(judge, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -6,8 +6,8 @@ document goes to the child (j, its minimum under j).  A pair of similarity s so
 to be found.  A node with one document ends; a node of at most ``SMALL`` documents is compared exhaustively; a larger one branches again, down to ``DEPTH``.
 
 Comparison of nodes doesn't emit all pairs of a group.  In a round every document meets one pivot, that of the largest of its nodes that has one it isn't connected with; so a
-round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node branches on only while more than ``SMALL`` of
-its documents lie outside its largest component, each time after rounds of its own.  In the end all pairs of a node that are still in different components, and whose 128 minima agree often enough, are
+round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node
+branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  In the end all pairs of a node that are still in different components, and whose 128 minima agree often enough, are
 confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL, which is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
 the last depth.  Links are confirmed on full sets.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import BASES, U64, Scratch, components, mix64, signed, text_blocks
 from spanloom.llm.shingles import linked, shingle_hashes, shingle_sets
 
-K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 8, 2
+K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 6, 2
 #: Root children of each document in which large groups of near copies are joined first, before any other node is looked at.
 FIRST = 4
 SLACK = 0.13
@@ -188,14 +188,11 @@ def labelled(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def divided(rows: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(node, id, component, size, outside) of the nodes of rows (node, id) that hold two components or more; outside: how many rows aren't of the largest."""
-    rows = labelled(rows.select("node", "id"), label)
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(nodes.select("node", "size"), "node")
+def divided(rows: DataFrame) -> DataFrame:
+    """(node, id, component, size, main, outside) of the rows (node, id, component) whose node holds two components or more; outside: how many of its rows aren't of the largest, main."""
     parts = rows.groupBy("node", "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy("node").agg(F.max(F.struct("m", "component")).alias("m")).select("node", F.col("m.component").alias("main"), F.col("m.m").alias("within"))
-    return rows.join(main, "node").select("node", "id", "component", "size", "main", (F.col("size") - F.col("within")).alias("outside"))
+    nodes = parts.groupBy("node").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("of"), F.count("*").alias("parts")).where("parts > 1")
+    return rows.join(nodes.select("node", "size", F.col("of.component").alias("main"), (F.col("size") - F.col("of.m")).alias("outside")), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75) -> DataFrame:
@@ -231,20 +228,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
             label = components(links, scratch)
 
     meet(in_roots.where(F.col("at") < FIRST), ROUNDS)
-    frontier, found = in_roots.select("node", "id"), None
+    scratch.settle()
+    frontier, found, first = labelled(in_roots.select("node", "id"), label), None, scratch.n + 1
     for depth in range(DEPTH):
-        level = scratch.keep(divided(frontier, label))
-        ended = level if depth == DEPTH - 1 else level.where(F.least("size", "outside") <= SMALL)
+        level = scratch.keep(divided(frontier))
+        scratch.settle()
+        last = depth == DEPTH - 1
+        ended = level if last else level.where(F.least("size", "outside") <= SMALL)
         found = ended if found is None else found.unionByName(ended)
         large = level.where(F.least("size", "outside") > SMALL)
-        if depth == DEPTH - 1 or large.isEmpty():
+        if last or large.isEmpty():
             break
-        meet(large, ROUNDS)
-        large = divided(large, label).where(F.least("size", "outside") > 0)
-        frontier = branch(large.join(reps.select("id", "sig"), "id"), similarity).distinct()
+        frontier = labelled(branch(large.join(reps.select("id", "sig"), "id"), similarity).distinct(), label)
+    levels = range(first, scratch.n + 1)
+    found = scratch.keep(found.select("node", "id"))
+    scratch.drop(*levels)
     meet(found, ROUNDS)
 
-    rows = divided(found.select("node", "id"), label).withColumn("outside", F.col("component") != F.col("main"))
+    rows = divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main"))
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     all_blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))

@@ -323,55 +323,156 @@ def test_lm_base_and_score(docs, none):
     assert lm_score.score_texts(none, learn).count() == 0
 
 
-def test_lm_model_holds_the_counts_of_every_context(spark):
-    """The model against brute force: a row for each context and byte, as many as the corpus has, none shared."""
+def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
+    """log10 probabilities of texts (as bytes) by a plain loop over bits, with counts from train in dictionaries."""
+    spell = lambda t: [w + b" " for w in t.lower().split()] + [b"\n"]
+    code = lm_score.Code(np.bincount(np.frombuffer(b"".join(b"".join(spell(t)) for t in train), np.uint8), minlength=256))
+    counts: dict = {}
+
+    def steps(t):
+        tokens, past = spell(t), b"\n\n\n"
+        for i, w in enumerate(tokens):
+            for d, byte in enumerate(w):
+                three = int.from_bytes(past[-3:], "big") * 2654435761 % 2**32 >> 16 & lm_score.BUCKETS - 1
+                a = code.first[byte]
+                yield i, [(code.node[p], code.bit[p]) for p in range(a, a + code.size[byte])], (past[-1:], past[-2:], three, (w[:d], 0))
+                past += bytes([byte])
+
+    for t in train:
+        for _, path, contexts in steps(t):
+            for node, bit in path:
+                for k, c in enumerate(contexts):
+                    counts.setdefault((k, c, node), [0, 0])[bit] += 1
+    out = []
+    for t in texts:
+        w, total, group, stretch = np.array(lm_score.WEIGHTS, float), 0.0, [], 0
+
+        def refine(w, group):
+            for gate, e, v in group:
+                w[gate] += lm_score.RATE * e * v
+
+        for i, path, contexts in steps(t):
+            if i // lm_score.STRETCH != stretch:
+                refine(w, group)
+                group, stretch = [], i // lm_score.STRETCH
+            for node, bit in path:
+                if len(group) == lm_score.GROUP:
+                    refine(w, group)
+                    group = []
+                st = []
+                for k, c in enumerate(contexts):
+                    zero, one = counts.get((k, c, node), (0, 0))
+                    st.append(int(lm_score.stretched(np.array([one]), np.array([zero]))[0]))
+                gate, v = (st[3] != 0) * 2 + (st[2] != 0), np.array(st) / lm_score.SCALE
+                e = bit - 1 / (1 + np.exp(-np.clip(v @ w[gate], -12, 12)))
+                total += np.log(1 - abs(e))
+                group.append((gate, e, v))
+        out.append(total / np.log(10))
+    return out
+
+
+def lm_rows():
     rng = np.random.default_rng(14)
-    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9)))) for _ in range(200)), "s") for i in range(60)]
-    sizes = []
-    for n in (15, 60):
-        want: dict = {}
-        for _, t, _ in rows[:n]:
-            x = b"\n" * 7 + lm_score.canonical(t.encode())
-            for j in range(7, len(x)):
-                word = x[j - 7 : j].replace(b"\n", b" ").split(b" ")[-1]
-                for k, order in enumerate(lm_score.ORDERS):
-                    key = k, x[j - order : j] if order else word, x[j]
-                    want[key] = want.get(key, 0) + 1
-        got = [(r.p & 255, r.n) for r in lm_score.followers(spark.createDataFrame(rows[:n], DOCS).repartition(3)).collect()]
-        assert sorted(got) == sorted((b, c) for (_, _, b), c in want.items())
-        sizes.append(len(got))
-    assert sizes[1] > 2 * sizes[0]
-
-
-def test_lm_weights_are_carried_through_a_text():
-    """Costs of texts against a plain loop that never starts its weights anew; the first is over 8,192 bits."""
-    rng = np.random.default_rng(15)
-    texts = [lm_score.canonical(" ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n)).encode()) for n in (1500, 3)]
-    code = lm_score.Code(np.bincount(np.frombuffer(texts[0], np.uint8), minlength=256))
-    keys, times = np.unique(lm_score.keys_of([texts[0][:3000]]), return_counts=True)
-    pairs, n = np.concatenate([c | (keys & np.uint64(255)) for c in lm_score.contexts(keys)]), np.tile(times, len(lm_score.ORDERS))
-    places, st = lm_score.model(pairs.view(np.int64), n, code)
-    known = dict(zip(places.tolist(), st.tolist(), strict=True))
-    for text, got in zip(texts, lm_score.costs(texts, code, places, st), strict=True):
-        keys = lm_score.keys_of([text])
-        of, node, bit, _ = lm_score.bits((keys & np.uint64(255)).astype(np.int64), code)
-        x = np.array([[known.get(int(c), 0) for c in (context[of] ^ node)] for context in lm_score.contexts(keys)], float).T
-        w, total = np.tile(np.array(lm_score.WEIGHTS), (len(lm_score.ORDERS) + 1, 1)), 0.0
-        for a in range(0, len(x), lm_score.GROUP):
-            part, y = x[a : a + lm_score.GROUP], bit[a : a + lm_score.GROUP]
-            gate = min(int((part != 0).sum()) // lm_score.GROUP, len(lm_score.ORDERS))
-            v = part / lm_score.SCALE
-            e = y - 1 / (1 + np.exp(-np.clip(v @ w[gate], -12, 12)))
-            total += np.log(1 - np.abs(e)).sum()
-            w[gate] += lm_score.RATE * e @ v
-        assert np.isclose(got, total, rtol=1e-4)
-    assert len(bit) < 8192 < sum(code.size[b] for b in texts[0])
-
-
-def test_lm_probabilities_sum_to_one():
-    """Of all bytes that may follow, the probabilities add up to one: a code's bits form a tree."""
-    code = lm_score.Code(np.bincount(np.frombuffer(b"the quick brown fox", np.uint8), minlength=256))
-    assert np.isclose((0.5 ** code.size.astype(float)).sum(), 1)
+    word = lambda: "".join(rng.choice(list("abcdéfg"), int(rng.integers(1, 7))))
+    known = [word() for _ in range(120)]
+    rows = [(i, " ".join(str(rng.choice(known)) if rng.random() < 0.9 else word() for _ in range(int(rng.integers(1, 60)))), "s") for i in range(40)]
+    return rows + [(40, None, "s"), (41, " \n", "s"), (42, rows[0][1], "s"), (43, "Zq " * 300, "s"), (44, "x" * 5000, "s"), (45, "y", "s")]
+
+
+def test_lm_scores_against_a_plain_loop(spark, monkeypatch):
+    """Whole scores, with any number of ranges of the vocabulary, and of texts that take several stretches; clashing columns aren't read."""
+    rows = lm_rows()
+    df = spark.createDataFrame([(*r, 1, b"") for r in rows], DOCS + ", n int, word binary")
+    learned = lm_score.F.col("doc_id") % 4 != 1
+    train = [(t or "").encode() for i, t, _ in rows if i % 4 != 1]
+    for ranges, stretch in ((150_000, 1 << 17), (20, 7)):
+        monkeypatch.setattr(lm_score, "STRETCH", stretch)
+        monkeypatch.setattr(lm_score, "RANGE", ranges)
+        code = lm_score.counted(df.select(lm_score.F.coalesce("text", lm_score.F.lit("")).alias("text"), learned.alias("learn")))
+        assert code.where("kind = 0").count() == len({w for _, t, _ in rows for w in words(t)} | {None})
+        got = {r.doc_id: r.score for r in lm_score.score_texts(df, learned).collect()}
+        if stretch > 7:
+            want = lm_brute(train, [(t or "").encode() for _, t, _ in rows])
+            assert np.allclose([got[r[0]] for r in rows], want, rtol=1e-4)
+    monkeypatch.undo()
+
+
+def test_lm_stretches_carry_weights(monkeypatch):
+    """A text that takes several stretches against the plain loop, in one process."""
+    monkeypatch.setattr(lm_score, "STRETCH", 7)
+    texts = [(t or "").encode() for _, t, _ in lm_rows()][:12]
+    got, _ = lm_local(texts, texts)
+    assert np.allclose(got, np.array(lm_brute(texts, texts)) * np.log(10), rtol=1e-4)
+
+
+def lm_local(train: list[bytes], texts: list[bytes], extra: tuple[bytes, ...] = ()):
+    """(text_costs of texts, (mixer, predictions of spelled words)), without Spark."""
+    spell = lambda t: [w + b" " for w in t.lower().split()] + [b"\n"]
+    flat = [b"".join(spell(t)) for t in train]
+    data = np.frombuffer(b"".join(flat), np.uint8)
+    begins = np.cumsum([len(x) for x in flat]) - [len(x) for x in flat]
+    code = lm_score.Code(np.bincount(data, minlength=256))
+    contexts = lm_score.before(data, begins)
+    tables = [lm_score.table_of(*(lambda c, n: (c.astype(np.int64), n))(*lm_score._counts(c.astype(np.uint32) << np.uint32(8) | data)), code, size) for c, size in zip(contexts, (256, 1 << 16, lm_score.BUCKETS), strict=True)]
+    mixer = lm_score.Mixer(code, *tables)
+    count: dict[bytes, int] = {}
+    for t in train:
+        for w in spell(t):
+            count[w] = count.get(w, 0) + 1
+    every = sorted({*count, *extra, *(w for t in texts for w in spell(t))})
+    st, at = lm_score.predictions(every, np.array([count.get(w, 0) for w in every]), code)
+    raw = b"".join(texts)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    t = lm_score.Tokens(np.frombuffer(raw, np.uint8), offsets)
+    spelled = [w for x in texts for w in spell(x)]
+    known = lm_score.Known(lm_score.pa.table([t.hash, np.array([count.get(w, 0) for w in spelled]), lm_score.pa.array([st[at[k] : at[k + 1]].tobytes() for k in map(every.index, spelled)], lm_score.pa.binary())], names=["h", "n", "st"]))
+    return lm_score.text_costs(t, np.searchsorted(known.hash, t.hash), known, mixer), (mixer, dict(zip(every, (st[at[k] : at[k + 1]] for k in range(len(every))), strict=True)))
+
+
+def test_lm_probabilities_of_next_bytes_sum_to_one():
+    """After prefixes of many lengths (several groups of bits), within words and between them, the probabilities of all 256 next bytes add up to one."""
+    train = [(t or "").encode() for _, t, _ in lm_rows()]
+    words_before = train[3].split()[:25] + [b"unseen"] + train[5].split()[:9]
+    for n in (0, 1, 7, 20, 33):
+        for part in (b"", b"a", b"ab", b"zzz"):
+            nexts = [part + bytes([b]) + b" " if b != 32 else part + b" " for b in range(256)]
+            lead = [w + b" " for w in words_before[:n]]
+            _, (mixer, st) = lm_local(train, [b" ".join(words_before)], tuple(nexts) + (part + b" ",))
+            total = {}
+            for b in (None, *range(256)):
+                tail = part if b is None else part + bytes([b])
+                word = part + b" " if b is None else nexts[b]
+                flat = np.frombuffer(b"".join(lead) + tail, np.uint8)
+                trie = np.concatenate([*(st[w] for w in lead), st[word][: mixer.code.size[np.frombuffer(tail, np.uint8)].sum() if tail else 0]])
+                if not len(flat):
+                    total[b] = 0.0
+                    continue
+                x, y = mixer.inputs(flat, np.array([0]), trie)
+                total[b] = float(lm_score.mixed(x, y, np.array([len(y)]), lm_score.first_weights(1)).astype(float).sum())
+            assert abs(sum(np.exp(total[b] - total[None]) for b in range(256)) - 1) < 1e-4
+
+
+def test_lm_counts_of_ranges_agree():
+    """Predictions of a vocabulary in one range and in many, whose borders cut its branches."""
+    rng = np.random.default_rng(3)
+    every = sorted({b"".join(rng.choice([b"a", b"b", b"th", b"the"], int(rng.integers(1, 9)))) + b" " for _ in range(400)} | {b"\n"})
+    n = rng.integers(0, 4, len(every))
+    code = lm_score.Code(np.bincount(np.frombuffer(b"".join(every), np.uint8), minlength=256))
+    whole, at = lm_score.predictions(every, n, code)
+    borders = [every[k][:3] for k in (50, 51, 120, 121, 300)]
+    borders = sorted(set(borders))
+    part = [lm_score.bisect_right(borders, w) for w in every]
+    shared: dict = {b[:d]: np.zeros(256) for b in borders for d in range(len(b))}
+    for p in range(len(borders) + 1):
+        mine = [k for k in range(len(every)) if part[k] == p]
+        for x, v in lm_score.cut([every[k] for k in mine], n[mine], borders[max(0, p - 1) : p + 1]).items():
+            shared[x] = shared[x] + v
+    for p in range(len(borders) + 1):
+        mine = [k for k in range(len(every)) if part[k] == p]
+        near = borders[max(0, p - 1) : p + 1]
+        if mine:
+            got, _ = lm_score.predictions([every[k] for k in mine], n[mine], code, near, {b[:d]: shared[b[:d]] for b in near for d in range(len(b))})
+            assert (got == whole[at[mine[0]] : at[mine[-1] + 1]]).all()
 
 
 def test_mixing_totals(docs, none):
