@@ -1,16 +1,17 @@
 """LM scoring by online logistic context mixing.
 
 A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts.  A predictor for each of four contexts
-(the last byte, the last two, the last three, and the whole word so far) looks up how often the bit was 0 and 1 after its context at this place of the code, and gives a stretched probability.  A gate (has the place been seen after the word so far,
-and after three bytes) selects a set of weights; their weighted sum is the mixed prediction.  After every GROUP bits the sets are refined by the gradient of the bits' coding cost.  The costs add up to the text's total, in
-bits per byte or as log10 probability.  Contexts, gate and weights depend on earlier bits alone, so the probabilities of all continuations add up to one.
+(the last byte, the last two, the last three, and the whole word so far) looks up how often the bit was 0 and 1 after its context at this place of the code, and gives a stretched probability.  A fifth follows passages: at an anchor (two words whose
+hash says so, one place in ``EVERY``) it looks up how the training texts most often go on from there to the next anchor, and predicts those bytes until one is wrong.  A gate (is there a passage, how far has it been right, has the place been seen after the word so far) selects a set of weights;
+their weighted sum is the mixed prediction.  After every GROUP bits the sets are refined by the gradient of the bits' coding cost.  The costs add up to the text's total, in bits per byte or as log10 probability.
+Contexts, passages, gate and weights depend on earlier bits alone, so the probabilities of all continuations add up to one.
 
 Counts are gathered from every training text.  Those after the word so far are exact and grow with the corpus: they are the counts of the vocabulary's branches.  The vocabulary (every distinct token of docs with its training count) is dealt
 in ranges of its sorted words; the branches of a range are found by reading the words side by side, letter by letter.  Branches that a border of ranges cuts (beginnings of the border words) are summed over ranges first. So each
 distinct word gets the stretched predictions of all bits of its spelling once, however often it occurs.  Counts after three bytes are kept in ``BUCKETS`` hashed contexts, those after one and two bytes exactly: tables of
-2 * 2**24 + 2**16 bytes at most, which go to all tasks.
+2 * 2**24 + 2**16 bytes at most, which go to all tasks.  Passages are rows by the hash of their anchor.
 
-Each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts and predictions of its own distinct words by a join; so no task or the driver holds the vocabulary.
+Each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts and predictions of its own distinct words, and the passages of its own anchors, by joins; so no task or the driver holds the vocabulary.
 Weights are refined through the whole text, from ``WEIGHTS`` at its start (a group also ends after every ``STRETCH`` words of a text, which bounds memory); so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
 
 Beside the score there is a unigram base, from the same counts of words.
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import TO_LOWER, U64, Rolling, Scratch, signed, text_blocks, words_of
+from spanloom.llm.common import TO_LOWER, U64, Rolling, Scratch, mix64, signed, text_blocks, words_of
 
 BLOCK, PIECE, STRETCH = 24 << 20, 1 << 22, 1 << 17
 #: Hashed contexts of three bytes.
@@ -39,9 +40,11 @@ BUCKETS = 1 << 16
 #: Distinct words of a range of the vocabulary; words sampled for each border; bytes of a border.
 RANGE, SAMPLED, BORDER = 150_000, 64, 48
 #: Bits between two refinements of the weights; their rate; what is added to counts; scale and bound of stretched predictions.
-GROUP, RATE, PRIOR, SCALE, MOST = 64, 0.002, 0.05, 15.0, 8.0
-#: First weights of the four contexts by gate: neither seen, three bytes seen, word so far seen, both.
-WEIGHTS = ((0.2, 0.8, 0.0, 0.0), (0.0, 0.25, 0.75, 0.0), (0.1, 0.3, 0.0, 0.6), (0.0, 0.05, 0.1, 0.85))
+GROUP, RATE, PRIOR, SCALE, MOST = 128, 0.004, 0.05, 15.0, 8.0
+#: Anchors are one in so many places; words of a passage at most; the strength of its bits; bytes after which it is far.
+EVERY, PASSAGE, SURE, FAR = 16, 64, 45, 16
+#: First weights of the five predictors by gate: no passage, one that has been right for a while, one that has been right for FAR bytes; each for word so far unseen and seen.
+WEIGHTS = ((0.2, 0.3, 0.6, 0.0, 0.0), (0.0, 0.1, 0.5, 0.4, 0.0), (0.1, 0.1, 0.3, 0.0, 1.2), (0.0, 0.0, 0.25, 0.5, 1.25), (0.0, 0.0, 0.2, 0.0, 2.0), (0.0, 0.0, 0.2, 0.5, 2.1))
 SPACE, END = 32, 10
 END_TOKEN = np.int64(-0x123456789ABCDEF)
 
@@ -70,6 +73,8 @@ class Code:
         self.first = np.cumsum(self.size) - self.size
         self.node = np.array([x for p in paths for x, _ in p], dtype=np.int64)
         self.bit = np.array([x for p in paths for _, x in p], dtype=np.int8)
+        #: How many bits two bytes' paths share.
+        self.common = np.array([[next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), len(p)) for q in paths] for p in paths])
 
     def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol's index, place in node and bit) of all bits of symbols, in order."""
@@ -103,6 +108,18 @@ class Tokens:
         if len(starts):
             self.hash[word] = signed(Rolling(self.low).spans(starts, ends))
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of the two words, first token after them, where the passage ends) of every anchor."""
+        h = self.hash.view(U64)
+        both = mix64(mix64(h[:-1]) + h[1:])
+        second = np.ones(len(both), dtype=bool)  # of two words of one text
+        second[self.hash[1:] == END_TOKEN] = False
+        second[self.hash[:-1] == END_TOKEN] = False
+        at = np.flatnonzero(second & (both % U64(EVERY) == 0))
+        start = at + 2
+        text_end = self.first[np.searchsorted(self.first, at, side="right")]
+        return signed(both[at]), start, np.minimum(np.minimum(np.append(start[1:], len(h)), text_end), start + PASSAGE)
+
     def spelled(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, where each token's begin) of some tokens."""
         size = self.size[which]
@@ -113,6 +130,12 @@ class Tokens:
         return flat, at
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of half-open intervals, one interval after the other."""
+    size = hi - lo
+    return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+
+
 def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of one, two and three bytes before each; texts begin at begins, preceded by ends."""
     p = [np.full(len(flat), END, dtype=np.uint32) for _ in range(3)]
@@ -125,7 +148,7 @@ def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # A text of one byte is followed by the next text, whose own beginning has been set above.
     two = p[1] << np.uint32(8) | p[0]
     three = ((p[2] << np.uint32(16) | two) * np.uint32(2654435761)) >> np.uint32(16)
-    return p[0], two, three & np.uint32(BUCKETS - 1)
+    return p[0].astype(np.uint8), two.astype(np.uint16), (three & np.uint32(BUCKETS - 1)).astype(np.uint16)
 
 
 def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +158,7 @@ def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(kind, h, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; n counts training texts."""
+    """(kind, h, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; passages (3) of anchors; n counts training texts."""
 
     def rows(kind: int, h: np.ndarray, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
         words = pa.nulls(len(h), pa.binary()) if words is None else words
@@ -147,7 +170,7 @@ def counted(docs: DataFrame) -> DataFrame:
         return rows(t["kind"][0].as_py(), h, t["word"].take(pa.array(first)).combine_chunks(), np.bincount(at, t["n"].to_numpy(), len(h)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: []}
+        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: [], 3: []}
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", PIECE):
                 learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
@@ -157,12 +180,20 @@ def counted(docs: DataFrame) -> DataFrame:
                 words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
                 held[0].append(rows(0, h, words, np.bincount(at, np.repeat(learn, np.diff(t.first)), len(h))))
                 if learn.any():
-                    mine = np.flatnonzero(np.repeat(learn, np.diff(t.first)))
-                    flat, ends = t.spelled(mine)
+                    taught = np.repeat(learn, np.diff(t.first))
+                    flat, ends = t.spelled(np.flatnonzero(taught))
                     own = np.diff(t.first)[learn]
                     _, two, three = before(flat, ends[np.cumsum(own) - own])
                     for kind, context in ((1, two), (2, three)):
-                        held[kind].append(rows(kind, *(lambda cell, n: (cell, None, n))(*_counts(context << np.uint32(8) | flat))))
+                        cell, n = _counts(context.astype(np.uint32) << np.uint32(8) | flat)
+                        held[kind].append(rows(kind, cell, None, n))
+                    h, lo, hi = t.anchors()
+                    on = taught[lo]
+                    h, lo, hi = h[on], lo[on], hi[on]
+                    flat, ends = t.spelled(ranges(lo, hi))
+                    ends = ends[np.concatenate(([0], np.cumsum(hi - lo)))]
+                    words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                    yield rows(3, h, words, np.ones(len(h)))
                 for kind, some in held.items():
                     if sum(b.num_rows for b in some) > 1_500_000:
                         yield summed(some)
@@ -323,25 +354,52 @@ class Mixer:
     def __init__(self, code: Code, one: np.ndarray, two: np.ndarray, three: np.ndarray):
         self.code, self.one, self.two, self.three = code, one, two, three
 
-    def inputs(self, flat: np.ndarray, begins: np.ndarray, trie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """((bits, 4) stretched predictions, bits) of spelled bytes of texts that begin at begins; trie: the predictions after the words so far."""
-        one, two, three = before(flat, begins)
-        x, y = np.empty((len(trie), 4), dtype=np.int8), np.empty(len(trie), dtype=np.int8)
+    def inputs(self, flat: np.ndarray, contexts: tuple[np.ndarray, ...], guess: np.ndarray, run: np.ndarray, trie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """((bits, 5) stretched predictions, gates, bits) of spelled bytes. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
+        x, y = np.zeros((len(trie), 8), dtype=np.int8), np.empty(len(trie), dtype=np.int8)  # eight, so that a bit's row moves as one number
         x[:, 3] = trie
+        gate = (trie != 0).astype(np.int8)
         done = 0
         for lo in range(0, len(flat), 1 << 18):
             part = slice(lo, lo + (1 << 18))
             of, path = self.code.bits(flat[part])
-            node, to = self.code.node[path], slice(done, done + len(of))
-            for k, (table, context) in enumerate(((self.one, one), (self.two, two), (self.three, three))):
+            node, bit, to = self.code.node[path], self.code.bit[path], slice(done, done + len(of))
+            for k, (table, context) in enumerate(zip((self.one, self.two, self.three), contexts, strict=True)):
                 x[to, k] = table[(context[part].astype(np.int64) << 8)[of] + node]
-            y[to] = self.code.bit[path]
+            asked = guess[part]
+            right = np.where(asked < 0, -1, self.code.common[flat[part], asked])[of]  # bits of each byte that the passage gets right
+            deep = path - self.code.first[flat[part]][of]
+            x[to, 4] = np.where(deep < right, SURE, np.where(deep == right, -SURE, 0)) * (2 * bit - 1)
+            gate[to] += 2 * np.where(deep <= right, run[part][of], 0).astype(np.int8)
+            y[to] = bit
             done += len(of)
-        return x, y
-
-
-def mixed(x: np.ndarray, y: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each bit's probability. x, y: inputs and bits of texts one after the other, size: bits of each; w: (texts, 4, 4) weights, refined in place."""
+        return x, gate, y
+
+
+def passages(t: Tokens, flat: np.ndarray, at: np.ndarray, known: "Known") -> tuple[np.ndarray, np.ndarray]:
+    """(guess, run) of all spelled bytes of t: see Mixer.inputs."""
+    guess, run = np.full(len(flat), -1, dtype=np.int16), np.zeros(len(flat), dtype=np.int8)
+    h, token, _ = t.anchors()
+    row = np.minimum(np.searchsorted(known.hash, h), max(len(known.hash) - 1, 0))
+    on = np.flatnonzero(known.hash[row] == h) if len(known.hash) else np.zeros(0, np.int64)
+    text_end = at[t.first[np.searchsorted(t.first, token[on], side="right")]]
+    lo, begin = known.at[row[on]], at[token[on]]
+    size = np.minimum(known.at[row[on] + 1] - lo, text_end - begin)
+    on = np.flatnonzero(size > 0)
+    lo, begin, size = lo[on], begin[on], size[on]
+    if len(on):
+        first = np.cumsum(size) - size
+        said, where = known.st[ranges(lo, lo + size)].view(np.uint8), ranges(begin, begin + size)
+        place = np.arange(len(said)) - np.repeat(first, size)
+        wrong = np.minimum.reduceat(np.where(said == flat[where], 1 << 40, place), first)  # the first wrong byte is predicted too
+        good = place <= np.repeat(wrong, size)
+        guess[where[good]] = said[good]
+        run[where[good]] = 1 + (place[good] >= FAR)
+    return guess, run
+
+
+def mixed(x: np.ndarray, gates: np.ndarray, y: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each bit's probability. x, gates, y: inputs, gates and bits of texts one after the other, size: bits of each; w: (texts, gates, inputs) weights, refined in place."""
     begin, steps = np.cumsum(size) - size, -(-size // GROUP)
     order = np.argsort(-steps, kind="stable")  # those still being read stay in front
     begin, left, steps = begin[order], size[order], steps[order]
@@ -349,19 +407,21 @@ def mixed(x: np.ndarray, y: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.n
     q = np.ones(len(y), dtype=np.float32)
     slot = np.arange(GROUP)
     lane = np.arange(len(size))[:, None]
+    wide = x.view(np.int64).ravel()
     for t, m in enumerate(np.searchsorted(-steps, -np.arange(int(steps[0]) if len(steps) else 0), side="left")):
         real = slot < (left[:m] - t * GROUP)[:, None]
         at = np.minimum(begin[:m, None] + t * GROUP + slot, len(y) - 1)
-        raw = x[at]
-        v = raw * np.float32(1 / SCALE)
-        gate = (raw[:, :, 3] != 0) * 2 + (raw[:, :, 2] != 0)
+        v = wide[at].view(np.int8).reshape(m, GROUP, 8)[:, :, : own.shape[2]] * np.float32(1 / SCALE)
+        gate = gates[at]
         s = np.einsum("gik,gik->gi", v, own[lane[:m], gate])
         np.clip(s, -12, 12, out=s)
         e = y[at] - 1 / (1 + np.exp(-s))
         q[at[real]] = (1 - np.abs(e))[real]
         e *= real * np.float32(RATE)
-        for g in range(4):
-            own[:m, g] += np.einsum("gi,gik->gk", e * (gate == g), v)
+        for g in range(own.shape[1]):
+            mine = gate == g
+            if mine.any():
+                own[:m, g] += np.einsum("gi,gik->gk", e * mine, v)
     w[order] = own
     return np.log(q)
 
@@ -371,66 +431,43 @@ def first_weights(texts: int) -> np.ndarray:
 
 
 class Known:
-    """The counts and predictions of a block's words, sorted by hash."""
+    """Counts and byte strings of a block's words or anchors, sorted by hash."""
 
     def __init__(self, t: pa.Table):
         t = t.take(pc.sort_indices(t["h"])).combine_chunks()
         self.hash, self.n = t["h"].to_numpy(), t["n"].to_numpy()
         st = t["st"].combine_chunks() if isinstance(t["st"], pa.ChunkedArray) else t["st"]
-        self.at = np.frombuffer(st.buffers()[1], dtype=np.int32, count=len(st) + 1 + st.offset)[st.offset :].astype(np.int64)
-        self.st = np.frombuffer(st.buffers()[2], dtype=np.int8) if st.buffers()[2] is not None else np.zeros(0, np.int8)
+        st = pa.concat_arrays(st.chunks) if isinstance(st, pa.ChunkedArray) else st
+        self.at = np.frombuffer(st.buffers()[1], dtype=np.int32, count=len(st) + 1 + st.offset)[st.offset :].astype(np.int64) if len(st) else np.zeros(1, np.int64)
+        self.st = np.frombuffer(st.buffers()[2], dtype=np.int8) if st.buffers()[2] is not None and len(st) else np.zeros(0, np.int8)
 
     def bits(self, which: np.ndarray) -> np.ndarray:
         size = self.at[which + 1] - self.at[which]
         return self.st[np.arange(size.sum()) + np.repeat(self.at[which] - (np.cumsum(size) - size), size)]
 
 
-def text_costs(t: Tokens, which: np.ndarray, known: Known, mixer: Mixer) -> np.ndarray:
-    """The natural logarithm of each text's probability. which: the row in known of each token."""
+def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> np.ndarray:
+    """The natural logarithm of each text's probability. which: the row in known of each token; anchored: passages by anchor."""
     texts = len(t.first) - 1
     w, gain = first_weights(texts), np.zeros(texts)
-    tail = np.zeros((texts, 3), dtype=np.uint8) + END
+    flat, at = t.spelled(np.arange(len(t.hash)))
+    contexts = before(flat, at[t.first[:-1]])
+    guess, run = passages(t, flat, at, anchored)
     for r in range(-(-int(np.diff(t.first).max(initial=0)) // STRETCH)):
         a = np.minimum(t.first[:-1] + r * STRETCH, t.first[1:])
         b = np.minimum(a + STRETCH, t.first[1:])
         on = np.flatnonzero(b > a)
-        many = (b - a)[on]
-        rows = np.arange(many.sum()) + np.repeat(a[on] - (np.cumsum(many) - many), many)
-        flat, at = t.spelled(rows)
-        begins = at[np.cumsum(many) - many]
-        ends = np.append(begins[1:], len(flat))
-        trie = known.bits(which[rows])
-        if r:  # three bytes of the stretch before lead each text on
-            lead = np.concatenate([np.append(tail[k], flat[i:j]) for k, i, j in zip(on, begins, ends, strict=True)])
-            skip = int(mixer.code.size[tail[on]].sum())
-            x, y, size = continued(mixer, lead, tail[on], begins, ends, trie, skip)
-        else:
-            x, y = mixer.inputs(flat, begins, trie)
-            long = mixer.code.size[flat]
-            size = np.add.reduceat(long, begins) if len(begins) else np.zeros(0, np.int64)
+        part = ranges(at[a[on]], at[b[on]]) if r or (b < t.first[1:]).any() else slice(None)
+        x, gate, y = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], known.bits(which[ranges(a[on], b[on])]))
+        many = at[b[on]] - at[a[on]]
+        size = np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(many) - many)
         own = w[on]
-        logs = mixed(x, y, size, own)
+        logs = mixed(x, gate, y, size, own)
         w[on] = own
         gain[on] += np.add.reduceat(logs.astype(np.float64), np.cumsum(size) - size)
-        for k, i, j in zip(on, begins, ends, strict=True) if (t.first[1:] > b).any() else ():
-            tail[k] = np.append(tail[k], flat[max(i, j - 3) : j])[-3:]
     return gain
 
 
-def continued(mixer: Mixer, lead: np.ndarray, tail: np.ndarray, begins: np.ndarray, ends: np.ndarray, trie: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, bits and sizes of stretches that go on after tail: the three bytes are read for their context, then their bits dropped."""
-    heads = mixer.code.size[tail].sum(axis=1)
-    first = begins + 3 * np.arange(len(begins))
-    body = [mixer.code.size[lead[f + 3 : f + 3 + (j - i)]].sum() for f, i, j in zip(first, begins, ends, strict=True)]
-    size = np.array(body)
-    keep = np.concatenate([np.repeat([False, True], [h, s]) for h, s in zip(heads, size, strict=True)])
-    filled = np.zeros(len(keep), dtype=np.int8)
-    filled[keep] = trie
-    x, y = mixer.inputs(lead, first, filled)
-    assert skip == len(keep) - keep.sum()
-    return x[keep], y[keep], size
-
-
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row, by a model of the rows for which ``learn`` holds."""
     spark = docs.sparkSession
@@ -449,6 +486,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     sent = spark.sparkContext.broadcast(Mixer(code, *tables))
     vocabulary = counts.where("kind = 0").select("h", "word", "n")
     all_tokens, distinct, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count("*")).first()
+    most = counts.where("kind = 3").groupBy("h").agg(F.max(F.struct("n", F.length("word").alias("size"), "word")).alias("m"))
+    anchored = scratch.keep(most.select("h", "m.n", F.col("m.word").alias("st")))
+    scratch.settle()
     spelled = spelled_out(vocabulary, code, types, scratch)
     scratch.drop(1)
     scratch.settle()
@@ -459,40 +499,48 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     d = docs.select(F.col(id_col).alias("id"), text).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.int64)
+        last, held = None, [np.zeros(0, np.int64)] * 2
+
+        def rows() -> pa.RecordBatch:
+            size = [len(x) for x in held]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(sum(size), last, np.int32)), pa.array(np.repeat(np.arange(2, dtype=np.int32), size)), pa.array(np.concatenate(held))], names=["block", "kind", "h"])
+
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", PIECE):
                 block = part.column("block").to_numpy()
                 t = Tokens(data, offsets)
+                anchor, token, _ = t.anchors()
                 for b in np.unique(block):  # rows come in order of their blocks
                     if b != last and last is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int32)), pa.array(held)], names=["block", "h"])
-                        held = np.zeros(0, np.int64)
+                        yield rows()
+                        held = [np.zeros(0, np.int64)] * 2
                     last = b
                     at = np.flatnonzero(block == b)
-                    held = np.union1d(held, t.hash[t.first[at[0]] : t.first[at[-1] + 1]])
+                    lo, hi = t.first[at[0]], t.first[at[-1] + 1]
+                    held = [np.union1d(held[0], t.hash[lo:hi]), np.union1d(held[1], anchor[(token >= lo) & (token < hi)])]
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), last, np.int32)), pa.array(held)], names=["block", "h"])
+            yield rows()
 
-    asked = scratch.keep(d.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, h long"))
+    asked = scratch.keep(d.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, kind int, h long"))
     scratch.settle()
-    known = asked.join(spelled, "h").select("block", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "h", "n", "st")
-    both = known.unionByName(d.select("block", F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("st")))
+    none = [F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text")]
+    known = [asked.where(F.col("kind") == k).select("block", "kind", "h").join(x, "h").select("block", "kind", *none, "h", "n", "st") for k, x in ((0, spelled), (1, anchored))]
+    both = known[0].unionByName(known[1]).unionByName(d.select("block", F.lit(2).alias("kind"), "id", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("st")))
     both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
     floor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
-    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, mixer: Mixer) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> pa.RecordBatch:
         t = Tokens(data, offsets)
         which = np.searchsorted(known.hash, t.hash)
         own = known.n[which]
         size = np.add.reduceat(t.size, t.first[:-1])
-        score = text_costs(t, which, known, mixer) / np.log(10)
+        score = text_costs(t, which, known, anchored, mixer) / np.log(10)
         base = np.add.reduceat(np.log10(own + 0.5) - floor, t.first[:-1])
         ints = [np.diff(t.first), np.add.reduceat((own > 0).astype(np.int64), t.first[:-1])]
         return pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(a.astype(np.int64)) for a in ints], pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / size)], names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, held, words, known = sent.value, None, [], None
+        mixer, held, rows_of, known = sent.value, None, ([], []), None
         for batch in batches:
             block, what = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(what) != 0)) + 1
@@ -501,14 +549,15 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                     continue
                 rows = batch.slice(int(lo), int(hi - lo))
                 if block[lo] != held:
-                    held, words, known = block[lo], [], None
-                if what[lo] == 0:
-                    words.append(rows.select(["h", "n", "st"]))
+                    held, rows_of, known = block[lo], ([], []), None
+                if what[lo] < 2:
+                    rows_of[what[lo]].append(rows.select(["h", "n", "st"]))
                     continue
                 if known is None:
-                    known, words = Known(pa.Table.from_batches(words)), []
+                    known = [Known(pa.Table.from_batches(x, schema=rows.select(["h", "n", "st"]).schema)) for x in rows_of]
+                    rows_of = ([], [])
                 for piece in text_blocks(rows, "text", PIECE):
-                    yield scored(*piece, known, mixer)
+                    yield scored(*piece, *known, mixer)
 
     got = both.mapInArrow(judge, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -323,23 +323,44 @@ def test_lm_base_and_score(docs, none):
     assert lm_score.score_texts(none, learn).count() == 0
 
 
+def lm_passages(tokens: list[bytes]) -> list[tuple[tuple, int, int]]:
+    """(two words, first token after them, end) of the anchors of spelled tokens, which end with the text's end."""
+    out = []
+    for i in range(1, len(tokens) - 1):
+        t = lm_score.Tokens(np.frombuffer(b"".join(tokens[i - 1 : i + 1]), np.uint8), np.array([0, len(b"".join(tokens[i - 1 : i + 1]))]))
+        if len(t.anchors()[0]):
+            out.append(((tokens[i - 1], tokens[i]), i + 1))
+    ends = [x[1] for x in out[1:]] + [len(tokens)] * bool(out)
+    return [(w, k, min(e, len(tokens), k + lm_score.PASSAGE)) for (w, k), e in zip(out, ends, strict=True)]
+
+
 def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
     """log10 probabilities of texts (as bytes) by a plain loop over bits, with counts from train in dictionaries."""
     spell = lambda t: [w + b" " for w in t.lower().split()] + [b"\n"]
     code = lm_score.Code(np.bincount(np.frombuffer(b"".join(b"".join(spell(t)) for t in train), np.uint8), minlength=256))
-    counts: dict = {}
+    path_of = lambda byte: [(int(code.node[p]), int(code.bit[p])) for p in range(code.first[byte], code.first[byte] + code.size[byte])]
+    counts, on_from = {}, {}
+    for t in train:
+        tokens = spell(t)
+        for w, lo, hi in lm_passages(tokens):
+            own = on_from.setdefault(w, {})
+            own[b"".join(tokens[lo:hi])] = own.get(b"".join(tokens[lo:hi]), 0) + 1
+    best = {w: max(x.items(), key=lambda z: (z[1], len(z[0]), z[0]))[0] for w, x in on_from.items()}
 
     def steps(t):
-        tokens, past = spell(t), b"\n\n\n"
+        tokens, past, said, right = spell(t), b"\n\n\n", b"", 0
+        starts = {k: best.get(w) for w, k, _ in lm_passages(tokens)}
         for i, w in enumerate(tokens):
+            if starts.get(i):
+                said, right = starts[i], 0
             for d, byte in enumerate(w):
                 three = int.from_bytes(past[-3:], "big") * 2654435761 % 2**32 >> 16 & lm_score.BUCKETS - 1
-                a = code.first[byte]
-                yield i, [(code.node[p], code.bit[p]) for p in range(a, a + code.size[byte])], (past[-1:], past[-2:], three, (w[:d], 0))
+                yield i, path_of(byte), (past[-1:], past[-2:], three, w[:d]), (path_of(said[right]) if right < len(said) else [], 1 + (right >= lm_score.FAR))
+                said, right = (said, right + 1) if right < len(said) and said[right] == byte else (b"", 0)
                 past += bytes([byte])
 
     for t in train:
-        for _, path, contexts in steps(t):
+        for _, path, contexts, _ in steps(t):
             for node, bit in path:
                 for k, c in enumerate(contexts):
                     counts.setdefault((k, c, node), [0, 0])[bit] += 1
@@ -351,11 +372,11 @@ def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
             for gate, e, v in group:
                 w[gate] += lm_score.RATE * e * v
 
-        for i, path, contexts in steps(t):
+        for i, path, contexts, (guess, run) in steps(t):
             if i // lm_score.STRETCH != stretch:
                 refine(w, group)
                 group, stretch = [], i // lm_score.STRETCH
-            for node, bit in path:
+            for deep, (node, bit) in enumerate(path):
                 if len(group) == lm_score.GROUP:
                     refine(w, group)
                     group = []
@@ -363,7 +384,9 @@ def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
                 for k, c in enumerate(contexts):
                     zero, one = counts.get((k, c, node), (0, 0))
                     st.append(int(lm_score.stretched(np.array([one]), np.array([zero]))[0]))
-                gate, v = (st[3] != 0) * 2 + (st[2] != 0), np.array(st) / lm_score.SCALE
+                follows = deep < len(guess) and guess[:deep] == path[:deep]
+                st.append((lm_score.SURE if guess[deep][1] else -lm_score.SURE) if follows else 0)
+                gate, v = (st[3] != 0) + 2 * run * follows, np.array(st) / lm_score.SCALE
                 e = bit - 1 / (1 + np.exp(-np.clip(v @ w[gate], -12, 12)))
                 total += np.log(1 - abs(e))
                 group.append((gate, e, v))
@@ -376,7 +399,7 @@ def lm_rows():
     word = lambda: "".join(rng.choice(list("abcdéfg"), int(rng.integers(1, 7))))
     known = [word() for _ in range(120)]
     rows = [(i, " ".join(str(rng.choice(known)) if rng.random() < 0.9 else word() for _ in range(int(rng.integers(1, 60)))), "s") for i in range(40)]
-    return rows + [(40, None, "s"), (41, " \n", "s"), (42, rows[0][1], "s"), (43, "Zq " * 300, "s"), (44, "x" * 5000, "s"), (45, "y", "s")]
+    return rows + [(40, None, "s"), (41, " \n", "s"), (42, max((r[1] for r in rows), key=len) + " and on", "s"), (43, "Zq " * 300, "s"), (44, "x" * 5000, "s"), (45, "y", "s")]
 
 
 def test_lm_scores_against_a_plain_loop(spark, monkeypatch):
@@ -401,7 +424,7 @@ def test_lm_stretches_carry_weights(monkeypatch):
     """A text that takes several stretches against the plain loop, in one process."""
     monkeypatch.setattr(lm_score, "STRETCH", 7)
     texts = [(t or "").encode() for _, t, _ in lm_rows()][:12]
-    got, _ = lm_local(texts, texts)
+    got = lm_local(texts, texts)[0]
     assert np.allclose(got, np.array(lm_brute(texts, texts)) * np.log(10), rtol=1e-4)
 
 
@@ -420,36 +443,53 @@ def lm_local(train: list[bytes], texts: list[bytes], extra: tuple[bytes, ...] =
         for w in spell(t):
             count[w] = count.get(w, 0) + 1
     every = sorted({*count, *extra, *(w for t in texts for w in spell(t))})
+    index = {w: k for k, w in enumerate(every)}
     st, at = lm_score.predictions(every, np.array([count.get(w, 0) for w in every]), code)
     raw = b"".join(texts)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     t = lm_score.Tokens(np.frombuffer(raw, np.uint8), offsets)
     spelled = [w for x in texts for w in spell(x)]
-    known = lm_score.Known(lm_score.pa.table([t.hash, np.array([count.get(w, 0) for w in spelled]), lm_score.pa.array([st[at[k] : at[k + 1]].tobytes() for k in map(every.index, spelled)], lm_score.pa.binary())], names=["h", "n", "st"]))
-    return lm_score.text_costs(t, np.searchsorted(known.hash, t.hash), known, mixer), (mixer, dict(zip(every, (st[at[k] : at[k + 1]] for k in range(len(every))), strict=True)))
-
-
-def test_lm_probabilities_of_next_bytes_sum_to_one():
-    """After prefixes of many lengths (several groups of bits), within words and between them, the probabilities of all 256 next bytes add up to one."""
+    some: dict = {}
+    for x in train:
+        own = spell(x)
+        for w, lo, hi in lm_passages(own):
+            h = int(lm_score.Tokens(np.frombuffer(b"".join(w), np.uint8), np.array([0, len(b"".join(w))])).anchors()[0][0])
+            some.setdefault(h, {}).setdefault(b"".join(own[lo:hi]), []).append(1)
+    best = {h: max(x.items(), key=lambda z: (len(z[1]), len(z[0]), z[0]))[0] for h, x in some.items()}
+    table = lambda h, n, st: lm_score.Known(lm_score.pa.table([lm_score.pa.array(h, lm_score.pa.int64()), lm_score.pa.array(n, lm_score.pa.int64()), lm_score.pa.array(st, lm_score.pa.binary())], names=["h", "n", "st"]))
+    known = table(t.hash, [count.get(w, 0) for w in spelled], [st[at[k] : at[k + 1]].tobytes() for k in map(index.get, spelled)])
+    anchored = table(list(best), [1] * len(best), list(best.values()))
+    costs = lm_score.text_costs(t, np.searchsorted(known.hash, t.hash), known, anchored, mixer)
+    return costs, (mixer, dict(zip(every, (st[at[k] : at[k + 1]] for k in range(len(every))), strict=True)), anchored)
+
+
+def test_lm_probabilities_of_next_bytes_sum_to_one(monkeypatch):
+    """After prefixes of many lengths (several groups of bits), within words, between them and within passages, the probabilities of all 256 next bytes add up to one."""
+    monkeypatch.setattr(lm_score, "EVERY", 3)
     train = [(t or "").encode() for _, t, _ in lm_rows()]
-    words_before = train[3].split()[:25] + [b"unseen"] + train[5].split()[:9]
-    for n in (0, 1, 7, 20, 33):
-        for part in (b"", b"a", b"ab", b"zzz"):
+    source = train[42].split()
+    words_before = source[:25] + [b"unseen"] + source[20:33]
+    in_passage = set()
+    for n in (1, 7, 20, 24, 33):
+        for part in (b"", source[n][:1], source[n][:2], b"zzz"):
             nexts = [part + bytes([b]) + b" " if b != 32 else part + b" " for b in range(256)]
             lead = [w + b" " for w in words_before[:n]]
-            _, (mixer, st) = lm_local(train, [b" ".join(words_before)], tuple(nexts) + (part + b" ",))
+            _, (mixer, st, anchored) = lm_local(train, [b" ".join(words_before)], (*nexts, part + b" "))
             total = {}
             for b in (None, *range(256)):
                 tail = part if b is None else part + bytes([b])
                 word = part + b" " if b is None else nexts[b]
                 flat = np.frombuffer(b"".join(lead) + tail, np.uint8)
                 trie = np.concatenate([*(st[w] for w in lead), st[word][: mixer.code.size[np.frombuffer(tail, np.uint8)].sum() if tail else 0]])
-                if not len(flat):
-                    total[b] = 0.0
-                    continue
-                x, y = mixer.inputs(flat, np.array([0]), trie)
-                total[b] = float(lm_score.mixed(x, y, np.array([len(y)]), lm_score.first_weights(1)).astype(float).sum())
+                t = lm_score.Tokens(np.frombuffer(b"".join(lead), np.uint8), np.array([0, len(b"".join(lead))]))
+                at = t.spelled(np.arange(len(t.hash)))[1].copy()
+                at[-1] = len(flat)  # instead of the end, an open word
+                guess, run = lm_score.passages(t, flat, at, anchored)
+                x, gate, y = mixer.inputs(flat, lm_score.before(flat, np.array([0])), guess, run, trie)
+                in_passage |= set(gate[-3:].tolist())
+                total[b] = float(lm_score.mixed(x, gate, y, np.array([len(y)]), lm_score.first_weights(1)).astype(float).sum())
             assert abs(sum(np.exp(total[b] - total[None]) for b in range(256)) - 1) < 1e-4
+    assert in_passage & {2, 3, 4, 5}
 
 
 def test_lm_counts_of_ranges_agree():
