@@ -1,15 +1,15 @@
 """LM scoring by online logistic context mixing.
 
-A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts.  A predictor for each of four contexts
-(the last byte, the last two, the last three, and the whole word so far) looks up how often the bit was 0 and 1 after its context at this place of the code, and gives a stretched probability.  A fifth follows passages: at an anchor (two words whose
+A text is read as its words (A-Z lower-cased) with a space after each, then an end.  Every byte of that is spelled in bits by a Huffman code of the corpus' byte counts.  A predictor for each of three contexts
+(the last two bytes, the last three, and the whole word so far) looks up how often the bit was 0 and 1 after its context at this place of the code, and gives a stretched probability.  A fourth follows passages: at an anchor (two words whose
 hash says so, one place in ``EVERY``) it looks up how the training texts most often go on from there to the next anchor, and predicts those bytes until one is wrong.  A gate (is there a passage, how far has it been right, has the place been seen after the word so far) selects a set of weights;
 their weighted sum is the mixed prediction.  After every GROUP bits the sets are refined by the gradient of the bits' coding cost.  The costs add up to the text's total, in bits per byte or as log10 probability.
 Contexts, passages, gate and weights depend on earlier bits alone, so the probabilities of all continuations add up to one.
 
 Counts are gathered from every training text.  Those after the word so far are exact and grow with the corpus: they are the counts of the vocabulary's branches.  The vocabulary (every distinct token of docs with its training count) is dealt
 in ranges of its sorted words; the branches of a range are found by reading the words side by side, letter by letter.  Branches that a border of ranges cuts (beginnings of the border words) are summed over ranges first. So each
-distinct word gets the stretched predictions of all bits of its spelling once, however often it occurs.  Counts after three bytes are kept in ``BUCKETS`` hashed contexts, those after one and two bytes exactly: tables of
-2 * 2**24 + 2**16 bytes at most, which go to all tasks.  Passages are rows by the hash of their anchor.
+distinct word gets the stretched predictions of all bits of its spelling once, however often it occurs.  Counts after three bytes are kept in ``BUCKETS`` hashed contexts, those after two bytes exactly: tables of
+2 * 2**24 bytes at most, which go to all tasks.  Passages are rows by the hash of their anchor.
 
 Each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts and predictions of its own distinct words, and the passages of its own anchors, by joins; so no task or the driver holds the vocabulary.
 Weights are refined through the whole text, from ``WEIGHTS`` at its start (a group also ends after every ``STRETCH`` words of a text, which bounds memory); so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import TO_LOWER, U64, Rolling, Scratch, mix64, signed, text_blocks, words_of
 
-BLOCK, PIECE, STRETCH = 24 << 20, 1 << 22, 1 << 17
+BLOCK, PIECE, STRETCH = 24 << 20, 1 << 21, 1 << 17
 #: Hashed contexts of three bytes.
 BUCKETS = 1 << 16
 #: Distinct words of a range of the vocabulary; words sampled for each border; bytes of a border.
@@ -43,8 +43,8 @@ RANGE, SAMPLED, BORDER = 150_000, 64, 48
 GROUP, RATE, PRIOR, SCALE, MOST = 128, 0.004, 0.05, 15.0, 8.0
 #: Anchors are one in so many places; words of a passage at most; the strength of its bits; bytes after which it is far.
 EVERY, PASSAGE, SURE, FAR = 16, 64, 45, 16
-#: First weights of the five predictors by gate: no passage, one that has been right for a while, one that has been right for FAR bytes; each for word so far unseen and seen.
-WEIGHTS = ((0.2, 0.3, 0.6, 0.0, 0.0), (0.0, 0.1, 0.5, 0.4, 0.0), (0.1, 0.1, 0.3, 0.0, 1.2), (0.0, 0.0, 0.25, 0.5, 1.25), (0.0, 0.0, 0.2, 0.0, 2.0), (0.0, 0.0, 0.2, 0.5, 2.1))
+#: First weights of the four predictors by gate: no passage, one that has been right for a while, one that has been right for FAR bytes; each for word so far unseen and seen.
+WEIGHTS = ((0.35, 0.65, 0.0, 0.0), (0.1, 0.5, 0.4, 0.0), (0.1, 0.3, 0.0, 1.2), (0.0, 0.25, 0.5, 1.25), (0.0, 0.2, 0.0, 2.0), (0.0, 0.2, 0.5, 2.1))
 SPACE, END = 32, 10
 END_TOKEN = np.int64(-0x123456789ABCDEF)
 
@@ -136,8 +136,8 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
 
 
-def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of one, two and three bytes before each; texts begin at begins, preceded by ends."""
+def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of two and three bytes before each; texts begin at begins, preceded by ends."""
     p = [np.full(len(flat), END, dtype=np.uint32) for _ in range(3)]
     for k in range(3):
         p[k][k + 1 :] = flat[: len(flat) - k - 1]
@@ -148,7 +148,7 @@ def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # A text of one byte is followed by the next text, whose own beginning has been set above.
     two = p[1] << np.uint32(8) | p[0]
     three = ((p[2] << np.uint32(16) | two) * np.uint32(2654435761)) >> np.uint32(16)
-    return p[0].astype(np.uint8), two.astype(np.uint16), (three & np.uint32(BUCKETS - 1)).astype(np.uint16)
+    return two.astype(np.uint16), (three & np.uint32(BUCKETS - 1)).astype(np.uint16)
 
 
 def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,52 +157,60 @@ def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(kind, h, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; passages (3) of anchors; n counts training texts."""
+def binaries(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
-    def rows(kind: int, h: np.ndarray, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+
+def counted(docs: DataFrame, tasks: int) -> DataFrame:
+    """(kind, h, s, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; passages (3) of anchors, s their hash; n counts training texts."""
+
+    def rows(kind: int, h: np.ndarray, s: np.ndarray | None, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
         words = pa.nulls(len(h), pa.binary()) if words is None else words
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.astype(np.int64)), words, pa.array(n.astype(np.int64))], names=["kind", "h", "word", "n"])
+        s = np.zeros(len(h), np.int64) if s is None else s
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.astype(np.int64)), pa.array(s), words, pa.array(n.astype(np.int64))], names=["kind", "h", "s", "word", "n"])
 
-    def summed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def summed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        h, first, at = np.unique(t["h"].to_numpy(), return_index=True, return_inverse=True)
-        return rows(t["kind"][0].as_py(), h, t["word"].take(pa.array(first)).combine_chunks(), np.bincount(at, t["n"].to_numpy(), len(h)))
+        kind = t["kind"].to_numpy()
+        key = mix64(t["h"].to_numpy().view(U64) * U64(4) + kind.astype(U64)) + t["s"].to_numpy().view(U64)
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        t = t.take(pa.array(first)).set_column(4, "n", pa.array(np.bincount(at, t["n"].to_numpy(), len(first)).astype(np.int64)))
+        return t.combine_chunks().to_batches(100_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: [], 3: []}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for part, data, offsets in text_blocks(batch, "text", PIECE):
+            for part, data, offsets in text_blocks(batch, "text", 1 << 22):
                 learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
                 t = Tokens(data, offsets)
                 h, first, at = np.unique(t.hash, return_index=True, return_inverse=True)
-                flat, ends = t.spelled(first)
-                words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                held[0].append(rows(0, h, words, np.bincount(at, np.repeat(learn, np.diff(t.first)), len(h))))
+                taught = np.repeat(learn, np.diff(t.first))
+                held.append(rows(0, h, None, binaries(*t.spelled(first)), np.bincount(at, taught, len(h))))
                 if learn.any():
-                    taught = np.repeat(learn, np.diff(t.first))
                     flat, ends = t.spelled(np.flatnonzero(taught))
                     own = np.diff(t.first)[learn]
-                    _, two, three = before(flat, ends[np.cumsum(own) - own])
-                    for kind, context in ((1, two), (2, three)):
+                    for kind, context in enumerate(before(flat, ends[np.cumsum(own) - own]), 1):
                         cell, n = _counts(context.astype(np.uint32) << np.uint32(8) | flat)
-                        held[kind].append(rows(kind, cell, None, n))
+                        held.append(rows(kind, cell, None, None, n))
                     h, lo, hi = t.anchors()
                     on = taught[lo]
                     h, lo, hi = h[on], lo[on], hi[on]
                     flat, ends = t.spelled(ranges(lo, hi))
                     ends = ends[np.concatenate(([0], np.cumsum(hi - lo)))]
-                    words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                    yield rows(3, h, words, np.ones(len(h)))
-                for kind, some in held.items():
-                    if sum(b.num_rows for b in some) > 1_500_000:
-                        yield summed(some)
-                        some.clear()
-        for some in held.values():
-            if some:
-                yield summed(some)
+                    held.append(rows(3, h, signed(Rolling(flat).spans(ends[:-1], ends[1:])), binaries(flat, ends), np.ones(len(h))))
+                if sum(b.num_rows for b in held) > 2_000_000:
+                    yield from summed(held)
+                    held = []
+        if held:
+            yield from summed(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from summed(held)
 
-    return docs.mapInArrow(count, "kind int, h long, word binary, n long").groupBy("kind", "h", "word").agg(F.sum("n").alias("n"))
+    kinds = "kind int, h long, s long, word binary, n long"
+    return docs.mapInArrow(count, kinds).repartition(tasks, "h", "s").mapInArrow(merge, kinds)
 
 
 def table_of(cell: np.ndarray, n: np.ndarray, code: Code, contexts: int) -> np.ndarray:
@@ -316,31 +324,36 @@ def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "h", "word", "n"])
 
     dealt = vocabulary.select("h", "word", "n").mapInArrow(deal, "part int, h long, word binary, n long")
-    dealt = dealt.repartition(len(borders) + 1, "part").sortWithinPartitions("part", "word")
+    dealt = dealt.repartition(len(borders) + 1, "part").sortWithinPartitions("part")
+
+    def in_order(t: pa.Table) -> pa.Table:
+        return t.take(pc.sort_indices(t["word"])).combine_chunks()
 
     def near(part: int) -> list[bytes]:
         borders = sent.value[1]
         return borders[max(0, part - 1) : part + 1]
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in groups_of(batches):
-            got = cut(t["word"].to_pylist(), t["n"].to_numpy(), near(part))
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = in_order(pa.Table.from_batches(held))
+            got = cut(t["word"].to_pylist(), t["n"].to_numpy(), sent.value[1])
             rows = [(x, b, int(v[b])) for x, v in got.items() for b in np.flatnonzero(v)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["beginning", "byte", "n"])
 
     shared: dict[bytes, np.ndarray] = {b[:d]: np.zeros(256) for b in borders for d in range(len(b))}
     if borders:  # at most BORDER beginnings for each border
-        for r in dealt.mapInArrow(border, "beginning binary, byte int, n long").groupBy("beginning", "byte").agg(F.sum("n").alias("n")).collect():
+        for r in vocabulary.select("word", "n").mapInArrow(border, "beginning binary, byte int, n long").groupBy("beginning", "byte").agg(F.sum("n").alias("n")).collect():
             shared[bytes(r.beginning)][r.byte] = r.n
     cuts = spark.sparkContext.broadcast(shared)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = sent.value[0]
         for part, t in groups_of(batches):
+            t = in_order(t)
             beginnings = {b[:d] for b in near(part) for d in range(len(b))}
             flat, at = predictions(t["word"].to_pylist(), t["n"].to_numpy(), code, near(part), {x: cuts.value[x] for x in beginnings})
-            st = pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            yield from pa.table([t["h"], t["n"], st], names=["h", "n", "st"]).to_batches(50_000)
+            yield from pa.table([t["h"], t["n"], binaries(flat, at)], names=["h", "n", "st"]).to_batches(50_000)
 
     return scratch.keep(dealt.mapInArrow(spell, "h long, n long, st binary"))
 
@@ -351,29 +364,31 @@ def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch)
 class Mixer:
     """The tables that all tasks hold."""
 
-    def __init__(self, code: Code, one: np.ndarray, two: np.ndarray, three: np.ndarray):
-        self.code, self.one, self.two, self.three = code, one, two, three
+    def __init__(self, code: Code, two: np.ndarray, three: np.ndarray):
+        self.code, self.two, self.three = code, two, three
 
-    def inputs(self, flat: np.ndarray, contexts: tuple[np.ndarray, ...], guess: np.ndarray, run: np.ndarray, trie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """((bits, 5) stretched predictions, gates, bits) of spelled bytes. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
-        x, y = np.zeros((len(trie), 8), dtype=np.int8), np.empty(len(trie), dtype=np.int8)  # eight, so that a bit's row moves as one number
-        x[:, 3] = trie
-        gate = (trie != 0).astype(np.int8)
+    def inputs(self, flat: np.ndarray, contexts: tuple[np.ndarray, ...], guess: np.ndarray, run: np.ndarray, trie: np.ndarray) -> np.ndarray:
+        """(bits, 8) of spelled bytes: four stretched predictions, gate, bit, 1 and 0. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
+        x = np.zeros((len(trie), 8), dtype=np.int8)
+        x[:, 2], x[:, 4], x[:, 6] = trie, trie != 0, 1
         done = 0
-        for lo in range(0, len(flat), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            of, path = self.code.bits(flat[part])
-            node, bit, to = self.code.node[path], self.code.bit[path], slice(done, done + len(of))
-            for k, (table, context) in enumerate(zip((self.one, self.two, self.three), contexts, strict=True)):
-                x[to, k] = table[(context[part].astype(np.int64) << 8)[of] + node]
-            asked = guess[part]
-            right = np.where(asked < 0, -1, self.code.common[flat[part], asked])[of]  # bits of each byte that the passage gets right
-            deep = path - self.code.first[flat[part]][of]
-            x[to, 4] = np.where(deep < right, SURE, np.where(deep == right, -SURE, 0)) * (2 * bit - 1)
-            gate[to] += 2 * np.where(deep <= right, run[part][of], 0).astype(np.int8)
-            y[to] = bit
-            done += len(of)
-        return x, gate, y
+        for lo in range(0, len(flat), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            symbol, asked = flat[part], guess[part]
+            long = self.code.size[symbol]
+            path = np.arange(long.sum()) + np.repeat(self.code.first[symbol] - (np.cumsum(long) - long), long)
+            node, bit, to = self.code.node[path], self.code.bit[path], slice(done, done + len(path))
+            for k, (table, context) in enumerate(zip((self.two, self.three), contexts, strict=True)):
+                x[to, k] = table[np.repeat(context[part].astype(np.int32) << 8, long) + node]
+            x[to, 5] = bit
+            if (asked >= 0).any():
+                right = np.where(asked < 0, -1, self.code.common[symbol, asked])  # bits of each byte that the passage gets right
+                deep = path - np.repeat(self.code.first[symbol], long)
+                right, far = np.repeat(right, long), np.repeat(run[part], long)
+                x[to, 3] = np.where(deep < right, SURE, np.where(deep == right, -SURE, 0)) * (2 * bit - 1)
+                x[to, 4] += (2 * far * (deep <= right)).astype(np.int8)
+            done += len(path)
+        return x
 
 
 def passages(t: Tokens, flat: np.ndarray, at: np.ndarray, known: "Known") -> tuple[np.ndarray, np.ndarray]:
@@ -398,32 +413,40 @@ def passages(t: Tokens, flat: np.ndarray, at: np.ndarray, known: "Known") -> tup
     return guess, run
 
 
-def mixed(x: np.ndarray, gates: np.ndarray, y: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each bit's probability. x, gates, y: inputs, gates and bits of texts one after the other, size: bits of each; w: (texts, gates, inputs) weights, refined in place."""
-    begin, steps = np.cumsum(size) - size, -(-size // GROUP)
+def mixed(x: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The natural logarithms of texts' probabilities. x: inputs of texts one after the other, size: bits of each; w: (texts, gates, inputs) weights, refined in place."""
+    steps = -(-size // GROUP)
     order = np.argsort(-steps, kind="stable")  # those still being read stay in front
-    begin, left, steps = begin[order], size[order], steps[order]
+    lanes = np.searchsorted(-steps[order], -np.arange(int(steps.max(initial=0))), side="left")  # texts that have a step
+    first = np.cumsum(lanes) - lanes
+    lane = np.empty(len(size), np.int64)
+    lane[order] = np.arange(len(size))
+    # Groups in order of their steps, those of one step side by side.
+    slot = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.zeros(int(lanes.sum()) * GROUP, dtype=np.int64)
+    group = first[slot // GROUP] + np.repeat(lane, size)
+    wide[group * GROUP + slot % GROUP] = x.view(np.int64).ravel()
+    del slot, group
+    wide = wide.view(np.int8).reshape(-1, GROUP, 8)
     own = w[order]
-    q = np.ones(len(y), dtype=np.float32)
-    slot = np.arange(GROUP)
-    lane = np.arange(len(size))[:, None]
-    wide = x.view(np.int64).ravel()
-    for t, m in enumerate(np.searchsorted(-steps, -np.arange(int(steps[0]) if len(steps) else 0), side="left")):
-        real = slot < (left[:m] - t * GROUP)[:, None]
-        at = np.minimum(begin[:m, None] + t * GROUP + slot, len(y) - 1)
-        v = wide[at].view(np.int8).reshape(m, GROUP, 8)[:, :, : own.shape[2]] * np.float32(1 / SCALE)
-        gate = gates[at]
-        s = np.einsum("gik,gik->gi", v, own[lane[:m], gate])
+    gates, inputs = own.shape[1:]
+    gain = np.zeros(len(size))
+    every = np.arange(gates, dtype=np.int8)
+    base = np.arange(len(size))[:, None] * gates
+    for at, m in zip(first, lanes, strict=True):
+        part = wide[at : at + m]
+        v = part[:, :, :inputs] * np.float32(1 / SCALE)
+        gate = part[:, :, 4]
+        s = np.einsum("gik,gik->gi", v, own[:m].reshape(-1, inputs)[base[:m] + gate])
         np.clip(s, -12, 12, out=s)
-        e = y[at] - 1 / (1 + np.exp(-s))
-        q[at[real]] = (1 - np.abs(e))[real]
-        e *= real * np.float32(RATE)
-        for g in range(own.shape[1]):
-            mine = gate == g
-            if mine.any():
-                own[:m, g] += np.einsum("gi,gik->gk", e * mine, v)
+        e = (part[:, :, 5] - 1 / (1 + np.exp(-s))) * part[:, :, 6]
+        gain[:m] += np.log(1 - np.abs(e)).sum(axis=1, dtype=np.float64)
+        e *= np.float32(RATE)
+        own[:m] += np.matmul(((gate[:, None, :] == every[:, None]) * e[:, None, :]), v)
     w[order] = own
-    return np.log(q)
+    out = np.empty(len(size))
+    out[order] = gain
+    return out
 
 
 def first_weights(texts: int) -> np.ndarray:
@@ -458,13 +481,12 @@ def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixe
         b = np.minimum(a + STRETCH, t.first[1:])
         on = np.flatnonzero(b > a)
         part = ranges(at[a[on]], at[b[on]]) if r or (b < t.first[1:]).any() else slice(None)
-        x, gate, y = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], known.bits(which[ranges(a[on], b[on])]))
+        x = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], known.bits(which[ranges(a[on], b[on])]))
         many = at[b[on]] - at[a[on]]
         size = np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(many) - many)
         own = w[on]
-        logs = mixed(x, gate, y, size, own)
+        gain[on] += mixed(x, size, own)
         w[on] = own
-        gain[on] += np.add.reduceat(logs.astype(np.float64), np.cumsum(size) - size)
     return gain
 
 
@@ -475,14 +497,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce("text", F.lit("")).alias("text")
-    counts = scratch.keep(counted(docs.select(text, F.coalesce(learn, F.lit(False)).alias("learn"))))
+    counts = scratch.keep(counted(docs.select(text, F.coalesce(learn, F.lit(False)).alias("learn")), n))
     scratch.settle()
     cells = [counts.where(F.col("kind") == k).select("h", "n").toArrow() for k in (1, 2)]  # 2**24 at most of each
     cells = [(t["h"].to_numpy(), t["n"].to_numpy()) for t in cells]
     code = Code(np.bincount(cells[0][0] & 255, cells[0][1], 256))
-    one, at = np.unique(cells[0][0] & 0xFFFF, return_inverse=True)
-    one = one, np.bincount(at, cells[0][1], len(one)).astype(np.int64)
-    tables = [table_of(h, m, code, size) for (h, m), size in ((one, 256), (cells[0], 1 << 16), (cells[1], BUCKETS))]
+    tables = [table_of(h, m, code, size) for (h, m), size in ((cells[0], 1 << 16), (cells[1], BUCKETS))]
     sent = spark.sparkContext.broadcast(Mixer(code, *tables))
     vocabulary = counts.where("kind = 0").select("h", "word", "n")
     all_tokens, distinct, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count("*")).first()

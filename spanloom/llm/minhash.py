@@ -7,8 +7,8 @@ to be found.  A node with one document ends; a node of at most ``SMALL`` documen
 
 Comparison of nodes doesn't emit all pairs of a group.  In a round every document meets one pivot, that of the largest of its nodes that has one it isn't connected with; so a
 round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node
-branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  In the end all pairs of a node that are still in different components, and whose 128 minima agree often enough, are
-confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL, which is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
+branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  In the end all pairs of a node that are still in different components, and whose 256 minima agree often enough, are
+confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL. (First each document only with the one of other components that its minima agree with most, so that a loose group joins before its other pairs are listed.) That is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
 the last depth.  Links are confirmed on full sets.
 
 Recall: a pair at the threshold shares a root child in 1 - 0.25 ** (root tokens) of cases, over 0.9999; for pairs in nodes that branch to
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import BASES, U64, Scratch, components, mix64, signed, text_blocks
 from spanloom.llm.shingles import linked, shingle_hashes, shingle_sets
 
-K, TREES, SMALL, DEPTH, ROUNDS = 128, 12, 128, 6, 2
+#: Minwise tokens (16 bits of each are kept); how far under the threshold their agreement may lie.
+K, SLACK = 256, 0.092
+TREES, SMALL, DEPTH, ROUNDS = 12, 128, 6, 2
 #: Root children of each document in which large groups of near copies are joined first, before any other node is looked at.
 FIRST = 4
-SLACK = 0.13
 #: Ids up to this many are broadcast to pick the texts to confirm; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -56,15 +57,15 @@ ROOTS = mix64(np.arange(5001, 5001 + TREES, dtype=np.uint64))
 
 def minima(s: np.ndarray) -> np.ndarray:
     out = np.full(K, np.iinfo(np.uint64).max, dtype=U64)
-    for k in range(0, len(s), 4096):
-        part = s[k : k + 4096, None] ^ _XOR[None, :]
+    for k in range(0, len(s), 256):  # a block that stays in cache
+        part = s[k : k + 256, None] ^ _XOR[None, :]
         part *= _MUL[None, :]
         np.minimum(out, part.min(axis=0), out=out)
     return out
 
 
 def sketches(docs: DataFrame, id_col: str, similarity: float) -> DataFrame:
-    """(id, n_shingles, c1, c2, sig, nodes) of every row: the set's size, 128 bits of its hash, 64 minima, and its nodes below the roots."""
+    """(id, n_shingles, c1, c2, sig, nodes) of every row: the set's size, 128 bits of its hash, 256 minima, and its nodes below the roots."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,7 @@ def sketches(docs: DataFrame, id_col: str, similarity: float) -> DataFrame:
                     c1.append(int(np.bitwise_xor.reduce(mix64(s ^ BASES[0]))) if len(s) else 0)
                     c2.append(int(mix64(s ^ BASES[1]).sum(dtype=U64)) if len(s) else 0)
                     m = minima(s)
-                    sig.append(m.astype(np.uint32).tobytes() if len(s) else None)
+                    sig.append(m.astype(np.uint16).tobytes() if len(s) else None)
                     nodes.append(signed(child(ROOTS[tree], j, m[j])) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(c1, U64))), pa.array(signed(np.array(c2, U64))), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
@@ -96,7 +97,7 @@ def branch(rows: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy().view(U64)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, K)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, K)
             row, j = np.nonzero(selected(node, similarity))
             made = child(node[row], j, sig[row, j].astype(U64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(made)), batch.column(1).take(pa.array(row))], names=["node", "id"])
@@ -129,8 +130,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return at.mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def across(rows: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (node, block, id, component, outside, here, sig, n) that may be similar: one of another component, one of its block.
+def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of rows (node, block, id, component, outside, here, sig, n) that may be similar: one of another component, one of its block. best: of each document only the likeliest.
 
     Rows come sorted by node and block; a block has at most a few times SMALL rows of its own, while those of other components than the node's largest stand in all its blocks.
     """
@@ -141,15 +142,19 @@ def across(rows: DataFrame, least: float, percent: int) -> DataFrame:
         ids, here = t["id"].combine_chunks(), t["here"].to_numpy()
         outside, size = t["outside"].to_numpy(), t["n"].to_numpy()
         part = t["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, K)
-        mine, left, right = np.flatnonzero(here), [], []
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint16).reshape(-1, K)
+        mine, left, right, likely = np.flatnonzero(here), [], [], []
         for q in np.flatnonzero(outside):
             other = mine[(part[mine] != part[q]) & (100 * np.minimum(size[mine], size[q]) >= percent * np.maximum(size[mine], size[q]))]
-            hit = other[(sig[other] == sig[q]).sum(axis=1) >= least * K]
+            agree = (sig[other] == sig[q]).sum(axis=1)
+            hit = np.flatnonzero(agree >= least * K)
+            if best and len(hit):
+                hit = hit[[agree[hit].argmax()]]
             left.append(np.full(len(hit), q))
-            right.append(hit)
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], names=["x", "y"])
+            right.append(other[hit])
+            likely.append(agree[hit])
+        left, right, likely = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, likely))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(likely)], names=["x", "y", "agree"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -168,7 +173,9 @@ def across(rows: DataFrame, least: float, percent: int) -> DataFrame:
         if held:
             yield pairs(held)
 
-    got = rows.mapInArrow(walk, f"x {kind}, y {kind}")
+    got = rows.mapInArrow(walk, f"x {kind}, y {kind}, agree long")
+    if best:
+        got = got.groupBy("x").agg(F.max(F.struct("agree", "y"))["y"].alias("y"))
     return got.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -243,17 +250,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
     levels = range(first, scratch.n + 1)
     found = scratch.keep(found.select("node", "id"))
     scratch.drop(*levels)
-    meet(found, ROUNDS)
-
-    rows = divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    all_blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))
-    rows = rows.join(reps, "id").select("node", "block", "id", "component", "outside", "here", "sig", "n")
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "block").sortWithinPartitions("node", "block")
-    pairs = across(rows, similarity - SLACK, percent)
-    links = scratch.keep(links.unionByName(confirmed(scratch.keep(pairs), texts, percent)))
-    comp = components(links, scratch)
+    meet(found, 1)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for best in (True, False):
+        rows = divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main"))
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+        all_blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))
+        rows = rows.join(reps, "id").select("node", "block", "id", "component", "outside", "here", "sig", "n")
+        pairs = across(rows.repartition(n, "node", "block").sortWithinPartitions("node", "block"), similarity - SLACK, percent, best)
+        more = scratch.keep(confirmed(scratch.keep(pairs), texts, percent))
+        scratch.settle()
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = components(links, scratch)
+    comp = labelled(classes.select("id"), label).select(F.col("id").alias("node"), "component")
 
     of_class = classes.select("c1", "c2", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     out = sk.select("id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
@@ -270,7 +282,7 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint32).reshape(-1, K) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, K) for k in (2, 3))
             yield batch.filter(pa.array((x == y).sum(axis=1) >= least * K)).select([0, 1])
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {kind}, b {kind}")

@@ -355,7 +355,7 @@ def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
                 said, right = starts[i], 0
             for d, byte in enumerate(w):
                 three = int.from_bytes(past[-3:], "big") * 2654435761 % 2**32 >> 16 & lm_score.BUCKETS - 1
-                yield i, path_of(byte), (past[-1:], past[-2:], three, w[:d]), (path_of(said[right]) if right < len(said) else [], 1 + (right >= lm_score.FAR))
+                yield i, path_of(byte), (past[-2:], three, w[:d]), (path_of(said[right]) if right < len(said) else [], 1 + (right >= lm_score.FAR))
                 said, right = (said, right + 1) if right < len(said) and said[right] == byte else (b"", 0)
                 past += bytes([byte])
 
@@ -386,7 +386,7 @@ def lm_brute(train: list[bytes], texts: list[bytes]) -> list[float]:
                     st.append(int(lm_score.stretched(np.array([one]), np.array([zero]))[0]))
                 follows = deep < len(guess) and guess[:deep] == path[:deep]
                 st.append((lm_score.SURE if guess[deep][1] else -lm_score.SURE) if follows else 0)
-                gate, v = (st[3] != 0) + 2 * run * follows, np.array(st) / lm_score.SCALE
+                gate, v = (st[2] != 0) + 2 * run * follows, np.array(st) / lm_score.SCALE
                 e = bit - 1 / (1 + np.exp(-np.clip(v @ w[gate], -12, 12)))
                 total += np.log(1 - abs(e))
                 group.append((gate, e, v))
@@ -411,7 +411,7 @@ def test_lm_scores_against_a_plain_loop(spark, monkeypatch):
     for ranges, stretch in ((150_000, 1 << 17), (20, 7)):
         monkeypatch.setattr(lm_score, "STRETCH", stretch)
         monkeypatch.setattr(lm_score, "RANGE", ranges)
-        code = lm_score.counted(df.select(lm_score.F.coalesce("text", lm_score.F.lit("")).alias("text"), learned.alias("learn")))
+        code = lm_score.counted(df.select(lm_score.F.coalesce("text", lm_score.F.lit("")).alias("text"), learned.alias("learn")), 3)
         assert code.where("kind = 0").count() == len({w for _, t, _ in rows for w in words(t)} | {None})
         got = {r.doc_id: r.score for r in lm_score.score_texts(df, learned).collect()}
         if stretch > 7:
@@ -436,7 +436,7 @@ def lm_local(train: list[bytes], texts: list[bytes], extra: tuple[bytes, ...] =
     begins = np.cumsum([len(x) for x in flat]) - [len(x) for x in flat]
     code = lm_score.Code(np.bincount(data, minlength=256))
     contexts = lm_score.before(data, begins)
-    tables = [lm_score.table_of(*(lambda c, n: (c.astype(np.int64), n))(*lm_score._counts(c.astype(np.uint32) << np.uint32(8) | data)), code, size) for c, size in zip(contexts, (256, 1 << 16, lm_score.BUCKETS), strict=True)]
+    tables = [lm_score.table_of(*(lambda c, n: (c.astype(np.int64), n))(*lm_score._counts(c.astype(np.uint32) << np.uint32(8) | data)), code, size) for c, size in zip(contexts, (1 << 16, lm_score.BUCKETS), strict=True)]
     mixer = lm_score.Mixer(code, *tables)
     count: dict[bytes, int] = {}
     for t in train:
@@ -485,9 +485,9 @@ def test_lm_probabilities_of_next_bytes_sum_to_one(monkeypatch):
                 at = t.spelled(np.arange(len(t.hash)))[1].copy()
                 at[-1] = len(flat)  # instead of the end, an open word
                 guess, run = lm_score.passages(t, flat, at, anchored)
-                x, gate, y = mixer.inputs(flat, lm_score.before(flat, np.array([0])), guess, run, trie)
-                in_passage |= set(gate[-3:].tolist())
-                total[b] = float(lm_score.mixed(x, gate, y, np.array([len(y)]), lm_score.first_weights(1)).astype(float).sum())
+                x = mixer.inputs(flat, lm_score.before(flat, np.array([0])), guess, run, trie)
+                in_passage |= set(x[-3:, 4].tolist())
+                total[b] = float(lm_score.mixed(x, np.array([len(x)]), lm_score.first_weights(1))[0])
             assert abs(sum(np.exp(total[b] - total[None]) for b in range(256)) - 1) < 1e-4
     assert in_passage & {2, 3, 4, 5}
 
