@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,27 +40,32 @@ def score_drop(scores: DataFrame) -> DataFrame:
 
 
 def penalized_runs(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float | None = None, factor: float = 1.0, most: float | None = None) -> list[tuple[int, int]]:
-    """Runs (first, last) that maximise centred scores less a threshold for each run, by dynamic programming."""
+    """Runs (first, last) that maximise centred scores less a threshold for each run.
+
+    One scan: a run that begins at i and ends before j adds (best of i - prefix of i) + prefix of j - threshold, so only the largest first part among the allowed beginnings counts.  With a longest
+    duration beginnings leave in order, and the largest of those that are left stands in front of a queue of falling values: O(chunks) either way.  A gain counts from 1e-9 on; the earliest beginning wins.
+    """
     x = scores.astype(np.float32).astype(float)
-    n = len(x)
-    threshold = penalty if penalty is not None else float(x.std()) * factor * np.sqrt(2 * np.log(max(n, 2)))
-    total = np.concatenate(([0.0], np.cumsum(x - x.mean())))
-    best, back = np.zeros(n + 1), np.full(n + 1, -1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i in range(j):
-            if most is not None and ends[j - 1] - starts[i] > most:
-                continue
-            value = best[i] + total[j] - total[i] - threshold
-            if value > best[j] + 1e-9:
-                best[j], back[j] = value, i
-    out, j = [], n
-    while j > 0:
-        if back[j] < 0:
-            j -= 1
-        else:
-            out.append((int(back[j]), j - 1))
-            j = int(back[j])
+    threshold = penalty if penalty is not None else float(x.std()) * factor * np.sqrt(2 * np.log(max(len(x), 2)))
+    prefix = np.append(0.0, np.cumsum(x - x.mean()))
+    queue: deque[tuple[float, int]] = deque()
+    state: tuple[float, tuple] = (0.0, ())  # the best sum so far, and its runs as a chain (earlier chain, first, last)
+    chains = []
+    for j in range(len(x)):
+        chains.append(state)
+        first_part = state[0] - prefix[j]
+        while queue and first_part > queue[-1][0] + 1e-9:
+            queue.pop()
+        queue.append((first_part, j))
+        while most is not None and queue and ends[j] - starts[queue[0][1]] > most:
+            queue.popleft()
+        if queue and queue[0][0] + prefix[j + 1] - threshold > state[0] + 1e-9:
+            gain, i = queue[0]
+            state = (gain + prefix[j + 1] - threshold, (chains[i][1], i, j))
+    out, chain = [], state[1]
+    while chain:
+        chain, *run = chain
+        out.append(tuple(run))
     return out[::-1]
 
 

@@ -276,11 +276,12 @@ def m04_diagnostics(s, d):
 # ---------------------------------------------------------------- frames
 
 
-def _frames(method, mapped, **params):
+def _frames(method, mapped, n=8, **params):
     def f(s, d):
         w, m = V.windows(s, d), V.meta(s, d)
-        to = joins.windows_to_chunks(w, V.chunks(s, d), m) if mapped else None
-        return r6(frames.select_frames(w, V.relevance(s, d), m, method, 8, V.STEP, to, **params), "frame_time")
+        c = V.chunks(s, d) if mapped else None
+        to = joins.windows_to_chunks(w, c, m) if mapped else None
+        return r6(frames.select_frames(w, V.relevance(s, d), m, method, n, V.STEP, to, c if method == "weighted" else None, **params), "frame_time")
 
     return f
 

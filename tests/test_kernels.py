@@ -96,3 +96,47 @@ def test_zero_variance_and_short_series():
     assert chunking.kernel_change_points(np.ones((3, 2)), None, 2) == []
     assert frames.segment_boundaries(np.ones(5)) in ([], [1], [1, 2, 3, 4])
     assert moments.penalized_runs(np.ones(4), np.arange(4), np.arange(4) + 1) == []
+
+
+def test_allocate_gives_the_best_segments_one_frame_each():
+    assert frames.allocate(np.array([5.0, 0.0, 0.0]), np.array([9, 9, 9]), 2).tolist() == [1, 1, 0]
+    assert frames.allocate(np.array([0.0, 1.0, 3.0]), np.array([9, 9, 9]), 1).tolist() == [0, 0, 1]
+    assert frames.allocate(np.array([1.0, 1.0]), np.array([9, 9]), 5, False).tolist() == [3, 2]
+
+
+def test_weighted_looks_beside_chunks_without_windows():
+    """Chunk 0 holds no window: the one nearest to its middle stands for it, and the other chunks keep their own."""
+    g = group(6, 2, np.array([1, 1, 1, 2, 2, 2]))
+    g.rel = np.array([0.1, 0.9, 0.2, 0.3, 0.8, 0.4])
+    g.spans = [(-5.0, 0.0), (0.0, 6.0), (6.0, 12.0)]
+    assert sorted(frames.weighted(g, 5)) == [0, 1, 2, 4, 5] or sorted(frames.weighted(g, 5)) == [0, 1, 2, 3, 4]
+    assert frames.weighted(g, 3) == [0, 1, 4]
+    assert sorted(frames.weighted(g, 2)) == [1, 4]
+    assert len(frames.weighted(g, 6)) == 6
+
+
+def test_stretch_probes_the_nearest_free_window_later_first():
+    g = group(5)
+    g.rel = np.array([0.0, 0.0, 1.0, 0.0, 0.0])
+    assert frames.stretch(g, 3, 1.0) == [2, 3, 1]
+    assert sorted(frames.stretch(g, 5, 1.0)) == list(range(5))
+
+
+def test_uniform_topk_of_one_frame():
+    g = group(3)
+    g.rel = np.array([0.1, 0.9, 0.2])
+    assert frames.uniform_topk(g, 1) == [1] and frames.uniform_topk(g, 2) == [0, 1]
+
+
+@given(VALUES, st.integers(1, 4), st.floats(0.01, 0.5))
+@settings(max_examples=60, deadline=None)
+def test_penalized_runs_with_a_longest_duration(values, most, penalty):
+    """Against all ways to choose runs of at most so many chunks."""
+    x = np.array(values).astype(np.float32).astype(float)
+    n, c = len(x), x - x.mean()
+    best = np.zeros(n + 1)
+    for j in range(1, n + 1):
+        best[j] = max([best[j - 1], *(best[i] + c[i:j].sum() - penalty for i in range(max(0, j - most), j))])
+    got = moments.penalized_runs(np.array(values), np.arange(n), np.arange(n) + 1, penalty, most=most)
+    assert all(b - a < most for a, b in got) and all(p[1] < q[0] for p, q in itertools.pairwise(got))
+    assert abs(sum(c[a : b + 1].sum() - penalty for a, b in got) - best[n]) < 1e-6
