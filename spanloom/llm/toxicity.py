@@ -8,8 +8,8 @@ trained on ordinary text, which makes usual text cost the same on either side.
 Calibration, on labelled texts that the dictionaries haven't seen: how often each difference occurs in windows of either class gives each
 difference its log likelihood ratio; four summaries of a text's ratios are turned into a probability by a logistic curve.
 
-The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` of each class, by order of a hash of the id, and of texts of at most ``TEXT`` bytes.  Scoring reads every
-text whole; its memory is bounded by the longest text.  The model (a few kB) goes to the tasks with the plan; nothing is shuffled but ids of labels.
+The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` of each class, by order of a hash of the id.  Of a labelled text with more than ``RUNS`` * ``RUN`` words, that many runs are read, evenly spaced from its
+first word to its last; the common base is trained on ``BASE_WINDOWS`` windows (about), picked by a hash among those of all ordinary texts.  Scoring reads every text whole; its memory is bounded by the longest text.  The model (a few kB) goes to the tasks with the plan; nothing is shuffled but ids of labels.
 
 Defined results: null, empty and blank texts score like a text whose summaries are all 0; without labels of both classes every score is 0.5; repeated rows repeat their score; a null label or id is not learned from; labels that contradict each
 other for an id count as toxic; an empty table gives an empty result; other columns are not read.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import text_blocks
 
-SAMPLE, TEXT = 3000, 1 << 16
+SAMPLE, RUNS, RUN, BASE_WINDOWS = 3000, 512, 16, 60_000
 WIDTH, STEP = 8, 4
 LEAST, FEWEST, RATIO = 0.02, 5, 0.1
 OWN, BASE = 1024, 4096
@@ -46,6 +46,15 @@ def windows(text: bytes) -> list[bytes]:
     return [b" ".join(words[i : i + WIDTH]) for i in range(0, len(words) - WIDTH + STEP, STEP)]
 
 
+def thinned(text: str) -> str:
+    """The text, or RUNS runs of RUN words, evenly spaced over all of it."""
+    words = text.split()
+    if len(words) <= RUNS * RUN:
+        return text
+    starts = np.linspace(0, len(words) - RUN, RUNS).astype(int)
+    return " ".join(w for a in starts for w in words[a : a + RUN])
+
+
 def compressor(content: bytes) -> zs.ZstdCompressor:
     how = zs.ZstdCompressionParameters(min_match=5, strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=14, chain_log=14, search_log=6, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0)
     return zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how)
@@ -142,7 +151,9 @@ def train(rows: list[tuple[object, bytes, int]]) -> Model:
         lines = ([w for w in text if w in good] for text in words[y])
         return [b" " + b" ".join(line[i : i + WIDTH]) + b" " for line in lines for i in range(0, len(line), WIDTH)]
 
-    base = dictionary([w for _, t, y in teach if not y for w in windows(t)][:60_000], BASE)
+    ordinary = [w for _, t, y in teach if not y for w in windows(t)]
+    part = min(1.0, BASE_WINDOWS / max(1, len(ordinary)))
+    base = dictionary([w for w in ordinary if zlib.crc32(w) <= part * 0xFFFFFFFF], BASE)
     plain = Model(base + dictionary(telling(1), OWN), base + dictionary(telling(0), OWN), CONSTANT.ratios, CONSTANT.curve)
     of = plain.differences()
     seen = [(of(t), y) for _, t, y in judge]
@@ -162,7 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         some = known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
         picked = some if picked is None else picked.unionByName(some)
     ids = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # 2 * SAMPLE at most
-    rows = docs.select(id_col, "text").where(F.octet_length("text") <= TEXT).join(F.broadcast(ids), id_col).collect()
+    sampled = docs.select(id_col, "text").where("text IS NOT NULL").join(F.broadcast(ids), id_col)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(1, "text", pa.array([thinned(t) for t in batch.column(1).to_pylist()], pa.string()))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = sampled.select(id_col, "text", "_y").mapInArrow(thin, f"`{id_col}` {kind}, text string, _y int").collect()  # RUNS * RUN words of each at most
     return train([(r[0], r[1].encode(), r[2]) for r in rows])
 
 

@@ -171,6 +171,23 @@ def labelled():
     return rows
 
 
+def test_line_dedup_passes_clashing_columns_through(spark):
+    """Whatever other columns are called, their values come through; long texts and repeated rows too."""
+    names = ["_th", "_id", "_gone", "_lines", "_filled", "_covered", "_removed", "row", "id", "th", "_"]
+    text = "a\nb\nc"
+    rows = [(1, text, *names), (2, text + "\nd", *names), (2, text + "\nd", *names), (3, "\n".join(f"l{k}" for k in range(50_000)) + "\n" + text, *names)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))).collect()
+    assert all([r[c] for c in names] == names for r in got)
+    assert [(r.doc_id, r.n_removed) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, 0), (2, 3), (2, 3), (3, 3)]
+
+
+def test_toxicity_reads_long_labelled_texts_from_end_to_end():
+    text = " ".join(f"w{k}" for k in range(100_000))
+    got = toxicity.thinned(text).split()
+    assert len(got) == toxicity.RUNS * toxicity.RUN and got[0] == "w0" and got[-1] == "w99999"
+    assert toxicity.thinned("a  b") == "a  b"
+
+
 def test_toxicity_learns_and_scores(spark, none):
     rows = labelled()
     d = spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(1000, None, "s"), (1001, "", "s"), (None, "plain1 plain2", "s"), (0, rows[0][1], "s")], DOCS)
