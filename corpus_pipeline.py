@@ -4,7 +4,7 @@ Toxic documents go; later occurrences of repeated line windows go from the texts
 mixed to the sources' target weights, in training order.  Stages before the last return the columns of documents.
 
 Nulls, empty and repeated rows: a document without text passes every stage but the mix, which takes nothing from it; a document without id is never a near duplicate and never
-leaves as one; rows that repeat an id after the near-duplicate stage are one; an empty table stays empty.  Other columns are dropped by the first stage.
+leaves as one; rows that repeat an id are one document to the near-duplicate stage, which keeps the row of the least text; an empty table stays empty.  Other columns are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import toxicity
-from spanloom.llm.common import SPACE_CHARS, Scratch, table
+from spanloom.llm.common import Scratch, table
 from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.minhash import near_duplicates
@@ -39,8 +39,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    some = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
+    return some.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the mix takes, by training position; a copy that is taken in part is cut after its take_words words."""
     flat = training_order(mix(docs, keep=("text", "lang")))
-    words = F.slice(F.split(F.btrim("text", F.lit(SPACE_CHARS)), "[ \\t\\n\\x0B\\f\\r]+"), F.lit(1), F.greatest(F.lit(1), F.col("take_words")).cast("int"))
-    text = F.when(F.col("take_words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    space = "[ \\t\\n\\x0B\\f\\r]"
+    words = F.slice(F.split("text", f"(?<!{space})(?={space})"), F.lit(1), F.greatest(F.lit(1), F.col("take_words")).cast("int"))  # each with the white space before it
+    text = F.when(F.col("take_words") < F.col("size"), F.array_join(words, "")).otherwise(F.col("text"))
     return flat.select("doc_id", "copy", "position", "take_words", "size", "source", "lang", text.alias("text"))
 
 
