@@ -151,9 +151,8 @@ def train(rows: list[tuple[object, bytes, int]]) -> Model:
         lines = ([w for w in text if w in good] for text in words[y])
         return [b" " + b" ".join(line[i : i + WIDTH]) + b" " for line in lines for i in range(0, len(line), WIDTH)]
 
-    ordinary = [w for _, t, y in teach if not y for w in windows(t)]
-    part = min(1.0, BASE_WINDOWS / max(1, len(ordinary)))
-    base = dictionary([w for w in ordinary if zlib.crc32(w) <= part * 0xFFFFFFFF], BASE)
+    part = min(1.0, BASE_WINDOWS / max(1, sum(map(len, words[0])) // STEP))
+    base = dictionary([w for _, t, y in teach if not y for w in windows(t) if zlib.crc32(w) <= part * 0xFFFFFFFF], BASE)
     plain = Model(base + dictionary(telling(1), OWN), base + dictionary(telling(0), OWN), CONSTANT.ratios, CONSTANT.curve)
     of = plain.differences()
     seen = [(of(t), y) for _, t, y in judge]
