@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
     few = pool.count() <= BROADCAST_IDS
     texts = scratch.keep(docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(pool) if few else pool, "id", "left_semi"))
 
+    done = (scratch.n - 2, scratch.n - 1, scratch.n)
     # Rows that share an id are one node of the graph, so the classes of their texts meet.
     repeated = some.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x <> y").select("id")
     links = some.join(repeated, "id").join(classes.select("c1", "c2", F.col("id").alias("b")), ["c1", "c2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
@@ -266,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
             links = links.unionByName(more)
             label = components(links, scratch)
     comp = labelled(classes.select("id"), label).select(F.col("id").alias("node"), "component")
+    scratch.drop(*done)  # the result reads the sketches, the classes and the components
 
     of_class = classes.select("c1", "c2", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     out = sk.select("id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
