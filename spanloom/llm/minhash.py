@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from spanloom.llm.shingles import linked, shingle_hashes, shingle_sets
 
 #: Minwise tokens (16 bits of each are kept); how far under the threshold their agreement may lie.
 K, SLACK = 256, 0.092
-TREES, SMALL, DEPTH, ROUNDS = 12, 128, 6, 2
+TREES, SMALL, DEPTH, ROUNDS = 12, 512, 6, 2
 #: Root children of each document in which large groups of near copies are joined first, before any other node is looked at.
 FIRST = 4
 #: Ids up to this many are broadcast to pick the texts to confirm; more are joined by a shuffle.
@@ -131,23 +132,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of rows (node, block, id, component, outside, here, sig, n) that may be similar: one of another component, one of its block. best: of each document only the likeliest.
+    """Pairs (a, b) of rows (node, block, id, component, outside, here, sig, n, nodes) that may be similar: one of another component, one of its block. best: of each document only the likeliest.
 
     Rows come sorted by node and block; a block has at most a few times SMALL rows of its own, while those of other components than the node's largest stand in all its blocks.
+    nodes are all nodes of a document that rows hold: a pair is listed in the first node that it shares, and once there.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
-    def pairs(at: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def pairs(at: list[pa.RecordBatch], here_node: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(at)
         ids, here = t["id"].combine_chunks(), t["here"].to_numpy()
         outside, size = t["outside"].to_numpy(), t["n"].to_numpy()
         part = t["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint16).reshape(-1, K)
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(t["nodes"]).to_numpy())
+        earlier = pc.list_flatten(t["nodes"]).to_numpy()
+        owner, earlier = owner[earlier < here_node], np.unique(earlier[earlier < here_node], return_inverse=True)[1]
+        begin, own = np.searchsorted(owner, np.arange(len(ids) + 1)), np.zeros(len(earlier) + 1, dtype=bool)
         mine, left, right, likely = np.flatnonzero(here), [], [], []
         for q in np.flatnonzero(outside):
             other = mine[(part[mine] != part[q]) & (100 * np.minimum(size[mine], size[q]) >= percent * np.maximum(size[mine], size[q]))]
+            if not best:
+                other = other[~outside[other] | (rank[other] < rank[q])]
             agree = (sig[other] == sig[q]).sum(axis=1)
             hit = np.flatnonzero(agree >= least * K)
+            if len(hit):
+                met = np.zeros(len(ids), dtype=bool)
+                own[earlier[begin[q] : begin[q + 1]]] = True
+                met[owner[own[earlier]]] = True
+                own[earlier[begin[q] : begin[q + 1]]] = False
+                hit = hit[~met[other[hit]]]
             if best and len(hit):
                 hit = hit[[agree[hit].argmax()]]
             left.append(np.full(len(hit), q))
@@ -166,12 +182,12 @@ def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame
             cuts = np.flatnonzero((np.diff(node) != 0) | (np.diff(block) != 0)) + 1
             for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(node)])), strict=True):
                 if held and key != (node[lo], block[lo]):
-                    yield pairs(held)
+                    yield pairs(held, key[0])
                     held = []
                 key = (node[lo], block[lo])
                 held.append(batch.slice(int(lo), int(hi - lo)))
         if held:
-            yield pairs(held)
+            yield pairs(held, key[0])
 
     got = rows.mapInArrow(walk, f"x {kind}, y {kind}, agree long")
     if best:
@@ -255,11 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for best in (True, False):
-        rows = divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main"))
+        rows = scratch.keep(divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main")))
+        nodes = rows.groupBy("id").agg(F.collect_list("node").alias("nodes"))
         rows = rows.withColumn("blocks", F.ceil(F.col("size") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         all_blocks = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
         rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))
-        rows = rows.join(reps, "id").select("node", "block", "id", "component", "outside", "here", "sig", "n")
+        rows = rows.join(reps.join(nodes, "id"), "id").select("node", "block", "id", "component", "outside", "here", "sig", "n", "nodes")
         pairs = across(rows.repartition(n, "node", "block").sortWithinPartitions("node", "block"), similarity - SLACK, percent, best)
         more = scratch.keep(confirmed(scratch.keep(pairs), texts, percent))
         scratch.settle()
