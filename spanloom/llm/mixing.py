@@ -82,9 +82,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = 1
     return d.select(id_col, "size", "source", "source_size", "target", taken.alias("taken"), "copies", *keep)
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes, range-sorted by training position."""
-    flat = mixed.select("*", F.explode("copies").alias("_copy")).drop("copies")
+def training_order(mixed: DataFrame, untaken: bool = False) -> DataFrame:
+    """One row for each copy that the mix takes, range-sorted by training position (ties by id and copy); untaken: then one for each document that it takes nothing from, without copy."""
+    each = F.explode_outer("copies") if untaken else F.explode("copies")
+    flat = mixed.select("*", each.alias("_copy")).drop("copies")
     flat = flat.select("*", "_copy.copy", "_copy.take_words", "_copy.position").drop("_copy")
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return flat.repartitionByRange(n, "position").sortWithinPartitions("position")
+    order = [F.col("position").asc_nulls_last(), F.col(mixed.columns[0]), F.col("copy")]  # ids deal the untaken over many ranges
+    return flat.repartitionByRange(n, *order).sortWithinPartitions(*order)

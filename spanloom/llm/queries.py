@@ -13,7 +13,7 @@ from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.lm_score import score_texts
 from spanloom.llm.minhash import near_duplicates
-from spanloom.llm.mixing import mix
+from spanloom.llm.mixing import mix, training_order
 from spanloom.llm.suffix_dedup import dedup_substrings
 from spanloom.llm.tokens import count_tokens
 from spanloom.llm.url_filter import Rule, filter_urls
@@ -63,8 +63,8 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mix(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"))
+    d = training_order(mix(table(spark, sf_dir, "documents")), untaken=True).where("copy = 0 OR copy IS NULL")  # a second copy follows a whole first one
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("first_position"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

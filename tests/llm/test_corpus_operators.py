@@ -13,6 +13,7 @@ from spanloom.llm.decontaminate import Items, edits, find_leaks, hashed_words
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.minhash import near_duplicates
 from spanloom.llm.mixing import mix, training_order
+from spanloom.llm.queries import op8_mix_sources
 from spanloom.llm.url_filter import Automaton, Rule, filter_urls
 
 DOCS = "doc_id long, text string, source string"
@@ -545,6 +546,28 @@ def test_mixing_totals(docs, none):
     assert mix(none).count() == 0
 
 
+def test_mixing_query_is_in_training_order(docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op8_mix_sources(docs.sparkSession, str(tmp_path)).collect()
+    at = [r.first_position for r in rows]
+    some = [x for x in at if x is not None]
+    assert len(some) > 10 and at == sorted(some) + [None] * (len(at) - len(some))
+    want = mix(docs).collect()
+    assert sorted((str(r.doc_id), r["size"], r.taken) for r in rows) == sorted((str(r.doc_id), r["size"], r.taken) for r in want)
+    # The targets by bisection of the level, from the texts alone.
+    size: dict = {}
+    for _, t, s in corpus():
+        size[s] = size.get(s, 0) + len(words(t))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(2 * size[s], weight[s] * level) for s in names) < 1.5 * sum(size.values()) else (lo, level)
+    for r in want:
+        assert abs(r.target - min(2 * size[r.source], weight[r.source] * hi)) < 1e-6 * (1 + r.target)
+
+
 def test_substrings_against_brute_force(spark, none):
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
