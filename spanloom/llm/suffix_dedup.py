@@ -12,6 +12,7 @@ the string alone; so all copies of a string have the same anchor gram.  Consecut
    a letter precedes gives, one step backward by that letter, a border of value v + 1, unless that border has a lesser one already.  Stopping at ``length`` leaves the borders whose prefix is at
    least that long: maximal intervals of rows with a common string, of which the first in the corpus stays.
 4. A gram with more than ``MOST`` different pieces is too much for one task; its strings are grouped by their own 128-bit hash instead, with an aggregate that is combined before its shuffle.
+   Bands of ``BAND`` neighbouring strings whose common part (by a 96-bit hash) is there once go before: they have no copies.
 
 Defined results: null and empty texts have zero bytes and no span; texts shorter than length are kept whole; matches never cross documents; rows that share an id are ordered by their text's hash
 (equal ones are one occurrence, and get the same result); a null id sorts first; an empty table gives an empty result; other columns are not read.
@@ -31,6 +32,8 @@ from spanloom.llm.common import BASES, U64, Rolling, Scratch, signed, text_block
 GRAM = 24
 #: Different pieces of a gram that one task sorts: under 3.3 MB of text and about 250 MB of arrays.
 MOST = 16_384
+#: Neighbouring strings of such a gram that are looked at together before each by itself.
+BAND = 8
 #: Bytes of distinct pieces that a bundle holds on average.
 BUNDLE = 1 << 20
 #: A text longer than this many bytes is searched in overlapping stretches of this size, so that memory stays bounded.
@@ -51,40 +54,73 @@ def anchors(grams: np.ndarray, window: int) -> np.ndarray:
     return where
 
 
-def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by their first depth letters at least, and each row's rank; every text ends with a letter of its own."""
-    _, rank = np.unique(s, return_inverse=True)
-    rank, done = rank.astype(np.int64), 1
-    while True:
-        key = rank << np.int64(32)
-        key[: len(key) - done] |= rank[done:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(len(key), dtype=bool)
-        fresh[0], fresh[1:] = True, key[order][1:] != key[order][:-1]
-        rank = np.empty(len(key), dtype=np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+    """Rows sorted by their first depth letters at least; every text ends with a letter of its own, from 256 on, in the texts' order."""
+    n, done = len(s), 7
+    # Seven letters at once, nine bits each. An end closes its row's key, and the text it belongs to tells the row from all others.
+    key, ended = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for k in range(done):
+        letter = np.zeros(n, dtype=np.int64)
+        letter[: max(0, n - k)] = np.minimum(s[k:], 256)
+        letter[ended] = 0
+        key = (key << np.int64(9)) | letter
+        ended |= letter == 256
+    order = np.argsort(key)
+    alone = np.flatnonzero(ended[order])
+    rows = order[alone]
+    order[alone] = rows[np.lexsort((rows, key[rows]))]
+    value = key[order]
+    fresh = np.concatenate((np.ones(min(n, 1), dtype=bool), value[1:] != value[:-1]))
+    fresh[alone] = True
+    fresh[alone[alone + 1 < n] + 1] = True
+    rank = np.empty(n, dtype=np.int64)  # the first place of a row's equals
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    while done < depth:
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # rows that still have equals; those don't end within done letters
+        if not len(tied):
+            break
+        rows = order[tied]
+        key = (rank[rows] << np.int64(32)) | rank[rows + done]
+        o = np.argsort(key)
+        rows, key = rows[o], key[o]
+        order[tied] = rows
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        fresh[tied] = new
+        rank[rows] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
         done *= 2
-        if done >= depth or fresh.all():
-            return order, rank
+    return order
 
 
 def long_borders(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """True where a row shares fewer than depth letters with the row before: breadth-first over values, backward on the transform."""
-    n = len(s)
+    n, value = len(s), 1
     last = s[order - 1]  # the transform: the letter before each row; the first text's start is preceded by the last text's own end
+    last = last.astype(np.uint16) if n and s.max() < 1 << 16 else last
     by_letter = np.argsort(last, kind="stable")  # rows by the letter before them: the k-th goes to row k one step backward
-    same = np.flatnonzero(last[by_letter][1:] == last[by_letter][:-1]) + 1
-    p, q = by_letter[same - 1], by_letter[same]  # neighbours of one letter, and
-    to = same  # the border between them one step backward
+    to = np.flatnonzero(last[by_letter][1:] == last[by_letter][:-1]) + 1
+    p, q = by_letter[to - 1], by_letter[to]  # neighbours of one letter, and to, the border between them one step backward
     border = np.ones(n, dtype=bool)
-    border[same] = False  # value 0: the letters themselves differ
-    for _ in range(1, depth):
+    border[to] = False  # value 0: the letters themselves differ
+    fresh = to[:0]
+    while value < depth:
         before = np.cumsum(border, dtype=np.int32)
         hit = before[q] > before[p]  # a border of a lesser value lies between them
-        if not hit.any():
-            break
-        border[to[hit]] = True
+        fresh, value = to[hit], value + 1
+        border[fresh] = True
         p, q, to = p[~hit], q[~hit], to[~hit]
+        if not len(fresh) or (q - p).sum() <= 2 * n:
+            break
+    # Between neighbours that are left lie only rows without a border, and the borders of the last value: these alone lead on.
+    if value < depth and len(fresh):
+        size = q - p
+        between = np.repeat(p + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        goal = np.repeat(to, size)[np.argsort(between)]
+        at = np.concatenate(([0], np.cumsum(np.bincount(between, minlength=n))))
+        while value < depth and len(fresh):
+            many = at[fresh + 1] - at[fresh]
+            goals = goal[np.repeat(at[fresh] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            fresh, value = np.unique(goals[~border[goals]]), value + 1
+            border[fresh] = True
     return border
 
 
@@ -96,7 +132,7 @@ def repeats(pieces: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarr
     for k, x in enumerate(pieces):
         s[at[k] : at[k + 1] - 1] = x
         s[at[k + 1] - 1] = 256 + k
-    order, _ = suffix_array(s, length)
+    order = suffix_array(s, length)
     border = long_borders(s, order, length)
     group = np.cumsum(border) - 1
     many = np.bincount(group)[group] > 1
@@ -156,18 +192,24 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
 def judged(found: DataFrame) -> DataFrame:
     """Of pieces sorted by gram, own hash and place: the later ones of equal pieces (later is true), and the first ones of grams with different pieces.
 
+    A piece at the place of the one before comes from a row that repeats its id and text; it is the same occurrence.
     Reads each partition as a stream and holds one batch, so a gram of any size needs no memory of its own.
     """
     columns = ["gram", "p1", "p2", "id", "pos", "n"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, own, waiting = None, None, None  # of the last row; waiting: a gram's only class so far
+        gram, own, waiting, before = None, None, None, None  # of the last row; waiting: a gram's only class so far; before: the last row's place
         for batch in batches:
             if not batch.num_rows:
                 continue
             g, a, b = (batch.column(k).to_numpy() for k in range(3))
             same_gram = np.concatenate(([gram is not None and g[0] == gram], g[1:] == g[:-1]))
             same = same_gram & np.concatenate(([own is not None and (a[0], b[0]) == own], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+            pos = batch.column(4).to_numpy()
+            again = np.flatnonzero(same & np.concatenate(([before is not None and pos[0] == before[1]], pos[1:] == pos[:-1])))
+            ids = pa.concat_arrays([pa.array([before[0] if before else None], batch.column(3).type), batch.column(3)]).dictionary_encode("encode").indices.to_numpy() if len(again) else None
+            again = again[ids[again] == ids[again + 1]] if len(again) else again
+            before = batch.column(3)[-1].as_py(), pos[-1]
             new = np.flatnonzero(~same)  # first of their class
             opens = ~same_gram[new]  # and of their gram
             follows = np.concatenate((~opens[1:], [False]))  # another class of the gram comes in this batch
@@ -179,6 +221,7 @@ def judged(found: DataFrame) -> DataFrame:
             if len(new) and opens[-1]:
                 waiting = flagged(batch.slice(int(new[-1]), 1), False)
             gram, own = g[-1], (a[-1], b[-1])
+            same[again] = False
             yield flagged(batch.take(pa.array(np.flatnonzero(same))), True)
             yield flagged(batch.take(pa.array(out)), False)
 
@@ -240,6 +283,44 @@ def expand(bundled: DataFrame, length: int) -> DataFrame:
     return bundled.mapInArrow(walk, f"id {kind}, pos long, n long")
 
 
+def bands(rows: DataFrame, length: int) -> DataFrame:
+    """(p1, p2, id, pos, bytes): of each piece of rows (gram, id, pos, bytes) its strings in bands of ``BAND`` neighbours, as shorter pieces with 96 bits of the hash of what all strings of the band have in common.
+
+    Bands are counted from the piece's gram (its first place in the piece is the anchor), so copies of a string lie in the same band and share its common part: a common part that is there once has no copies.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                raw = part.column(3).to_pylist()
+                data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+                size = np.array([len(x) for x in raw])
+                at = np.cumsum(size) - size
+                first, second = Rolling(data), Rolling(data, BASES[1])
+                place = np.arange(len(data) - GRAM + 1)
+                piece = np.searchsorted(at, place, side="right") - 1
+                here = np.flatnonzero(signed(first.spans(place, place + GRAM)) == part.column(0).to_numpy()[piece])
+                here = here[here + GRAM <= (at + size)[piece[here]]]
+                anchor = here[np.searchsorted(piece[here], np.arange(len(raw)))]
+                # Strings start from at to at + size - length; band b holds those that start up to b * BAND bytes before the gram, but not BAND more.
+                low, high = (anchor - at - size + length) // BAND, (anchor - at) // BAND
+                count = high - low + 1
+                row = np.repeat(np.arange(len(raw)), count)
+                b = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                core = anchor[row] - b * BAND
+                lo = np.maximum(at[row], core - BAND + 1)
+                n = np.minimum(core, (at + size)[row] - length) - lo + length
+                p1, p2 = (x.spans(core, core - BAND + 1 + length) for x in (first, second))
+                p2 = (p2 >> U64(32)).astype(np.uint32).view(np.int32)
+                pos = part.column(2).to_numpy()[row] + lo - at[row]
+                held = pa.array([data[a : a + m].tobytes() for a, m in zip(lo, n, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(p1)), pa.array(p2), part.column(1).take(pa.array(row)), pa.array(pos), held], names=["p1", "p2", "id", "pos", "bytes"])
+
+    return rows.select("gram", "id", "pos", "bytes").mapInArrow(find, f"p1 long, p2 int, id {kind}, pos long, bytes binary")
+
+
 def strings(rows: DataFrame, length: int) -> DataFrame:
     """(s1, s2, id, pos) of every string of rows (id, pos, bytes): the way of grams with too many pieces."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -271,15 +352,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100) -> Data
     varied = known.where("NOT later").drop("later")
     many = scratch.keep(varied.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("gram"))
 
-    usual = varied.join(many, "gram", "left_anti")
+    some_hot = not many.isEmpty()
+    whole = scratch.keep(with_bytes(varied, docs)) if some_hot else None  # texts are dealt once for both ways
     volume = varied.agg(F.sum("n")).first()[0] or 0
     bundles = max(1, volume // BUNDLE)
-    usual = with_bytes(usual, docs).withColumn("bundle", F.pmod(F.xxhash64("gram"), F.lit(bundles)))
+    usual = whole.join(many, "gram", "left_anti") if some_hot else with_bytes(varied, docs)
+    usual = usual.withColumn("bundle", F.pmod(F.xxhash64("gram"), F.lit(bundles)))
     usual = usual.repartition(max(1, min(bundles, max(n, bundles // 8))), "bundle").sortWithinPartitions("bundle", "id", "pos")
     varying = scratch.keep(expand(usual.select("bundle", "gram", "p1", "p2", "id", "pos", "bytes"), length))
     scratch.settle()
 
-    hot = scratch.keep(strings(with_bytes(varied.join(many, "gram"), docs), length)) if not many.isEmpty() else None
+    hot = None
+    if some_hot:
+        parts = scratch.keep(bands(whole.join(many, "gram"), length))
+        copied = parts.groupBy("p1", "p2").agg(F.count("*").alias("_many")).where("_many > 1").select("p1", "p2")
+        hot = scratch.keep(strings(parts.join(copied, ["p1", "p2"], "left_semi"), length))
+        scratch.settle()
     every = equal.unionByName(varying)
     if hot is not None:
         first = hot.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").drop("l")

@@ -568,6 +568,51 @@ def test_mixing_query_is_in_training_order(docs, tmp_path):
         assert abs(r.target - min(2 * size[r.source], weight[r.source] * hi)) < 1e-6 * (1 + r.target)
 
 
+def test_repeats_in_pieces_sorts_little(monkeypatch):
+    """Strings of pieces against brute force, and the work of the suffix array: only rows that still have equals are sorted again."""
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        letters = rng.integers(1, 4)
+        texts = [rng.integers(97, 97 + letters, rng.integers(1, 60)).astype(np.uint8) for _ in range(rng.integers(1, 6))]
+        texts += [texts[0].copy(), np.full(30, 255, np.uint8)]
+        length = int(rng.integers(1, 25))
+        want: dict = {}
+        for k, t in enumerate(texts):
+            for o in range(len(t) - length + 1):
+                want.setdefault(t[o : o + length].tobytes(), []).append((k, o))
+        got: dict = {}
+        for k, o, g in zip(*(x.tolist() for x in suffix_dedup.repeats(texts, length)), strict=True):
+            got.setdefault(g, []).append((k, o))
+        assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if len(x) > 1)
+    common = rng.integers(97, 123, 30)
+    s = np.concatenate([np.concatenate((rng.integers(97, 123, 80), common, rng.integers(97, 123, 80), [256 + k])) for k in range(200)])
+    work, sort = [], np.argsort
+    monkeypatch.setattr(suffix_dedup.np, "argsort", lambda x, **how: (work.append(len(x)), sort(x, **how))[1])
+    suffix_dedup.suffix_array(s, 100)
+    assert sum(work) <= 2 * len(s)  # 7 sorts of all rows before
+
+
+def test_strings_of_hot_grams_are_few(spark, monkeypatch):
+    """Pieces around a common passage, each with other text around: their strings that no other piece shares aren't dealt one by one."""
+    rng = np.random.default_rng(13)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklm "), n))
+    common = word(130)
+    rows = [(i, word(150) + common + word(150), "s") for i in range(60)]
+    rows += [rows[0], rows[0], (None, rows[1][1], "s"), (None, rows[1][1], "s")]
+    many, strings = [], suffix_dedup.strings
+    monkeypatch.setattr(suffix_dedup, "strings", lambda rows, length: (many.append(strings(rows, length).count()), strings(rows, length))[1])
+    monkeypatch.setattr(suffix_dedup, "MOST", 10)
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()
+    seen, want = set(), {}
+    for i, t in sorted({(-1 if i is None else i, t) for i, t, _ in rows}):
+        own = [k for k in range(331) if t[k : k + 100] in seen]
+        seen.update(t[k : k + 100] for k in range(331))
+        want[i] = len({x for k in own for x in range(k, k + 100)})
+    assert want[-1] == 0 and want[1] == 430 and all(want[i] >= 130 for i in range(2, 60))
+    assert len(got) == 64 and all(r.n_removed == want[-1 if r.doc_id is None else r.doc_id] for r in got)  # rows that repeat id and text are one occurrence
+    assert many and many[0] < 60 * 60  # all strings before
+
+
 def test_substrings_against_brute_force(spark, none):
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("abcdé "), n))
