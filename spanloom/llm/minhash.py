@@ -8,7 +8,7 @@ to be found.  A node with one document ends; a node of at most ``SMALL`` documen
 Comparison of nodes doesn't emit all pairs of a group.  In a round every document meets one pivot, that of the largest of its nodes that has one it isn't connected with; so a
 round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node
 branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  In the end all pairs of a node that are still in different components, and whose 256 minima agree often enough, are
-confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL. (First each document only with the one of other components that its minima agree with most, so that a loose group joins before its other pairs are listed.) That is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
+confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL, where each document's text comes once; the pairs themselves aren't listed. (First each document only with the one of other components that its minima agree with most, so that a loose group joins before its other pairs are listed.) That is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
 the last depth.  Links are confirmed on full sets.
 
 Recall: a pair at the threshold shares a root child in 1 - 0.25 ** (root tokens) of cases, over 0.9999; for pairs in nodes that branch to
@@ -132,7 +132,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of rows (node, block, id, component, outside, here, sig, n, nodes) that may be similar: one of another component, one of its block. best: of each document only the likeliest.
+    """Pairs of rows (node, block, id, component, outside, here, sig, n, nodes) that may be similar: one of another component, one of its block.
+
+    best: of each document only the likeliest, as (a, b). Else all, as groups (node, block, part, doc, others, agree): each document of a group once, with the others that it is to be compared with there;
+    a part has at most SMALL documents with others, so a group's rows are bounded and their number follows the rows, not the pairs.
 
     Rows come sorted by node and block; a block has at most a few times SMALL rows of its own, while those of other components than the node's largest stand in all its blocks.
     nodes are all nodes of a document that rows hold: a pair is listed in the first node that it shares, and once there.
@@ -169,9 +172,29 @@ def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame
             left.append(np.full(len(hit), q))
             right.append(other[hit])
             likely.append(agree[hit])
+        if not best:
+            return grouped(here_node, t["block"][0].as_py(), ids, left, right, likely)
         left, right, likely = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, likely))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(likely)], names=["x", "y", "agree"])
 
+    def grouped(node: int, block: int, ids: pa.Array, left: list[np.ndarray], right: list[np.ndarray], likely: list[np.ndarray]) -> pa.RecordBatch:
+        some = [k for k, x in enumerate(left) if len(x)]
+        part, doc, to, agree = [], [], [], []
+        for k in range(0, len(some), SMALL):
+            with_others = {int(left[x][0]): x for x in some[k : k + SMALL]}
+            for d in sorted(with_others.keys() | set(np.concatenate([right[x] for x in with_others.values()]).tolist())):
+                x = with_others.get(d)
+                part.append(k // SMALL)
+                doc.append(d)
+                to.append(right[x] if x is not None else np.zeros(0, np.int64))
+                agree.append(likely[x] if x is not None else np.zeros(0, np.int64))
+        at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in to]))).astype(np.int32))
+        others = pa.ListArray.from_arrays(at, ids.take(pa.array(np.concatenate([*to, np.zeros(0, np.int64)]))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(doc), node, np.int64)), pa.array(np.full(len(doc), block, np.int32)), pa.array(part, pa.int32()), ids.take(pa.array(doc, pa.int64())), others, pa.ListArray.from_arrays(at, pa.array(np.concatenate([*agree, np.zeros(0, np.int64)])))],
+            names=["node", "block", "part", "doc", "others", "agree"],
+        )
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
@@ -189,12 +212,68 @@ def across(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame
         if held:
             yield pairs(held, key[0])
 
+    if not best:
+        return rows.mapInArrow(walk, f"node long, block int, part int, doc {kind}, others array<{kind}>, agree array<long>")
     got = rows.mapInArrow(walk, f"x {kind}, y {kind}, agree long")
-    if best:
-        got = got.groupBy("x").agg(F.max(F.struct("agree", "y"))["y"].alias("y"))
+    got = got.groupBy("x").agg(F.max(F.struct("agree", "y"))["y"].alias("y"))
     return got.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def confirmed_in_groups(groups: DataFrame, texts: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) of groups (see across) by full sets, the likeliest first; a pair that the group's links already connect isn't compared. Each document's text meets its group once."""
+    kind = groups.schema["doc"].dataType.simpleString()
+    key = ["node", "block", "part"]
+    at = groups.join(texts.select(F.col("id").alias("doc"), "text"), "doc").select(*key, "doc", "others", "agree", "text")
+
+    def confirm(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sets = [s for rows in held for _, data, offsets in text_blocks(rows, "text") for s in shingle_sets(data, offsets)]
+        t = pa.Table.from_batches([x.select(["doc", "others", "agree"]) for x in held]).combine_chunks()
+        ids, others = t["doc"].combine_chunks(), t["others"].combine_chunks()
+        names = ids.unique()
+        node = pc.index_in(ids, names).to_numpy()  # rows that repeat an id are one node: each of its texts is compared
+        rows_of, asked = np.argsort(node, kind="stable"), pc.index_in(pc.list_flatten(others), names).to_numpy()
+        begin = np.searchsorted(node[rows_of], np.arange(len(names) + 1))
+        many = begin[asked + 1] - begin[asked]
+        left = np.repeat(np.repeat(np.arange(len(ids)), pc.list_value_length(others).to_numpy()), many)
+        right = rows_of[np.repeat(begin[asked] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        agree = np.repeat(pc.list_flatten(t["agree"].combine_chunks()).to_numpy(), many)
+        root, a, b = list(range(len(names))), [], []
+
+        def of(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        order = np.argsort(-agree, kind="stable")
+        for x, y in zip(left[order].tolist(), right[order].tolist(), strict=True):
+            rx, ry = of(int(node[x])), of(int(node[y]))
+            if rx != ry and linked(sets[x], sets[y], percent):
+                root[rx] = ry
+                a.append(x)
+                b.append(y)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        own = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            cuts = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in keys])) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, batch.num_rows), strict=True):
+                this = tuple(int(x[lo]) for x in keys)
+                if held and own != this:
+                    yield confirm(held)
+                    held = []
+                own = this
+                held.append(batch.slice(int(lo), int(hi - lo)))
+        if held:
+            yield confirm(held)
+
+    return at.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(walk, f"a {kind}, b {kind}")
+
+
 def meetings(rows: DataFrame, label: DataFrame | None, salt: int) -> DataFrame:
     """Pairs (a, b): of every document in rows (node, id) one pivot that it isn't connected with yet, that of the largest of its nodes that has one."""
     rows = labelled(rows.select("node", "id"), label)
@@ -278,7 +357,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
         rows = rows.withColumn("block", F.explode(all_blocks)).withColumn("here", F.col("block") == F.col("own"))
         rows = rows.join(reps.join(nodes, "id"), "id").select("node", "block", "id", "component", "outside", "here", "sig", "n", "nodes")
         pairs = across(rows.repartition(n, "node", "block").sortWithinPartitions("node", "block"), similarity - SLACK, percent, best)
-        more = scratch.keep(confirmed(scratch.keep(pairs), texts, percent))
+        pairs = scratch.keep(pairs)
+        more = scratch.keep(confirmed(pairs, texts, percent) if best else confirmed_in_groups(pairs, texts, percent, n))
         scratch.settle()
         if not more.isEmpty():
             links = links.unionByName(more)

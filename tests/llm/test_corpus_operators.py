@@ -72,6 +72,33 @@ def test_minhash_against_brute_force(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_minhash_loose_group_lists_documents(spark, monkeypatch):
+    """A loose group whose pairs are candidates but mostly no links: what is kept grows with its documents, not its pairs; of repeated ids each text counts."""
+    rng = np.random.default_rng(17)
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(120):  # five to seven words of its own: most pairs share 0.65 to 0.75
+        w = list(base)
+        for k in rng.choice(300, int(rng.integers(5, 8)), replace=False):
+            w[k] = f"own{i}_{k}"
+        rows.append((i, " ".join(w), "s"))
+    other = [f"u{k}" for k in range(300)]
+    rows += [(5, " ".join(other), "s"), (200, " ".join(other[:299] + ["v"]), "s")]
+    sets: dict = {}
+    for i, t, _ in rows:
+        sets.setdefault(i, []).append(shingles(t))
+    comp = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b])]
+    for _ in range(20):
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: (lambda out: (kept.append(out.count() if {"a", "b"} <= set(out.columns) or "others" in out.columns else 0), out)[1])(keep(self, df)))
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == set(comp.items()) and len(set(comp.values())) > 30
+    assert 0 < max(kept) <= 4 * len(rows)  # over a thousand listed pairs before
+
+
 def test_minhash_large_groups(spark):
     """Near copies in a group far over the size of a small node, and a stray that only one of them links."""
     rng = np.random.default_rng(5)
