@@ -4,7 +4,7 @@
 2. Centres are fitted per label on a bounded sample (``SAMPLE`` vectors in all, ``CENTRES`` centres in all). Centres that are nearer to each other than two linked vectors may be are one shard, so that a group of near copies isn't split.
    A class goes to its nearest centre and to every centre that the midpoint of a link from it may be nearest to: with home h and centre i, if (h - i) . v <= |h - i| * half the greatest length of a link.
    Both ends of a link so meet in the shard of its midpoint, whatever the centres are: no link is lost between shards.
-   A shard over ``LIMIT`` is dealt on into blocks, and each pair of blocks becomes a shard: the exact way for clusters that don't split.
+   A shard over ``LIMIT`` is dealt on into blocks, and each pair of blocks becomes a shard: the exact way for clusters that don't split. The number of centres is the one that makes the least work (see ``fitted``).
 3. In each shard every node keeps at most ``DEGREE`` neighbours by robust pruning (a candidate goes if a kept one is nearer to it, by ALPHA), of its nearest and some
    random candidates, and backward edges.
 4. Each node of a shard is sought from the shard's medoid and from its own place: best first over ``BEAM`` expansions, then on through all nodes in range. What is found is verified by
@@ -32,6 +32,8 @@ from spanloom.llm.common import Scratch, components, roots
 SAMPLE, CENTRES, SHARD, LIMIT = 20_000, 4096, 2048, 4096
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 40, 24, 1.15
 BEAM, AT_ONCE, SLACK, BATCH = 32, 8, 0.04, 256
+#: Vectors of a label's sample by which a number of centres is judged.
+TRIED = 1000
 BY = 50
 
 
@@ -79,6 +81,25 @@ def shards_of(v: np.ndarray, c: np.ndarray, root: np.ndarray, length: float) ->
     return out
 
 
+def fitted(sample: np.ndarray, n: int, most: int, length: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and their shards' roots for n vectors, of which sample is a sample: of most centres, half of them and so on down to one, those whose shards make the least work.
+
+    Shards overlap, since both ends of every link meet; where vectors hardly part, many overlapping shards are more work than few. The work is the sum of squared shard sizes, as projected from ``TRIED`` of the sample.
+    """
+    best, tried = None, sample[np.random.default_rng(seed).permutation(len(sample))[:TRIED]]
+    while True:
+        c = centres(sample, most)
+        root = merged(c, length)
+        share = np.bincount([r for held in shards_of(tried, c, root, length) for r in held], minlength=len(c)) / len(tried)
+        blocks = np.maximum(1, np.ceil(share * n / LIMIT))
+        work = float(((share * n) ** 2 * np.where(blocks > 1, 2 * (blocks - 1) / blocks, 1)).sum())  # a pair of blocks is a shard
+        if best is None or work <= best[0]:
+            best = work, c, root
+        if most == 1:
+            return best[1:]
+        most = -(-most // 2)
+
+
 def pruned(node: int, candidates: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Robust pruning: the nearest candidate stays and drops those that it is nearer to, by ALPHA, than the node is."""
     to = 1 - v[candidates] @ v[node]
@@ -137,26 +158,25 @@ def found(v: np.ndarray, near: np.ndarray, threshold: float) -> Iterator[tuple[n
         rows = np.arange(len(q))
         sims = np.full((len(q), m), -np.inf)  # of rows that have been visited
         left = np.full((len(q), m), -np.inf)  # of those that may still be expanded
+        seen = np.zeros((len(q), m + 1), dtype=bool)  # the last column is that of padding
         sims[:, start] = left[:, start] = v[q] @ v[start]
         sims[rows, q] = left[rows, q] = 1.0  # a query is a node itself; among far vectors the walk alone may not come near it
         for turn in range(10 * m):
-            wide = turn * AT_ONCE >= BEAM
-            many = min(m, 8 * AT_ONCE if wide else AT_ONCE)
-            top = np.argpartition(-left, many - 1, axis=1)[:, :many]
-            value = np.take_along_axis(left, top, axis=1)
-            go = value >= threshold - SLACK if wide else value > -np.inf
-            if not go.any():
+            if turn * AT_ONCE < BEAM:
+                top = np.argpartition(left, m - min(m, AT_ONCE), axis=1)[:, m - min(m, AT_ONCE) :]
+                r, c = np.nonzero(np.take_along_axis(left, top, axis=1) > -np.inf)
+                at = top[r, c]
+            else:  # the range grows by all its new nodes; what it is in the end doesn't depend on their order
+                r, at = np.nonzero(left >= threshold - SLACK)
+            if not len(r):
                 break
-            r, c = np.nonzero(go)
-            at = top[r, c]
             left[r, at] = -np.inf
-            n = near[at]
-            r, n = np.repeat(r, n.shape[1]), n.ravel()
-            fresh = n >= 0
-            r, n = r[fresh], n[fresh]
-            fresh = sims[r, n] == -np.inf
-            code = np.unique(r[fresh] * m + n[fresh])
-            r, n = code // m, code % m
+            for a in range(0, len(r), 1 << 15):
+                n = near[at[a : a + (1 << 15)]]
+                seen[np.repeat(r[a : a + (1 << 15)], n.shape[1]), n.ravel()] = True
+            seen[:, :m] &= sims == -np.inf
+            r, n = np.nonzero(seen[:, :m])
+            seen[:] = False
             for a in range(0, len(r), 1 << 15):
                 rr, nn = r[a : a + (1 << 15)], n[a : a + (1 << 15)]
                 s = np.einsum("ij,ij->i", v[q[rr]], v[nn])
@@ -189,13 +209,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     sizes = node.groupBy("label", "dim").agg(F.count("*").alias("n"))
     total = max(1, node.count())
     share = sizes.withColumn("k", F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / SHARD), F.ceil(F.col("n") * CENTRES / F.lit(total)))).cast("int"))
-    picked = node.join(share.where("k > 1").select("label", "dim", "k"), ["label", "dim"]).orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("label", "dim", "k", "vec")
+    picked = node.join(share.where("k > 1").select("label", "dim", "k", "n"), ["label", "dim"]).orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("label", "dim", "k", "n", "vec")
     by_label: dict = {}
     for r in picked.collect():  # SAMPLE at most
-        by_label.setdefault((r.label, r.dim), (r.k, []))[1].append(r.vec)
+        by_label.setdefault((r.label, r.dim), (r.k, r.n, []))[2].append(r.vec)
     length = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 1e-9))))
-    fitted = {key: centres(unit(np.array(v)), k) for key, (k, v) in by_label.items()}
-    known = spark.sparkContext.broadcast({key: (c, merged(c, length)) for key, c in fitted.items()})
+    known = spark.sparkContext.broadcast({key: fitted(unit(np.array(v)), n, min(k, len(v)), length) for key, (k, n, v) in by_label.items()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +233,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     large = flat.groupBy("label", "dim", "cluster").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
     flat = flat.join(large, ["label", "dim", "cluster"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: (j != own) | (F.col("blocks") == 1)), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
     flat = flat.select("label", "dim", "rep", "c", "vec", "shards", "cluster", "blocks", own.alias("own"), F.explode(pairs).alias("pair"))
 
     def search(t: pa.Table) -> pa.Table:
@@ -224,7 +243,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         m, v = len(raw), unit(raw)
         near = padded(graph(v) if m > 1 else [np.zeros(0, np.int64)])
         held, cluster, own = t["shards"].to_pylist(), t["cluster"][0].as_py(), t["own"].to_numpy()
-        first, second = divmod(t["pair"][0].as_py(), t["blocks"][0].as_py())
+        blocks = t["blocks"][0].as_py()
+        first, second = divmod(t["pair"][0].as_py(), blocks)
+        whole = [k for k in (first, second) if {k, (k + 1) % blocks} == {first, second}]  # links inside of block k count where it meets the next
         long = max(len(x) for x in held)
         member = np.array([x + [-1 - k] * (long - len(x)) for k, x in enumerate(held)])
         scale = np.abs(raw).max(axis=1)
@@ -243,7 +264,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
             a += lo
             if not len(a):
                 continue
-            mine = (own[a] != own[b]) | (first == second)
+            mine = (own[a] != own[b]) | np.isin(own[a], whole)
             for k in range(long):  # the least cluster that both hold
                 x = member[a, k]
                 lower = (x < cluster) & (x >= 0)

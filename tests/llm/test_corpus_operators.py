@@ -319,6 +319,28 @@ def test_links_between_shards_are_found(spark, monkeypatch):
     assert got[1500:].sum() >= 0.99 * want[1500:].sum() > 300  # pairs have no other neighbours in range
 
 
+def test_shards_are_cut_where_it_saves_work(spark, monkeypatch):
+    """Vectors that don't part stay in one shard, groups that do are parted; blocks of a shard meet once, and each vector goes to the pairs of its block alone."""
+    rng = np.random.default_rng(23)
+    length = float(np.sqrt(2 - 2 * 0.93))
+    noise = vectors.unit(rng.normal(size=(3000, 16)))
+    held = vectors.shards_of(noise, vectors.centres(noise, 3), vectors.merged(vectors.centres(noise, 3), length), length)
+    assert sum(len(x) for x in held) > 1.8 * len(noise)  # of three shards, each vector is in nearly two
+    assert len(vectors.fitted(noise, 6000, 3, length)[0]) == 1
+    parted = vectors.unit(np.repeat(vectors.unit(rng.normal(size=(8, 16))), 400, axis=0) + rng.normal(size=(3200, 16)) * 0.02)
+    assert len(set(vectors.fitted(parted, 20000, 16, length)[1].tolist())) > 1
+    v = vectors.unit(np.repeat(rng.normal(size=(40, 16)), 5, axis=0) + rng.normal(size=(200, 16)) * 0.1)
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    there = ((v @ v.T >= 0.93).sum(axis=1) - 1).tolist()
+    for limit, pairs in ((200, 200), (100, 200), (70, 400), (45, 800)):  # in 1, 2, 3 and 5 blocks
+        monkeypatch.setattr(vectors, "LIMIT", limit)
+        rows, keep = [], Scratch.keep
+        monkeypatch.setattr(Scratch, "keep", lambda self, d, rows=rows, keep=keep: (lambda out: (rows.append(out.count() if out.columns == ["label", "rep", "n", "root"] else 0), out)[1])(keep(self, d)))
+        got = vectors.near_vectors(df).orderBy("vec_id").collect()
+        monkeypatch.setattr(Scratch, "keep", keep)
+        assert [r.n_links for r in got] == there and max(rows) == pairs
+
+
 def test_ends_of_links_share_a_shard():
     rng = np.random.default_rng(13)
     a = vectors.unit(rng.normal(size=(4000, 32)))
