@@ -163,7 +163,7 @@ def found(v: np.ndarray, near: np.ndarray, threshold: float) -> Iterator[tuple[n
         sims[rows, q] = left[rows, q] = 1.0  # a query is a node itself; among far vectors the walk alone may not come near it
         for turn in range(10 * m):
             if turn * AT_ONCE < BEAM:
-                top = np.argpartition(left, m - min(m, AT_ONCE), axis=1)[:, m - min(m, AT_ONCE) :]
+                top = np.argpartition(-left, min(m, AT_ONCE) - 1, axis=1)[:, : min(m, AT_ONCE)]
                 r, c = np.nonzero(np.take_along_axis(left, top, axis=1) > -np.inf)
                 at = top[r, c]
             else:  # the range grows by all its new nodes; what it is in the end doesn't depend on their order
