@@ -56,10 +56,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self) -> None:
-        """Let Spark remove the shuffle files of plans that are done; it does so once the driver collects its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def settle(self, times: int = 1) -> None:
+        """Let Spark remove the shuffle files of plans that are done; it does so once the driver collects its garbage (those of the last plan only at the second time)."""
+        for _ in range(times):
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def drop(self, *numbers: int) -> None:
         """Remove tables that no later result reads; without numbers, all of them."""

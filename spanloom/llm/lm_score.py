@@ -9,9 +9,11 @@ Contexts, passages, gate and weights depend on earlier bits alone, so the probab
 Counts are gathered from every training text.  Those after the word so far are exact and grow with the corpus: they are the counts of the vocabulary's branches.  The vocabulary (every distinct token of docs with its training count) is dealt
 in ranges of its sorted words; the branches of a range are found by reading the words side by side, letter by letter.  Branches that a border of ranges cuts (beginnings of the border words) are summed over ranges first. So each
 distinct word gets the stretched predictions of all bits of its spelling once, however often it occurs.  Counts after three bytes are kept in ``BUCKETS`` hashed contexts, those after two bytes exactly: tables of
-2 * 2**24 bytes at most, which go to all tasks.  Passages are rows by the hash of their anchor.
+2 * 2**24 bytes at most, which go to all tasks.  Passages are counted as keys by the hash of their anchor, without their bytes.
 
 Each block of documents (hash of id and text, about ``BLOCK`` bytes) gets the counts and predictions of its own distinct words, and the passages of its own anchors, by joins; so no task or the driver holds the vocabulary.
+Of a word's predictions only those up to its last branch are rows, as its rest follows from its count.  Of a passage a block gets the key; where all its texts go on that way, they hold the bytes themselves, and only passages
+that some block asks for beside another are read again from the training texts (a table of ``PLACES`` bits tells which may be).
 Weights are refined through the whole text, from ``WEIGHTS`` at its start (a group also ends after every ``STRETCH`` words of a text, which bounds memory); so a score depends on the counts and the text alone, not on its neighbours, and many texts run in step as arrays.
 
 Beside the score there is a unigram base, from the same counts of words.
@@ -43,6 +45,8 @@ RANGE, SAMPLED, BORDER = 150_000, 64, 48
 GROUP, RATE, PRIOR, SCALE, MOST = 128, 0.004, 0.05, 15.0, 8.0
 #: Anchors are one in so many places; words of a passage at most; the strength of its bits; bytes after which it is far.
 EVERY, PASSAGE, SURE, FAR = 16, 64, 45, 16
+#: Bits by which wanted passages are told before their keys are compared (8 MB).
+PLACES = 1 << 26
 #: First weights of the four predictors by gate: no passage, one that has been right for a while, one that has been right for FAR bytes; each for word so far unseen and seen.
 WEIGHTS = ((0.35, 0.65, 0.0, 0.0), (0.1, 0.5, 0.4, 0.0), (0.1, 0.3, 0.0, 1.2), (0.0, 0.25, 0.5, 1.25), (0.0, 0.2, 0.0, 2.0), (0.0, 0.2, 0.5, 2.1))
 SPACE, END = 32, 10
@@ -120,6 +124,15 @@ class Tokens:
         text_end = self.first[np.searchsorted(self.first, at, side="right")]
         return signed(both[at]), start, np.minimum(np.minimum(np.append(start[1:], len(h)), text_end), start + PASSAGE)
 
+    def passage_keys(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """What stands for the passages of tokens lo to hi: up to four letters of the first word, which order equal counts and sizes, and 32 bits of a hash."""
+        front = np.zeros(len(lo), dtype=np.int64)
+        for k in range(4):
+            inside, over = k < self.size[lo] - 1, k == self.size[lo] - 1
+            letter = self.low[np.where(inside, self.begin[lo] + k, 0)] if len(self.low) else 0
+            front = front << 8 | np.where(inside, letter, np.where(over, np.where(self.hash[lo] == END_TOKEN, END, SPACE), 0))
+        return (front - (1 << 31)) << 32 | (Rolling(self.hash.view(U64)).spans(lo, hi) >> U64(32)).astype(np.int64)
+
     def spelled(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, where each token's begin) of some tokens."""
         size = self.size[which]
@@ -161,21 +174,38 @@ def binaries(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
+def packed(t: pa.Table) -> bytes:
+    """A table as one compressed value, so that rows in order of their words share what their spellings share."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(x: bytes) -> pa.Table:
+    return pa.ipc.open_stream(x).read_all()
+
+
 def counted(docs: DataFrame, tasks: int) -> DataFrame:
-    """(kind, h, s, word, n) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; passages (3) of anchors, s their hash; n counts training texts."""
+    """(kind, h, s, word, n, size) of docs (text, learn): distinct tokens (kind 0) with their spelling; cells of two (1) and three (2) bytes before a byte; passages (3) of anchors, s their key and size their bytes; n counts training texts."""
 
-    def rows(kind: int, h: np.ndarray, s: np.ndarray | None, words: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, h: np.ndarray, s: np.ndarray | None, words: pa.Array | None, n: np.ndarray, size: np.ndarray | None = None) -> pa.RecordBatch:
         words = pa.nulls(len(h), pa.binary()) if words is None else words
-        s = np.zeros(len(h), np.int64) if s is None else s
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.astype(np.int64)), pa.array(s), words, pa.array(n.astype(np.int64))], names=["kind", "h", "s", "word", "n"])
-
-    def summed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
-        kind = t["kind"].to_numpy()
-        key = mix64(t["h"].to_numpy().view(U64) * U64(4) + kind.astype(U64)) + t["s"].to_numpy().view(U64)
-        _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        t = t.take(pa.array(first)).set_column(4, "n", pa.array(np.bincount(at, t["n"].to_numpy(), len(first)).astype(np.int64)))
-        return t.combine_chunks().to_batches(100_000)
+        s, size = (np.zeros(len(h), np.int64) if x is None else x for x in (s, size))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.astype(np.int64)), pa.array(s), words, pa.array(n.astype(np.int64)), pa.array(size.astype(np.int32))], names=["kind", "h", "s", "word", "n", "size"])
+
+    def summed(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """Rows in order of their keys, and the keys."""
+        t = t.combine_chunks()
+        key = mix64(mix64(t["h"].to_numpy().view(U64) * U64(4) + t["kind"].to_numpy().astype(U64)) + t["s"].to_numpy().view(U64))
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        return t.take(pa.array(first)).set_column(4, "n", pa.array(np.bincount(at, t["n"].to_numpy(), len(first)).astype(np.int64))), key
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, key = summed(pa.Table.from_batches(held))
+        cuts = [0, *(np.searchsorted(key, U64((k << 64) // tasks)) for k in range(1, tasks)), len(key)]
+        some = [(k, packed(t.slice(int(lo), int(hi - lo)))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["task", "rows"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -195,22 +225,43 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
                     h, lo, hi = t.anchors()
                     on = taught[lo]
                     h, lo, hi = h[on], lo[on], hi[on]
-                    flat, ends = t.spelled(ranges(lo, hi))
-                    ends = ends[np.concatenate(([0], np.cumsum(hi - lo)))]
-                    held.append(rows(3, h, signed(Rolling(flat).spans(ends[:-1], ends[1:])), binaries(flat, ends), np.ones(len(h))))
+                    long = np.concatenate(([0], np.cumsum(t.size)))
+                    held.append(rows(3, h, t.passage_keys(lo, hi), None, np.ones(len(h)), long[hi] - long[lo]))
                 if sum(b.num_rows for b in held) > 2_000_000:
-                    yield from summed(held)
+                    yield from dealt(held)
                     held = []
         if held:
-            yield from summed(held)
+            yield from dealt(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = [unpacked(x) for b in batches for x in b.column("rows").to_pylist()]
         if held:
-            yield from summed(held)
+            yield from summed(pa.concat_tables(held))[0].combine_chunks().to_batches(100_000)
+
+    kinds = "kind int, h long, s long, word binary, n long, size int"
+    return docs.mapInArrow(count, "task int, rows binary").repartitionById(tasks, "task").mapInArrow(merge, kinds)
 
-    kinds = "kind int, h long, s long, word binary, n long"
-    return docs.mapInArrow(count, kinds).repartition(tasks, "h", "s").mapInArrow(merge, kinds)
+
+def passage_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, s, st) of the distinct rows wanted (h, s): the passage of that anchor and key in the texts (text)."""
+    at = wanted.groupBy(F.expr(f"(s & {PLACES - 1}) >> 6").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toArrow()  # at most PLACES / 64 rows
+    places = np.zeros(PLACES >> 6, dtype=U64)
+    places[at["k"].to_numpy()] = at["bits"].to_numpy().view(U64)
+    sent = wanted.sparkSession.sparkContext.broadcast(places)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch, "text", 1 << 22):
+                t = Tokens(data, offsets)
+                h, lo, hi = t.anchors()
+                s = t.passage_keys(lo, hi)
+                on = np.flatnonzero(sent.value[(s & (PLACES - 1)) >> 6] >> (s & 63).view(U64) & U64(1))
+                on = on[np.unique(mix64(h[on].view(U64)) + s[on].view(U64), return_index=True)[1]]
+                h, s, lo, hi = h[on], s[on], lo[on], hi[on]
+                flat, ends = t.spelled(ranges(lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), binaries(flat, ends[np.concatenate(([0], np.cumsum(hi - lo)))])], names=["h", "s", "st"])
+
+    return texts.select("text").mapInArrow(find, "h long, s long, st binary").join(wanted, ["h", "s"], "left_semi").groupBy("h", "s").agg(F.min("st").alias("st"))
 
 
 def table_of(cell: np.ndarray, n: np.ndarray, code: Code, contexts: int) -> np.ndarray:
@@ -245,13 +296,15 @@ def cut(words: list[bytes], n: np.ndarray, borders: list[bytes]) -> dict[bytes,
     return out
 
 
-def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[bytes] = (), shared: dict[bytes, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions of all bits of sorted words, where each word's begin). shared: what follows the beginnings that borders cut, over all ranges."""
+def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[bytes] = (), shared: dict[bytes, np.ndarray] | None = None, branched: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched predictions of all bits of sorted words, where each word's begin). shared: what follows the beginnings that borders cut, over all ranges. branched is set to each word's bits that don't follow from its own count."""
     size = np.array([len(w) for w in words])
     at = np.concatenate(([0], np.cumsum(size)))
     flat = np.frombuffer(b"".join(words), dtype=np.uint8)
     bit_at = np.concatenate(([0], np.cumsum(code.size[flat])))
     out = np.zeros(bit_at[-1], dtype=np.int8)
+    branched = np.zeros(len(words), np.int64) if branched is None else branched
+    branched[:] = np.diff(bit_at[at])
     alive, group, d = np.arange(len(words)), np.zeros(len(words), np.int64), 0
     cuts = {0: b""} if shared else {}  # groups that borders cut, and their beginning
     while len(alive):
@@ -280,6 +333,7 @@ def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[byt
         d += 1
         lone = (np.bincount(branch)[branch] == 1) & ~np.isin(branch, list(cuts))
         k = alive[lone & (size[alive] > d)]  # the rest of words that no other shares
+        branched[k] = bit_at[at[k] + d] - bit_at[at[k]]
         rest = size[k] - d
         own = flat[np.arange(rest.sum()) + np.repeat(at[k] + d - (np.cumsum(rest) - rest), rest)]
         many = bit_at[at[k + 1]] - bit_at[at[k] + d]
@@ -290,31 +344,36 @@ def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[byt
     return out, bit_at[at]
 
 
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(key, rows) of batches that come sorted by their first column."""
+def groups_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of batches that come sorted by their first columns."""
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = batch.column(0).to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1, [len(x)]))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and key != x[lo]:
+        x = [batch.column(k).to_numpy() for k in range(columns)]
+        cuts = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in x])) + 1
+        for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, batch.num_rows), strict=True):
+            own = tuple(int(c[lo]) for c in x)
+            if held and key != own:
                 yield key, pa.Table.from_batches(held)
                 held = []
-            key = x[lo]
+            key = own
             held.append(batch.slice(int(lo), int(hi - lo)))
     if held:
         yield key, pa.Table.from_batches(held)
 
 
-def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch) -> DataFrame:
-    """(h, n, st) of vocabulary (h, word, n): the stretched predictions of all bits of each word."""
-    spark = vocabulary.sparkSession
+def range_borders(vocabulary: DataFrame, types: int) -> list[bytes]:
+    """Words at which the ranges of vocabulary (h, word) begin, but the first."""
     parts = 1 + types // RANGE
     some = vocabulary.where(F.pmod(F.xxhash64("h"), F.lit(max(1, types // (SAMPLED * parts)))) == 0).select(F.substring("word", 1, BORDER).alias("w")) if parts > 1 else None
     sample = sorted({bytes(r.w) for r in some.collect()}) if parts > 1 else []  # about SAMPLED for each range
-    borders = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[bytes]) -> DataFrame:
+    """(block, st) of asked (part, block, h): packed (h, n, st) of the words of a block that lie in a range of vocabulary (h, word, n). st: the stretched predictions of a word's bits up to where no other shares its beginning."""
+    spark = vocabulary.sparkSession
     sent = spark.sparkContext.broadcast((code, borders))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +383,9 @@ def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "h", "word", "n"])
 
     dealt = vocabulary.select("h", "word", "n").mapInArrow(deal, "part int, h long, word binary, n long")
-    dealt = dealt.repartition(len(borders) + 1, "part").sortWithinPartitions("part")
+    none = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n")
+    both = dealt.select("part", F.lit(-1).alias("block"), "h", "word", "n").unionByName(asked.select("part", "block", "h", *none))
+    both = both.repartitionById(len(borders) + 1, "part").sortWithinPartitions("part", "block")
 
     def in_order(t: pa.Table) -> pa.Table:
         return t.take(pc.sort_indices(t["word"])).combine_chunks()
@@ -347,15 +408,34 @@ def spelled_out(vocabulary: DataFrame, code: Code, types: int, scratch: Scratch)
             shared[bytes(r.beginning)][r.byte] = r.n
     cuts = spark.sparkContext.broadcast(shared)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = sent.value[0]
-        for part, t in groups_of(batches):
-            t = in_order(t)
-            beginnings = {b[:d] for b in near(part) for d in range(len(b))}
-            flat, at = predictions(t["word"].to_pylist(), t["n"].to_numpy(), code, near(part), {x: cuts.value[x] for x in beginnings})
-            yield from pa.table([t["h"], t["n"], binaries(flat, at)], names=["h", "n", "st"]).to_batches(50_000)
-
-    return scratch.keep(dealt.mapInArrow(spell, "h long, n long, st binary"))
+    def spelled(part: int, t: pa.Table) -> tuple[np.ndarray, ...]:
+        """(hashes in order, the word of each; n, predictions and where they begin of the words in order)."""
+        t = in_order(t)
+        beginnings = {b[:d] for b in near(part) for d in range(len(b))}
+        own = np.zeros(t.num_rows, np.int64)
+        flat, at = predictions(t["word"].to_pylist(), t["n"].to_numpy(), sent.value[0], near(part), {x: cuts.value[x] for x in beginnings}, own)
+        h = t["h"].to_numpy()
+        order = np.argsort(h)
+        return h[order], order, t["n"].to_numpy(), flat[ranges(at[:-1], at[:-1] + own)], np.concatenate(([0], np.cumsum(own)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known = None, None
+        for (p, block), t in groups_of(batches, 2):  # a range's words come before the blocks that ask for some
+            if p != part:
+                part, known = p, None
+            if block < 0:
+                known = spelled(p, t.select(["h", "word", "n"]))
+                continue
+            h, order, n, flat, at = known
+            at_word = np.sort(order[np.searchsorted(h, t["h"].to_numpy())])
+            h_of = np.empty(len(order), np.int64)
+            h_of[order] = h
+            size = at[at_word + 1] - at[at_word]
+            st = binaries(flat[ranges(at[at_word], at[at_word + 1])], np.concatenate(([0], np.cumsum(size))))
+            x = packed(pa.table([pa.array(h_of[at_word]), pa.array(n[at_word]), st], names=["h", "n", "st"]))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x], pa.binary())], names=["block", "st"])
+
+    return both.mapInArrow(answer, "block int, st binary")
 
 
 # ---------------------------------------------------------------- mixing
@@ -369,24 +449,24 @@ class Mixer:
 
     def inputs(self, flat: np.ndarray, contexts: tuple[np.ndarray, ...], guess: np.ndarray, run: np.ndarray, trie: np.ndarray) -> np.ndarray:
         """(bits, 8) of spelled bytes: four stretched predictions, gate, bit, 1 and 0. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
-        x = np.zeros((len(trie), 8), dtype=np.int8)
+        x = np.zeros((8, len(trie)), dtype=np.int8).T  # each input's values side by side
         x[:, 2], x[:, 4], x[:, 6] = trie, trie != 0, 1
         done = 0
-        for lo in range(0, len(flat), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
+        for lo in range(0, len(flat), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
             symbol, asked = flat[part], guess[part]
             long = self.code.size[symbol]
-            path = np.arange(long.sum()) + np.repeat(self.code.first[symbol] - (np.cumsum(long) - long), long)
+            of = np.repeat(np.arange(len(symbol)), long)  # the byte of each bit
+            path = np.arange(len(of)) + (self.code.first[symbol] - (np.cumsum(long) - long))[of]
             node, bit, to = self.code.node[path], self.code.bit[path], slice(done, done + len(path))
             for k, (table, context) in enumerate(zip((self.two, self.three), contexts, strict=True)):
-                x[to, k] = table[np.repeat(context[part].astype(np.int32) << 8, long) + node]
+                x[to, k] = table[(context[part].astype(np.int64) << 8)[of] + node]
             x[to, 5] = bit
             if (asked >= 0).any():
-                right = np.where(asked < 0, -1, self.code.common[symbol, asked])  # bits of each byte that the passage gets right
-                deep = path - np.repeat(self.code.first[symbol], long)
-                right, far = np.repeat(right, long), np.repeat(run[part], long)
+                right = np.where(asked < 0, -1, self.code.common[symbol, asked])[of]  # bits of each byte that the passage gets right
+                deep = path - self.code.first[symbol][of]
                 x[to, 3] = np.where(deep < right, SURE, np.where(deep == right, -SURE, 0)) * (2 * bit - 1)
-                x[to, 4] += (2 * far * (deep <= right)).astype(np.int8)
+                x[to, 4] += 2 * run[part][of] * (deep <= right)
             done += len(path)
         return x
 
@@ -394,9 +474,16 @@ class Mixer:
 def passages(t: Tokens, flat: np.ndarray, at: np.ndarray, known: "Known") -> tuple[np.ndarray, np.ndarray]:
     """(guess, run) of all spelled bytes of t: see Mixer.inputs."""
     guess, run = np.full(len(flat), -1, dtype=np.int16), np.zeros(len(flat), dtype=np.int8)
-    h, token, _ = t.anchors()
+    h, token, end = t.anchors()
     row = np.minimum(np.searchsorted(known.hash, h), max(len(known.hash) - 1, 0))
     on = np.flatnonzero(known.hash[row] == h) if len(known.hash) else np.zeros(0, np.int64)
+    if len(on):  # texts that go on as the passage does hold its bytes
+        same = known.n[row[on]] == t.passage_keys(token[on], end[on])
+        lo, hi = at[token[on[same]]], at[end[on[same]]]
+        where = ranges(lo, hi)
+        guess[where] = flat[where]
+        run[where] = 1 + (where - np.repeat(lo, hi - lo) >= FAR)
+        on = on[~same]
     text_end = at[t.first[np.searchsorted(t.first, token[on], side="right")]]
     lo, begin = known.at[row[on]], at[token[on]]
     size = np.minimum(known.at[row[on] + 1] - lo, text_end - begin)
@@ -418,33 +505,33 @@ def mixed(x: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
     steps = -(-size // GROUP)
     order = np.argsort(-steps, kind="stable")  # those still being read stay in front
     lanes = np.searchsorted(-steps[order], -np.arange(int(steps.max(initial=0))), side="left")  # texts that have a step
-    first = np.cumsum(lanes) - lanes
-    lane = np.empty(len(size), np.int64)
-    lane[order] = np.arange(len(size))
-    # Groups in order of their steps, those of one step side by side.
-    slot = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-    wide = np.zeros(int(lanes.sum()) * GROUP, dtype=np.int64)
-    group = first[slot // GROUP] + np.repeat(lane, size)
-    wide[group * GROUP + slot % GROUP] = x.view(np.int64).ravel()
-    del slot, group
-    wide = wide.view(np.int8).reshape(-1, GROUP, 8)
-    own = w[order]
-    gates, inputs = own.shape[1:]
-    gain = np.zeros(len(size))
-    every = np.arange(gates, dtype=np.int8)
-    base = np.arange(len(size))[:, None] * gates
-    for at, m in zip(first, lanes, strict=True):
-        part = wide[at : at + m]
-        v = part[:, :, :inputs] * np.float32(1 / SCALE)
-        gate = part[:, :, 4]
-        s = np.einsum("gik,gik->gi", v, own[:m].reshape(-1, inputs)[base[:m] + gate])
+    begin = np.cumsum(steps) - steps
+    wide, x = np.zeros((7, int(steps.sum()) * GROUP), dtype=np.int8), x.T
+    for to, lo, n in zip((begin * GROUP).tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        wide[:, to : to + n] = x[:7, lo : lo + n]
+    wide, begin = wide.reshape(7, -1, GROUP), begin[order]
+    texts, gates, inputs = w.shape
+    own = np.ascontiguousarray(w[order].transpose(2, 0, 1))
+    gain = np.zeros(texts)
+    every = np.arange(gates, dtype=np.int8)[:, None]
+    base = np.arange(texts)[:, None] * gates
+    for step, m in enumerate(lanes):
+        part = wide[:, begin[:m] + step]
+        gate = part[4]
+        v = part[:inputs] * np.float32(1 / SCALE)
+        at = base[:m] + gate
+        s = v[0] * own[0].ravel()[at]
+        for k in range(1, inputs):
+            s += v[k] * own[k].ravel()[at]
         np.clip(s, -12, 12, out=s)
-        e = (part[:, :, 5] - 1 / (1 + np.exp(-s))) * part[:, :, 6]
+        e = part[5] - 1 / (1 + np.exp(-s))
+        e *= part[6]
         gain[:m] += np.log(1 - np.abs(e)).sum(axis=1, dtype=np.float64)
         e *= np.float32(RATE)
-        own[:m] += np.matmul(((gate[:, None, :] == every[:, None]) * e[:, None, :]), v)
-    w[order] = own
-    out = np.empty(len(size))
+        by_gate = (gate[:, None, :] == every) * e[:, None, :]
+        own[:, :m] += np.matmul(by_gate, v.transpose(1, 2, 0)).transpose(2, 0, 1)
+    w[order] = own.transpose(1, 2, 0)
+    out = np.empty(texts)
     out[order] = gain
     return out
 
@@ -454,11 +541,12 @@ def first_weights(texts: int) -> np.ndarray:
 
 
 class Known:
-    """Counts and byte strings of a block's words or anchors, sorted by hash."""
+    """Counts and byte strings of a block's words or anchors, sorted by hash; of an anchor, n is the passage's key, and the bytes may be missing if no text of the block goes on otherwise."""
 
     def __init__(self, t: pa.Table):
         t = t.take(pc.sort_indices(t["h"])).combine_chunks()
         self.hash, self.n = t["h"].to_numpy(), t["n"].to_numpy()
+        self.alone = stretched(np.maximum(self.n, 0).astype(np.float64), np.zeros(len(self.n)))
         st = t["st"].combine_chunks() if isinstance(t["st"], pa.ChunkedArray) else t["st"]
         st = pa.concat_arrays(st.chunks) if isinstance(st, pa.ChunkedArray) else st
         self.at = np.frombuffer(st.buffers()[1], dtype=np.int32, count=len(st) + 1 + st.offset)[st.offset :].astype(np.int64) if len(st) else np.zeros(1, np.int64)
@@ -468,6 +556,16 @@ class Known:
         size = self.at[which + 1] - self.at[which]
         return self.st[np.arange(size.sum()) + np.repeat(self.at[which] - (np.cumsum(size) - size), size)]
 
+    def tries(self, which: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(predictions of all bits of words of so many bits, which of them are those of a word that is alone there: what they are if the bit is 1, else the opposite)."""
+        given, alone = self.at[which + 1] - self.at[which], np.ones(long.sum(), dtype=bool)
+        first = np.cumsum(long) - long
+        where = ranges(first, first + given)
+        alone[where] = False
+        out = np.repeat(self.alone[which], long)
+        out[where] = self.bits(which)
+        return out, alone
+
 
 def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> np.ndarray:
     """The natural logarithm of each text's probability. which: the row in known of each token; anchored: passages by anchor."""
@@ -481,7 +579,10 @@ def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixe
         b = np.minimum(a + STRETCH, t.first[1:])
         on = np.flatnonzero(b > a)
         part = ranges(at[a[on]], at[b[on]]) if r or (b < t.first[1:]).any() else slice(None)
-        x = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], known.bits(which[ranges(a[on], b[on])]))
+        own = ranges(a[on], b[on])
+        trie, alone = known.tries(which[own], np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(t.size[own]) - t.size[own]))
+        x = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], trie)
+        x[alone & (x[:, 5] == 0), 2] *= -1
         many = at[b[on]] - at[a[on]]
         size = np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(many) - many)
         own = w[on]
@@ -498,7 +599,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce("text", F.lit("")).alias("text")
     counts = scratch.keep(counted(docs.select(text, F.coalesce(learn, F.lit(False)).alias("learn")), n))
-    scratch.settle()
+    scratch.settle(2)
     cells = [counts.where(F.col("kind") == k).select("h", "n").toArrow() for k in (1, 2)]  # 2**24 at most of each
     cells = [(t["h"].to_numpy(), t["n"].to_numpy()) for t in cells]
     code = Code(np.bincount(cells[0][0] & 255, cells[0][1], 256))
@@ -506,12 +607,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     sent = spark.sparkContext.broadcast(Mixer(code, *tables))
     vocabulary = counts.where("kind = 0").select("h", "word", "n")
     all_tokens, distinct, types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count("*")).first()
-    most = counts.where("kind = 3").groupBy("h").agg(F.max(F.struct("n", F.length("word").alias("size"), "word")).alias("m"))
-    anchored = scratch.keep(most.select("h", "m.n", F.col("m.word").alias("st")))
-    scratch.settle()
-    spelled = spelled_out(vocabulary, code, types, scratch)
-    scratch.drop(1)
-    scratch.settle()
+    most = counts.where("kind = 3").groupBy("h").agg(F.max(F.struct("n", "size", "s")).alias("m"))
+    best = scratch.keep(most.select("h", F.col("m.s").alias("best")))
+    scratch.settle(2)
+    borders = spark.sparkContext.broadcast(range_borders(vocabulary, types))
 
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, volume // BLOCK, min(n, volume >> 18))
@@ -519,34 +618,60 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     d = docs.select(F.col(id_col).alias("id"), text).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, [np.zeros(0, np.int64)] * 2
+        last, none = None, np.zeros(0, np.int64)
+        held = [none] * 4  # words and their ranges, anchors and their keys
 
         def rows() -> pa.RecordBatch:
-            size = [len(x) for x in held]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(sum(size), last, np.int32)), pa.array(np.repeat(np.arange(2, dtype=np.int32), size)), pa.array(np.concatenate(held))], names=["block", "kind", "h"])
+            h, part, anchor, key = held
+            order = np.argsort(part, kind="stable")
+            at = pa.array(np.concatenate((part[order], key)), mask=np.concatenate((np.zeros(len(h), bool), key == 0)))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), last, np.int32)), pa.array(np.repeat(np.arange(2, dtype=np.int32), (len(h), len(anchor)))), pa.array(np.concatenate((h[order], anchor))), at], names=["block", "kind", "h", "at"])
 
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", PIECE):
                 block = part.column("block").to_numpy()
                 t = Tokens(data, offsets)
-                anchor, token, _ = t.anchors()
+                anchor, token, end = t.anchors()
+                key = t.passage_keys(token, end)
                 for b in np.unique(block):  # rows come in order of their blocks
                     if b != last and last is not None:
                         yield rows()
-                        held = [np.zeros(0, np.int64)] * 2
+                        held = [none] * 4
                     last = b
                     at = np.flatnonzero(block == b)
                     lo, hi = t.first[at[0]], t.first[at[-1] + 1]
-                    held = [np.union1d(held[0], t.hash[lo:hi]), np.union1d(held[1], anchor[(token >= lo) & (token < hi)])]
+                    new, first = np.unique(t.hash[lo:hi], return_index=True)
+                    there = np.isin(new, held[0], assume_unique=True)
+                    new, first = new[~there], first[~there]
+                    of = [bisect_right(borders.value, w) for w in binaries(*t.spelled(lo + first)).to_pylist()]
+                    own = (token >= lo) & (token < hi)
+                    h, s = np.concatenate((held[2], anchor[own])), np.concatenate((held[3], key[own]))
+                    order = np.argsort(h, kind="stable")
+                    h, s = h[order], s[order]
+                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+                    one = np.minimum.reduceat(s, first) == np.maximum.reduceat(s, first) if len(h) else none == 1
+                    held = [np.concatenate((held[0], new)), np.concatenate((held[1], np.array(of, np.int64))), h[first], np.where(one, s[first], 0)]  # 0: its texts go on in several ways
         if last is not None:
             yield rows()
 
-    asked = scratch.keep(d.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, kind int, h long"))
-    scratch.settle()
+    asked = scratch.keep(d.repartitionById(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, kind int, h long, at long"))
+    scratch.settle(2)
+    after = asked.where("kind = 1").select("block", "h", "at").join(best, "h").select("block", "h", "best", F.coalesce(F.col("at") != F.col("best"), F.lit(True)).alias("need"))
+    after = scratch.keep(after)
+    scratch.settle(2)
+    said = scratch.keep(passage_bytes(docs.where(learn).select(text), after.where("need").select("h", F.col("best").alias("s")).distinct()))
+    scratch.drop(2)
+    scratch.settle(2)
+    words = scratch.keep(answered(vocabulary, asked.where("kind = 0").select(F.col("at").cast("int").alias("part"), "block", "h"), code, borders.value))
+    scratch.drop(1, 3)
+    scratch.settle(2)
     none = [F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text")]
-    known = [asked.where(F.col("kind") == k).select("block", "kind", "h").join(x, "h").select("block", "kind", *none, "h", "n", "st") for k, x in ((0, spelled), (1, anchored))]
-    both = known[0].unionByName(known[1]).unionByName(d.select("block", F.lit(2).alias("kind"), "id", "text", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("st")))
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "kind")
+    nothing, no = F.lit(None).cast("binary").alias("st"), [F.lit(None).cast("long").alias(x) for x in ("h", "n")]
+    known = words.select("block", F.lit(0).alias("kind"), *none, *no, "st")
+    on = after.where("need").join(said.select("h", "st"), "h").select("block", F.lit(1).alias("kind"), *none, "h", F.col("best").alias("n"), "st")
+    own = after.where("NOT need").select("block", F.lit(1).alias("kind"), *none, "h", F.col("best").alias("n"), nothing)
+    both = known.unionByName(on).unionByName(own).unionByName(d.select("block", F.lit(2).alias("kind"), "id", "text", *no, nothing))
+    both = both.repartitionById(parts, "block").sortWithinPartitions("block", "kind")
     floor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
     def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> pa.RecordBatch:
@@ -571,10 +696,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                 if block[lo] != held:
                     held, rows_of, known = block[lo], ([], []), None
                 if what[lo] < 2:
-                    rows_of[what[lo]].append(rows.select(["h", "n", "st"]))
+                    rows = rows.select(["h", "n", "st"])
+                    rows_of[what[lo]].extend([pa.Table.from_batches([rows])] if what[lo] else map(unpacked, rows.column("st").to_pylist()))
                     continue
                 if known is None:
-                    known = [Known(pa.Table.from_batches(x, schema=rows.select(["h", "n", "st"]).schema)) for x in rows_of]
+                    empty = pa.Table.from_batches([rows.slice(0, 0).select(["h", "n", "st"])])
+                    known = [Known(pa.concat_tables([x.cast(empty.schema) for x in (empty, *of)])) for of in rows_of]
                     rows_of = ([], [])
                 for piece in text_blocks(rows, "text", PIECE):
                     yield scored(*piece, *known, mixer)

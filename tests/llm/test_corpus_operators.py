@@ -487,6 +487,21 @@ def test_lm_scores_against_a_plain_loop(spark, monkeypatch):
     monkeypatch.undo()
 
 
+def test_lm_passages_are_keys_until_a_text_goes_on_otherwise(spark):
+    """Passages are counted without their bytes; texts that share an anchor and go on in several ways get those of the most frequent."""
+    rng = np.random.default_rng(8)
+    some = [" ".join(rng.choice(["ab", "cde", "f", "ghij", "kl", "mn", "o", "pqrst", "uv", "w", "xyz", "cdf"], 9)) for _ in range(30)]
+    rows = [(i, " ".join(str(rng.choice(some)) for _ in range(int(rng.integers(1, 40)))), "s") for i in range(60)]
+    learned = lm_score.F.col("doc_id") % 4 != 1
+    df = spark.createDataFrame(rows, DOCS)
+    passages = lm_score.counted(df.select("text", learned.alias("learn")), 3).where("kind = 3")
+    ways = passages.groupBy("h").count()
+    assert ways.where("count > 1").count() > 5 and passages.where("word IS NOT NULL").count() == 0
+    got = {r.doc_id: r.score for r in lm_score.score_texts(df, learned).collect()}
+    want = lm_brute([t.encode() for i, t, _ in rows if i % 4 != 1], [t.encode() for _, t, _ in rows])
+    assert np.allclose([got[r[0]] for r in rows], want, rtol=1e-4)
+
+
 def test_lm_stretches_carry_weights(monkeypatch):
     """A text that takes several stretches against the plain loop, in one process."""
     monkeypatch.setattr(lm_score, "STRETCH", 7)
