@@ -7,7 +7,8 @@ to be found.  A node with one document ends; a node of at most ``SMALL`` documen
 
 Comparison of nodes doesn't emit all pairs of a group.  In a round every document meets one pivot, that of the largest of its nodes that has one it isn't connected with; so a
 round makes one pair for each document at most.  The first rounds read only ``FIRST`` nodes of each document; from then on nodes that hold one component alone go.  A node
-branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  In the end all pairs of a node that are still in different components, and whose 256 minima agree often enough, are
+branches on while more than ``SMALL`` of its documents lie outside its largest component; the nodes that end have rounds of their own.  A node of at most ``WHOLE`` documents is followed down to its ends
+within one task, and of an end only documents come back that have one of another component there whose minima agree often enough: a common passage so makes no rows of documents that are alike in nothing else.  In the end all pairs of a node that are still in different components, and whose 256 minima agree often enough, are
 confirmed: those outside the node's largest component against all of the node, in blocks of at most SMALL, where each document's text comes once; the pairs themselves aren't listed. (First each document only with the one of other components that its minima agree with most, so that a loose group joins before its other pairs are listed.) That is linear in a node's size as long as few lie outside; the exact way for nodes that stay large at
 the last depth.  Links are confirmed on full sets.
 
@@ -36,6 +37,8 @@ K, SLACK = 256, 0.092
 TREES, SMALL, DEPTH, ROUNDS = 12, 512, 6, 2
 #: Root children of each document in which large groups of near copies are joined first, before any other node is looked at.
 FIRST = 4
+#: Documents of a node whose minima one task holds (512 bytes each).
+WHOLE = 1 << 16
 #: Ids up to this many are broadcast to pick the texts to confirm; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -106,6 +109,79 @@ def branch(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("node", "id", "sig").mapInArrow(step, f"node long, id {kind}")
 
 
+def agreements(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many of the K minima of each row equal those of one."""
+    same = (sig == one).view(U64).sum(axis=1, dtype=U64)  # eight counts side by side, of at most K / 8
+    return same.view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+
+
+def partnered(sig: np.ndarray, size: np.ndarray, part: np.ndarray, least: float, percent: int) -> np.ndarray:
+    """Booleans: the rows that have one of another part, of a size and with minima that let them be linked. part: 0 for the largest."""
+    out = np.zeros(len(part), dtype=bool)
+    for q in np.flatnonzero(part):
+        other = np.flatnonzero((part != part[q]) & (100 * np.minimum(size, size[q]) >= percent * np.maximum(size, size[q])))
+        hit = other[agreements(sig[other], sig[q]) >= least * K]
+        out[hit] = True
+        out[q] |= len(hit) > 0
+    return out
+
+
+def descended(rows: DataFrame, similarity: float, percent: int, depth: int, tasks: int) -> DataFrame:
+    """(node, id) of the ends below large nodes of that depth, each of at most WHOLE rows (node, id, component, n, sig): as by branch, level by level, but without the documents that have no partner in an end (see partnered).
+    Ends that are still large at the last depth come back whole."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def ends(node: np.ndarray, sig: np.ndarray, size: np.ndarray, part: np.ndarray, at: np.ndarray, level: int) -> Iterator[tuple[np.uint64, np.ndarray]]:
+        _, own, many = np.unique(part[at], return_inverse=True, return_counts=True)
+        if len(many) < 2:
+            return
+        outside = len(at) - many.max()
+        if min(len(at), outside) <= SMALL:
+            on = at[partnered(sig[at], size[at], np.where(own == many.argmax(), 0, own + 1), similarity - SLACK, percent)]
+            if len(on):
+                yield node[0], on
+        elif level == DEPTH - 1:
+            yield node[0], at
+        else:
+            for j in np.flatnonzero(selected(node, similarity)[0]):
+                token = sig[at, j]
+                order = np.argsort(token, kind="stable")
+                cuts = np.flatnonzero(np.diff(token[order])) + 1
+                for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(at)), strict=True):
+                    if hi - lo > 1:
+                        some = at[order[lo:hi]]
+                        yield from ends(child(node, np.array([j]), sig[some[:1], j].astype(U64)), sig, size, part, some, level + 1)
+
+    def descend(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids = t["id"].combine_chunks()
+        part = t["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint16).reshape(-1, K)
+        got = list(ends(t["node"].to_numpy()[:1].view(U64), sig, t["n"].to_numpy(), part, np.arange(len(ids)), depth))
+        of = np.array([x for x, _ in got], dtype=U64).repeat([len(at) for _, at in got])
+        at = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(signed(of)), ids.take(pa.array(at))], names=["node", "id"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(node)) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)), np.append(cuts, len(node)), strict=True):
+                if held and own != node[lo]:
+                    yield descend(held)
+                    held = []
+                own = node[lo]
+                held.append(batch.slice(int(lo), int(hi - lo)))
+        if held:
+            yield descend(held)
+
+    rows = rows.select("node", "id", "component", "n", "sig").repartition(tasks, "node").sortWithinPartitions("node")
+    return rows.mapInArrow(walk, f"node long, id {kind}").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough. texts: (id, text)."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -332,23 +408,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = 75)
 
     meet(in_roots.where(F.col("at") < FIRST), ROUNDS)
     scratch.settle()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier, found, first = labelled(in_roots.select("node", "id"), label), None, scratch.n + 1
     for depth in range(DEPTH):
         level = scratch.keep(divided(frontier))
         scratch.settle()
         last = depth == DEPTH - 1
-        ended = level if last else level.where(F.least("size", "outside") <= SMALL)
+        ended = (level if last else level.where(F.least("size", "outside") <= SMALL)).select("node", "id")
         found = ended if found is None else found.unionByName(ended)
         large = level.where(F.least("size", "outside") > SMALL)
         if last or large.isEmpty():
             break
+        found = found.unionByName(scratch.keep(descended(large.where(f"size <= {WHOLE}").join(reps, "id"), similarity, percent, depth, n)))
+        large = large.where(f"size > {WHOLE}")
+        if large.isEmpty():
+            break
         frontier = labelled(branch(large.join(reps.select("id", "sig"), "id"), similarity).distinct(), label)
     levels = range(first, scratch.n + 1)
-    found = scratch.keep(found.select("node", "id"))
+    found = scratch.keep(found)
     scratch.drop(*levels)
     meet(found, 1)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for best in (True, False):
         rows = scratch.keep(divided(labelled(found, label)).withColumn("outside", F.col("component") != F.col("main")))
         nodes = rows.groupBy("id").agg(F.collect_list("node").alias("nodes"))

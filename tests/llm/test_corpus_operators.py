@@ -146,6 +146,33 @@ def test_minhash_pairs_stay_few_in_large_groups(spark, monkeypatch):
     assert sum(asked) <= 3 * 2000
 
 
+def test_minhash_common_passage_makes_no_rows_of_texts_alike_in_nothing_else(spark, monkeypatch):
+    """1,200 texts share a passage and 30 of them have a near copy: branching the nodes of the passage makes rows of those alone, and all copies are found; also where a node is too large for one task."""
+    from spanloom.llm import minhash
+
+    common = [f"p{k}" for k in range(60)]
+    texts = [[*common, *(f"q{i}x{k}" for k in range(30))] for i in range(1200)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(texts)] + [(5000 + i, " ".join([*texts[i][:-1], f"new{i}"]), "s") for i in range(0, 1200, 40)]
+    made = []
+
+    def counted(whole):
+        def run(*args):
+            out = whole(*args)
+            made.append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(minhash, "FIRST", 0)  # no pair is joined before
+    monkeypatch.setattr(minhash, "branch", counted(minhash.branch))
+    monkeypatch.setattr(minhash, "descended", counted(getattr(minhash, "descended", None)), raising=False)
+    want = {(i, i % 5000) for i, _, _ in rows}
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
+    assert made and sum(made) <= 60 * 40
+    monkeypatch.setattr(minhash, "WHOLE", 600)
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
 def test_minhash_ignores_clashing_columns_and_reads_long_texts(spark):
     long = " ".join(f"w{k % 5000}x{k // 5000}" for k in range(300_000))
     rows = [(1, long, 1, "x"), (2, long + " end", 2, "y"), (3, "z", 3, None)]
