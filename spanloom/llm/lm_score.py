@@ -24,9 +24,11 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import TO_LOWER, U64, Rolling, Scratch, mix64, signed, text_blocks, words_of
 
-BLOCK, PIECE, STRETCH = 24 << 20, 1 << 21, 1 << 17
+BLOCK, PIECE, STRETCH = 24 << 20, 1 << 20, 1 << 17
 #: Hashed contexts of three bytes.
 BUCKETS = 1 << 16
 #: Distinct words of a range of the vocabulary; words sampled for each border; bytes of a border.
@@ -53,6 +55,18 @@ SPACE, END = 32, 10
 END_TOKEN = np.int64(-0x123456789ABCDEF)
 
 
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step, after which a worker, which outlives it, gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Code:
     """A Huffman code: for each byte its length and where its path begins in ``node`` (the inner nodes it passes) and ``bit`` (what it takes there)."""
 
@@ -146,7 +160,20 @@ class Tokens:
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All numbers of half-open intervals, one interval after the other."""
     size = hi - lo
-    return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+    out = np.repeat(lo - (np.cumsum(size) - size), size)
+    for k in range(0, len(out), 1 << 16):  # without a second array of all
+        out[k : k + (1 << 16)] += np.arange(k, min(k + (1 << 16), len(out)))
+    return out
+
+
+def heads(size: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Booleans: the first some elements of spans of that size, one span after the other."""
+    first = np.cumsum(size) - size
+    turn = np.zeros(int(size.sum()) + 1, dtype=np.int8)
+    on = some > 0
+    turn[first[on]] += 1
+    turn[(first + some)[on]] -= 1
+    return np.cumsum(turn[:-1], dtype=np.int8).view(bool)
 
 
 def before(flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +237,7 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for part, data, offsets in text_blocks(batch, "text", 1 << 22):
+            for part, data, offsets in text_blocks(batch, "text", PIECE):
                 learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
                 t = Tokens(data, offsets)
                 h, first, at = np.unique(t.hash, return_index=True, return_inverse=True)
@@ -239,7 +266,7 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
             yield from summed(pa.concat_tables(held))[0].combine_chunks().to_batches(100_000)
 
     kinds = "kind int, h long, s long, word binary, n long, size int"
-    return docs.mapInArrow(count, "task int, rows binary").repartitionById(tasks, "task").mapInArrow(merge, kinds)
+    return docs.mapInArrow(lean(count), "task int, rows binary").repartitionById(tasks, "task").mapInArrow(lean(merge), kinds)
 
 
 def passage_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,7 +278,7 @@ def passage_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_blocks(batch, "text", 1 << 22):
+            for _, data, offsets in text_blocks(batch, "text", PIECE):
                 t = Tokens(data, offsets)
                 h, lo, hi = t.anchors()
                 s = t.passage_keys(lo, hi)
@@ -261,7 +288,7 @@ def passage_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 flat, ends = t.spelled(ranges(lo, hi))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), binaries(flat, ends[np.concatenate(([0], np.cumsum(hi - lo)))])], names=["h", "s", "st"])
 
-    return texts.select("text").mapInArrow(find, "h long, s long, st binary").join(wanted, ["h", "s"], "left_semi").groupBy("h", "s").agg(F.min("st").alias("st"))
+    return texts.select("text").mapInArrow(lean(find), "h long, s long, st binary").join(wanted, ["h", "s"], "left_semi").groupBy("h", "s").agg(F.min("st").alias("st"))
 
 
 def table_of(cell: np.ndarray, n: np.ndarray, code: Code, contexts: int) -> np.ndarray:
@@ -297,14 +324,14 @@ def cut(words: list[bytes], n: np.ndarray, borders: list[bytes]) -> dict[bytes,
 
 
 def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[bytes] = (), shared: dict[bytes, np.ndarray] | None = None, branched: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions of all bits of sorted words, where each word's begin). shared: what follows the beginnings that borders cut, over all ranges. branched is set to each word's bits that don't follow from its own count."""
+    """(stretched predictions of all bits of sorted words, where each word's begin). shared: what follows the beginnings that borders cut, over all ranges. branched is set to each word's bits that don't follow from its own count; if it is given, the others stay 0."""
     size = np.array([len(w) for w in words])
     at = np.concatenate(([0], np.cumsum(size)))
     flat = np.frombuffer(b"".join(words), dtype=np.uint8)
     bit_at = np.concatenate(([0], np.cumsum(code.size[flat])))
     out = np.zeros(bit_at[-1], dtype=np.int8)
-    branched = np.zeros(len(words), np.int64) if branched is None else branched
-    branched[:] = np.diff(bit_at[at])
+    if branched is not None:
+        branched[:] = np.diff(bit_at[at])
     alive, group, d = np.arange(len(words)), np.zeros(len(words), np.int64), 0
     cuts = {0: b""} if shared else {}  # groups that borders cut, and their beginning
     while len(alive):
@@ -333,12 +360,14 @@ def predictions(words: list[bytes], n: np.ndarray, code: Code, borders: list[byt
         d += 1
         lone = (np.bincount(branch)[branch] == 1) & ~np.isin(branch, list(cuts))
         k = alive[lone & (size[alive] > d)]  # the rest of words that no other shares
-        branched[k] = bit_at[at[k] + d] - bit_at[at[k]]
-        rest = size[k] - d
-        own = flat[np.arange(rest.sum()) + np.repeat(at[k] + d - (np.cumsum(rest) - rest), rest)]
-        many = bit_at[at[k + 1]] - bit_at[at[k] + d]
-        where = np.arange(many.sum()) + np.repeat(bit_at[at[k] + d] - (np.cumsum(many) - many), many)
-        out[where] = np.where(code.bit[code.bits(own)[1]] == 1, 1, -1) * np.repeat(stretched(n[k], 0 * n[k]), many)
+        if branched is not None:
+            branched[k] = bit_at[at[k] + d] - bit_at[at[k]]
+        else:
+            rest = size[k] - d
+            own = flat[np.arange(rest.sum()) + np.repeat(at[k] + d - (np.cumsum(rest) - rest), rest)]
+            many = bit_at[at[k + 1]] - bit_at[at[k] + d]
+            where = np.arange(many.sum()) + np.repeat(bit_at[at[k] + d] - (np.cumsum(many) - many), many)
+            out[where] = np.where(code.bit[code.bits(own)[1]] == 1, 1, -1) * np.repeat(stretched(n[k], 0 * n[k]), many)
         on = ~lone & (size[alive] > d)
         alive, group = alive[on], branch[on]
     return out, bit_at[at]
@@ -382,7 +411,7 @@ def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[
             part = [bisect_right(borders, w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "h", "word", "n"])
 
-    dealt = vocabulary.select("h", "word", "n").mapInArrow(deal, "part int, h long, word binary, n long")
+    dealt = vocabulary.select("h", "word", "n").mapInArrow(lean(deal), "part int, h long, word binary, n long")
     none = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n")
     both = dealt.select("part", F.lit(-1).alias("block"), "h", "word", "n").unionByName(asked.select("part", "block", "h", *none))
     both = both.repartitionById(len(borders) + 1, "part").sortWithinPartitions("part", "block")
@@ -404,7 +433,7 @@ def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[
 
     shared: dict[bytes, np.ndarray] = {b[:d]: np.zeros(256) for b in borders for d in range(len(b))}
     if borders:  # at most BORDER beginnings for each border
-        for r in vocabulary.select("word", "n").mapInArrow(border, "beginning binary, byte int, n long").groupBy("beginning", "byte").agg(F.sum("n").alias("n")).collect():
+        for r in vocabulary.select("word", "n").mapInArrow(lean(border), "beginning binary, byte int, n long").groupBy("beginning", "byte").agg(F.sum("n").alias("n")).collect():
             shared[bytes(r.beginning)][r.byte] = r.n
     cuts = spark.sparkContext.broadcast(shared)
 
@@ -416,7 +445,7 @@ def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[
         flat, at = predictions(t["word"].to_pylist(), t["n"].to_numpy(), sent.value[0], near(part), {x: cuts.value[x] for x in beginnings}, own)
         h = t["h"].to_numpy()
         order = np.argsort(h)
-        return h[order], order, t["n"].to_numpy(), flat[ranges(at[:-1], at[:-1] + own)], np.concatenate(([0], np.cumsum(own)))
+        return h[order], order, t["n"].to_numpy(), flat[heads(np.diff(at), own)], np.concatenate(([0], np.cumsum(own)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = None, None
@@ -435,7 +464,7 @@ def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[
             x = packed(pa.table([pa.array(h_of[at_word]), pa.array(n[at_word]), st], names=["h", "n", "st"]))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x], pa.binary())], names=["block", "st"])
 
-    return both.mapInArrow(answer, "block int, st binary")
+    return both.mapInArrow(lean(answer), "block int, st binary")
 
 
 # ---------------------------------------------------------------- mixing
@@ -553,17 +582,13 @@ class Known:
         self.st = np.frombuffer(st.buffers()[2], dtype=np.int8) if st.buffers()[2] is not None and len(st) else np.zeros(0, np.int8)
 
     def bits(self, which: np.ndarray) -> np.ndarray:
-        size = self.at[which + 1] - self.at[which]
-        return self.st[np.arange(size.sum()) + np.repeat(self.at[which] - (np.cumsum(size) - size), size)]
+        return self.st[ranges(self.at[which], self.at[which + 1])]
 
     def tries(self, which: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(predictions of all bits of words of so many bits, which of them are those of a word that is alone there: what they are if the bit is 1, else the opposite)."""
-        given, alone = self.at[which + 1] - self.at[which], np.ones(long.sum(), dtype=bool)
-        first = np.cumsum(long) - long
-        where = ranges(first, first + given)
-        alone[where] = False
+        alone = ~heads(long, self.at[which + 1] - self.at[which])
         out = np.repeat(self.alone[which], long)
-        out[where] = self.bits(which)
+        out[~alone] = self.bits(which)
         return out, alone
 
 
@@ -654,7 +679,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
         if last is not None:
             yield rows()
 
-    asked = scratch.keep(d.repartitionById(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "block int, kind int, h long, at long"))
+    asked = scratch.keep(d.repartitionById(parts, "block").sortWithinPartitions("block").mapInArrow(lean(ask), "block int, kind int, h long, at long"))
     scratch.settle(2)
     after = asked.where("kind = 1").select("block", "h", "at").join(best, "h").select("block", "h", "best", F.coalesce(F.col("at") != F.col("best"), F.lit(True)).alias("need"))
     after = scratch.keep(after)
@@ -706,5 +731,5 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                 for piece in text_blocks(rows, "text", PIECE):
                     yield scored(*piece, *known, mixer)
 
-    got = both.mapInArrow(judge, f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    got = both.mapInArrow(lean(judge), f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
