@@ -728,7 +728,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                     empty = pa.Table.from_batches([rows.slice(0, 0).select(["h", "n", "st"])])
                     known = [Known(pa.concat_tables([x.cast(empty.schema) for x in (empty, *of)])) for of in rows_of]
                     rows_of = ([], [])
-                for piece in text_blocks(rows, "text", PIECE):
+                for piece in text_blocks(rows, "text", PIECE >> 1):  # a bit takes some 30 bytes
                     yield scored(*piece, *known, mixer)
 
     got = both.mapInArrow(lean(judge), f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
