@@ -45,6 +45,8 @@ BUCKETS = 1 << 16
 RANGE, SAMPLED, BORDER = 150_000, 64, 48
 #: Bits between two refinements of the weights; their rate; what is added to counts; scale and bound of stretched predictions.
 GROUP, RATE, PRIOR, SCALE, MOST = 128, 0.004, 0.05, 15.0, 8.0
+#: Texts that are read in step; groups of bits that wait for it (640 bytes each).
+LANES, HELD = 128, 1 << 15
 #: Anchors are one in so many places; words of a passage at most; the strength of its bits; bytes after which it is far.
 EVERY, PASSAGE, SURE, FAR = 16, 64, 45, 16
 #: Bits by which wanted passages are told before their keys are compared (8 MB).
@@ -55,14 +57,19 @@ SPACE, END = 32, 10
 END_TOKEN = np.int64(-0x123456789ABCDEF)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The step, after which a worker, which outlives it, gives its free memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from step(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc only
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return run
 
@@ -151,19 +158,39 @@ class Tokens:
         """(bytes, where each token's begin) of some tokens."""
         size = self.size[which]
         at = np.concatenate(([0], np.cumsum(size)))
-        source = np.arange(at[-1]) + np.repeat(self.begin[which] - at[:-1], size)
-        flat = self.low[np.minimum(source, max(len(self.low) - 1, 0))] if len(self.low) else np.zeros(at[-1], np.uint8)
+        flat = self.low.take(ranges(self.begin[which], self.begin[which] + size), mode="clip") if len(self.low) else np.zeros(at[-1], np.uint8)
         flat[at[1:] - 1] = np.where(self.hash[which] == END_TOKEN, END, SPACE)
         return flat, at
 
 
+def uniques(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, some place of each, and where each element's value is among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate((np.ones(min(1, len(x)), dtype=bool), x[1:] != x[:-1]))
+    at = np.empty(len(x), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], order[new], at
+
+
+def found(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """searchsorted of many values in no order."""
+    order = np.argsort(some)
+    out = np.empty(len(some), dtype=np.int64)
+    out[order] = np.searchsorted(x, some[order])
+    return out
+
+
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """All numbers of half-open intervals, one interval after the other."""
-    size = hi - lo
-    out = np.repeat(lo - (np.cumsum(size) - size), size)
-    for k in range(0, len(out), 1 << 16):  # without a second array of all
-        out[k : k + (1 << 16)] += np.arange(k, min(k + (1 << 16), len(out)))
-    return out
+    some = hi > lo
+    lo, hi = lo[some], hi[some]
+    first = np.cumsum(hi - lo)
+    out = np.ones(int(first[-1]) if len(first) else 0, dtype=np.int64)
+    if len(out):
+        out[0] = lo[0]
+        out[first[:-1]] = lo[1:] - hi[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 def heads(size: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -223,47 +250,55 @@ def counted(docs: DataFrame, tasks: int) -> DataFrame:
 
     def summed(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
         """Rows in order of their keys, and the keys."""
-        t = t.combine_chunks()
         key = mix64(mix64(t["h"].to_numpy().view(U64) * U64(4) + t["kind"].to_numpy().astype(U64)) + t["s"].to_numpy().view(U64))
-        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        key, first, at = uniques(key)
         return t.take(pa.array(first)).set_column(4, "n", pa.array(np.bincount(at, t["n"].to_numpy(), len(first)).astype(np.int64))), key
 
-    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, key = summed(pa.Table.from_batches(held))
+    def whole(held: list[pa.Table]) -> pa.Table:
+        """The tables as one, which alone is left of them."""
+        t = pa.concat_tables(held).combine_chunks()
+        held.clear()
+        trim()
+        return t
+
+    def dealt(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t, key = summed(whole(held))
         cuts = [0, *(np.searchsorted(key, U64((k << 64) // tasks)) for k in range(1, tasks)), len(key)]
         some = [(k, packed(t.slice(int(lo), int(hi - lo)))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["task", "rows"])
 
+    def counts_of(data: np.ndarray, offsets: np.ndarray, learn: np.ndarray) -> pa.Table:
+        t = Tokens(data, offsets)
+        h, first, at = uniques(t.hash)
+        taught = np.repeat(learn, np.diff(t.first))
+        got = [rows(0, h, None, binaries(*t.spelled(first)), np.bincount(at, taught, len(h)))]
+        if learn.any():
+            flat, ends = t.spelled(np.flatnonzero(taught))
+            own = np.diff(t.first)[learn]
+            for kind, context in enumerate(before(flat, ends[np.cumsum(own) - own]), 1):
+                cell, n = _counts(context.astype(np.uint32) << np.uint32(8) | flat)
+                got.append(rows(kind, cell, None, None, n))
+            h, lo, hi = t.anchors()
+            on = taught[lo]
+            h, lo, hi = h[on], lo[on], hi[on]
+            long = np.concatenate(([0], np.cumsum(t.size)))
+            got.append(rows(3, h, t.passage_keys(lo, hi), None, np.ones(len(h)), long[hi] - long[lo]))
+        return pa.Table.from_batches(got)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []
         for batch in batches:
             for part, data, offsets in text_blocks(batch, "text", PIECE):
-                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-                t = Tokens(data, offsets)
-                h, first, at = np.unique(t.hash, return_index=True, return_inverse=True)
-                taught = np.repeat(learn, np.diff(t.first))
-                held.append(rows(0, h, None, binaries(*t.spelled(first)), np.bincount(at, taught, len(h))))
-                if learn.any():
-                    flat, ends = t.spelled(np.flatnonzero(taught))
-                    own = np.diff(t.first)[learn]
-                    for kind, context in enumerate(before(flat, ends[np.cumsum(own) - own]), 1):
-                        cell, n = _counts(context.astype(np.uint32) << np.uint32(8) | flat)
-                        held.append(rows(kind, cell, None, None, n))
-                    h, lo, hi = t.anchors()
-                    on = taught[lo]
-                    h, lo, hi = h[on], lo[on], hi[on]
-                    long = np.concatenate(([0], np.cumsum(t.size)))
-                    held.append(rows(3, h, t.passage_keys(lo, hi), None, np.ones(len(h)), long[hi] - long[lo]))
-                if sum(b.num_rows for b in held) > 2_000_000:
+                held.append(counts_of(data, offsets, part.column("learn").to_numpy(zero_copy_only=False).astype(bool)))
+                if sum(t.num_rows for t in held) > 2_000_000:
                     yield from dealt(held)
-                    held = []
         if held:
             yield from dealt(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpacked(x) for b in batches for x in b.column("rows").to_pylist()]
         if held:
-            yield from summed(pa.concat_tables(held))[0].combine_chunks().to_batches(100_000)
+            yield from summed(whole(held))[0].combine_chunks().to_batches(100_000)
 
     kinds = "kind int, h long, s long, word binary, n long, size int"
     return docs.mapInArrow(lean(count), "task int, rows binary").repartitionById(tasks, "task").mapInArrow(lean(merge), kinds)
@@ -283,7 +318,7 @@ def passage_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, lo, hi = t.anchors()
                 s = t.passage_keys(lo, hi)
                 on = np.flatnonzero(sent.value[(s & (PLACES - 1)) >> 6] >> (s & 63).view(U64) & U64(1))
-                on = on[np.unique(mix64(h[on].view(U64)) + s[on].view(U64), return_index=True)[1]]
+                on = on[uniques(mix64(h[on].view(U64)) + s[on].view(U64))[1]]
                 h, s, lo, hi = h[on], s[on], lo[on], hi[on]
                 flat, ends = t.spelled(ranges(lo, hi))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), binaries(flat, ends[np.concatenate(([0], np.cumsum(hi - lo)))])], names=["h", "s", "st"])
@@ -400,6 +435,20 @@ def range_borders(vocabulary: DataFrame, types: int) -> list[bytes]:
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 
+def parts_of(flat: np.ndarray, at: np.ndarray, borders: list[bytes]) -> np.ndarray:
+    """The range of each word: how many borders aren't above it."""
+    if not borders:
+        return np.zeros(len(at) - 1, dtype=np.int64)
+    size, front = np.diff(at), np.zeros(len(at) - 1, dtype=U64)
+    for k in range(8):
+        front = front << U64(8) | np.where(k < size, flat.take(at[:-1] + k, mode="clip"), 0).astype(U64)
+    edge = np.array([int.from_bytes(b[:8].ljust(8, b"\0"), "big") for b in borders], dtype=U64)
+    low, part = np.searchsorted(edge, front, side="left"), np.searchsorted(edge, front, side="right")
+    for k in np.flatnonzero(low < part):  # the first letters are a border's
+        part[k] = bisect_right(borders, flat[at[k] : at[k + 1]].tobytes())
+    return part
+
+
 def answered(vocabulary: DataFrame, asked: DataFrame, code: Code, borders: list[bytes]) -> DataFrame:
     """(block, st) of asked (part, block, h): packed (h, n, st) of the words of a block that lie in a range of vocabulary (h, word, n). st: the stretched predictions of a word's bits up to where no other shares its beginning."""
     spark = vocabulary.sparkSession
@@ -475,28 +524,31 @@ class Mixer:
 
     def __init__(self, code: Code, two: np.ndarray, three: np.ndarray):
         self.code, self.two, self.three = code, two, three
+        deep = np.arange(len(code.node)) - np.repeat(code.first, code.size)
+        self.step = code.node | deep << 8 | (code.bit.astype(np.int64) * 2 - 1 & 255) << 16  # of each place in node: its node, depth and sign by bytes
+        self.right = np.concatenate((np.full((1, 256), -1), code.common)).astype(np.int8).ravel()  # bits of a byte that a guess gets right, by guess + 1 and byte
 
     def inputs(self, flat: np.ndarray, contexts: tuple[np.ndarray, ...], guess: np.ndarray, run: np.ndarray, trie: np.ndarray) -> np.ndarray:
-        """(bits, 8) of spelled bytes: four stretched predictions, gate, bit, 1 and 0. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
-        x = np.zeros((8, len(trie)), dtype=np.int8).T  # each input's values side by side
-        x[:, 2], x[:, 4], x[:, 6] = trie, trie != 0, 1
+        """(bits, 5) of spelled bytes: four stretched predictions that the bit is what it is, and the gate. guess: the byte that a passage predicts, or -1; run: 0 without a passage, 1, or 2 if it is far; trie: the predictions after the words so far."""
+        x = np.empty((5, len(trie)), dtype=np.int8).T  # each input's values side by side
         done = 0
         for lo in range(0, len(flat), 1 << 14):
             part = slice(lo, lo + (1 << 14))
             symbol, asked = flat[part], guess[part]
             long = self.code.size[symbol]
-            of = np.repeat(np.arange(len(symbol)), long)  # the byte of each bit
-            path = np.arange(len(of)) + (self.code.first[symbol] - (np.cumsum(long) - long))[of]
-            node, bit, to = self.code.node[path], self.code.bit[path], slice(done, done + len(path))
-            for k, (table, context) in enumerate(zip((self.two, self.three), contexts, strict=True)):
-                x[to, k] = table[(context[part].astype(np.int64) << 8)[of] + node]
-            x[to, 5] = bit
-            if (asked >= 0).any():
-                right = np.where(asked < 0, -1, self.code.common[symbol, asked])[of]  # bits of each byte that the passage gets right
-                deep = path - self.code.first[symbol][of]
-                x[to, 3] = np.where(deep < right, SURE, np.where(deep == right, -SURE, 0)) * (2 * bit - 1)
-                x[to, 4] += 2 * run[part][of] * (deep <= right)
-            done += len(path)
+            right = self.right.take((asked.astype(np.int64) + 1) << 8 | symbol)
+            path = self.code.first[symbol] - (np.cumsum(long) - long)  # modulo 2**16, which no code's paths reach
+            of = np.repeat(right.view(np.uint8) | contexts[0][part].astype(np.int64) << 8 | run[part].astype(np.int64) << 25 | contexts[1][part].astype(np.int64) << 32 | path << 48, long)  # a bit's byte in one value, taken apart by its bytes
+            step = self.step.take((of >> 48) + np.arange(len(of)) & 65535)
+            right, ahead, deep, sign = of.view(np.int8)[::8], of.view(np.int8)[3::8], step.view(np.int8)[1::8], step.view(np.int8)[2::8].copy()
+            node, to = step & 255, slice(done, done + len(of))
+            np.multiply(self.two.take(of & 0xFFFF00 | node), sign, out=x[to, 0])
+            np.multiply(self.three.take(of >> 24 & 0xFFFF00 | node), sign, out=x[to, 1])
+            np.multiply(trie[to], sign, out=x[to, 2])
+            left = right - deep
+            np.multiply((left > 0).view(np.int8) - (left == 0).view(np.int8), np.int8(SURE), out=x[to, 3])
+            np.add((left >= 0).view(np.int8) * ahead, trie[to] != 0, out=x[to, 4])
+            done += len(of)
         return x
 
 
@@ -529,40 +581,60 @@ def passages(t: Tokens, flat: np.ndarray, at: np.ndarray, known: "Known") -> tup
     return guess, run
 
 
-def mixed(x: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The natural logarithms of texts' probabilities. x: inputs of texts one after the other, size: bits of each; w: (texts, gates, inputs) weights, refined in place."""
-    steps = -(-size // GROUP)
-    order = np.argsort(-steps, kind="stable")  # those still being read stay in front
-    lanes = np.searchsorted(-steps[order], -np.arange(int(steps.max(initial=0))), side="left")  # texts that have a step
+def laid_out(x: np.ndarray, size: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Lays texts' inputs out in groups of bits, (groups, inputs, bits), which begin with each text; gives each text's first group."""
+    x, steps = x.T, -(-size // GROUP)
     begin = np.cumsum(steps) - steps
-    wide, x = np.zeros((7, int(steps.sum()) * GROUP), dtype=np.int8), x.T
-    for to, lo, n in zip((begin * GROUP).tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
-        wide[:, to : to + n] = x[:7, lo : lo + n]
-    wide, begin = wide.reshape(7, -1, GROUP), begin[order]
+    for to, lo, n in zip(begin.tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        full, rest = divmod(n, GROUP)
+        out[to : to + full] = x[:, lo : lo + full * GROUP].reshape(len(x), full, GROUP).transpose(1, 0, 2)
+        if rest:
+            out[to + full, :, :rest] = x[:, lo + full * GROUP : lo + n]
+            out[to + full, :, rest:] = 0  # refines nothing
+    return begin
+
+
+def refined(wide: np.ndarray, begin: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The natural logarithms of texts' probabilities. wide: inputs by groups of bits; begin: the first group of each text; size: bits of each; w: (texts, gates, inputs) weights, refined in place."""
     texts, gates, inputs = w.shape
-    own = np.ascontiguousarray(w[order].transpose(2, 0, 1))
+    steps = -(-size // GROUP)
+    order = np.argsort(-steps, kind="stable")  # those still being read stay in front
     gain = np.zeros(texts)
-    every = np.arange(gates, dtype=np.int8)[:, None]
-    base = np.arange(texts)[:, None] * gates
-    for step, m in enumerate(lanes):
-        part = wide[:, begin[:m] + step]
-        gate = part[4]
-        v = part[:inputs] * np.float32(1 / SCALE)
-        at = base[:m] + gate
-        s = v[0] * own[0].ravel()[at]
-        for k in range(1, inputs):
-            s += v[k] * own[k].ravel()[at]
-        np.clip(s, -12, 12, out=s)
-        e = part[5] - 1 / (1 + np.exp(-s))
-        e *= part[6]
-        gain[:m] += np.log(1 - np.abs(e)).sum(axis=1, dtype=np.float64)
-        e *= np.float32(RATE)
-        by_gate = (gate[:, None, :] == every) * e[:, None, :]
-        own[:, :m] += np.matmul(by_gate, v.transpose(1, 2, 0)).transpose(2, 0, 1)
-    w[order] = own.transpose(1, 2, 0)
-    out = np.empty(texts)
-    out[order] = gain
-    return out
+    places = np.arange(LANES)[:, None] * (gates * GROUP) + np.arange(GROUP)
+    errors = np.zeros((LANES, gates, GROUP), dtype=np.float32)
+    rate = np.float32(RATE / SCALE**2)
+    for some in np.split(order, range(LANES, texts, LANES)):
+        lanes = np.searchsorted(-steps[some], -np.arange(int(steps[some].max(initial=0))), side="left")  # texts that have a step
+        own, at = w[some] * np.float32(-1 / SCALE), begin[some]
+        costs = np.zeros((len(some), GROUP // 4))
+        for step, m in enumerate(lanes.tolist()):
+            part = wide[at[:m] + step]
+            v = part[:, :inputs].astype(np.float32)
+            place = np.multiply(part[:, inputs], GROUP, dtype=np.int64)
+            place += places[:m]
+            s = np.matmul(own[:m], v).take(place)  # minus the mixed prediction, of all gates, then of the bit's
+            np.minimum(s, 12, out=s)
+            np.maximum(s, -12, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.divide(1, s, out=s)  # the bit's probability
+            four = s[:, : GROUP // 2] * s[:, GROUP // 2 :]
+            four = four[:, : GROUP // 4] * four[:, GROUP // 4 :]
+            costs[:m] += np.log(four, out=four)
+            s -= 1
+            e = errors[:m]
+            e.reshape(-1)[place] = s
+            own[:m] += rate * np.matmul(e, v.transpose(0, 2, 1))
+            e.fill(0)
+        w[some] = own * np.float32(-SCALE)
+        gain[some] = costs.sum(axis=1)
+    return gain + np.log(2) * (steps * GROUP - size)  # places beyond a text's end count as bits of probability 1/2
+
+
+def mixed(x: np.ndarray, size: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The natural logarithms of texts' probabilities. x: inputs of texts one after the other, size: bits of each; w: see refined."""
+    wide = np.empty((int((-(-size // GROUP)).sum()), x.shape[1], GROUP), dtype=np.int8)
+    return refined(wide, laid_out(x, size, wide), size, w)
 
 
 def first_weights(texts: int) -> np.ndarray:
@@ -581,21 +653,18 @@ class Known:
         self.at = np.frombuffer(st.buffers()[1], dtype=np.int32, count=len(st) + 1 + st.offset)[st.offset :].astype(np.int64) if len(st) else np.zeros(1, np.int64)
         self.st = np.frombuffer(st.buffers()[2], dtype=np.int8) if st.buffers()[2] is not None and len(st) else np.zeros(0, np.int8)
 
-    def bits(self, which: np.ndarray) -> np.ndarray:
-        return self.st[ranges(self.at[which], self.at[which + 1])]
-
     def tries(self, which: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(predictions of all bits of words of so many bits, which of them are those of a word that is alone there: what they are if the bit is 1, else the opposite)."""
-        alone = ~heads(long, self.at[which + 1] - self.at[which])
-        out = np.repeat(self.alone[which], long)
-        out[~alone] = self.bits(which)
+        """(predictions of all bits of words of so many bits, places of those of a word that is alone there: what they are if the bit is 1, else the opposite)."""
+        lo, end = self.at[which], np.cumsum(long)
+        rest = long - (self.at[which + 1] - lo)
+        out = self.st.take(ranges(lo, lo + long), mode="clip") if len(self.st) else np.zeros(int(long.sum()), dtype=np.int8)
+        alone = ranges(end - rest, end)
+        out[alone] = np.repeat(self.alone[which], rest)
         return out, alone
 
 
-def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> np.ndarray:
-    """The natural logarithm of each text's probability. which: the row in known of each token; anchored: passages by anchor."""
-    texts = len(t.first) - 1
-    w, gain = first_weights(texts), np.zeros(texts)
+def stretches(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, their inputs, bits of each) of each stretch of t. which: the row in known of each token; anchored: passages by anchor."""
     flat, at = t.spelled(np.arange(len(t.hash)))
     contexts = before(flat, at[t.first[:-1]])
     guess, run = passages(t, flat, at, anchored)
@@ -603,19 +672,56 @@ def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixe
         a = np.minimum(t.first[:-1] + r * STRETCH, t.first[1:])
         b = np.minimum(a + STRETCH, t.first[1:])
         on = np.flatnonzero(b > a)
-        part = ranges(at[a[on]], at[b[on]]) if r or (b < t.first[1:]).any() else slice(None)
-        own = ranges(a[on], b[on])
-        trie, alone = known.tries(which[own], np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(t.size[own]) - t.size[own]))
-        x = mixer.inputs(flat[part], tuple(c[part] for c in contexts), guess[part], run[part], trie)
-        x[alone & (x[:, 5] == 0), 2] *= -1
-        many = at[b[on]] - at[a[on]]
-        size = np.add.reduceat(mixer.code.size[flat[part]], np.cumsum(many) - many)
+        whole = r == 0 and (b == t.first[1:]).all()
+        part = slice(None) if whole else ranges(at[a[on]], at[b[on]])
+        own = slice(None) if whole else ranges(a[on], b[on])
+        spelled = flat[part]
+        bit_at = np.concatenate(([0], np.cumsum(mixer.code.size[spelled])))
+        trie, alone = known.tries(which[own], np.diff(bit_at[np.concatenate(([0], np.cumsum(t.size[own])))]))
+        x = mixer.inputs(spelled, tuple(c[part] for c in contexts), guess[part], run[part], trie)
+        x[alone, 2] = trie[alone]
+        yield on, x, np.diff(bit_at[np.concatenate(([0], np.cumsum(at[b[on]] - at[a[on]])))])
+
+
+def text_costs(t: Tokens, which: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> np.ndarray:
+    """The natural logarithm of each text's probability; see stretches."""
+    texts = len(t.first) - 1
+    w, gain = first_weights(texts), np.zeros(texts)
+    for on, x, size in stretches(t, which, known, anchored, mixer):
         own = w[on]
         gain[on] += mixed(x, size, own)
         w[on] = own
     return gain
 
 
+class Waiting:
+    """Texts of several pieces, which are then read in step; what is said of each piece besides its score waits with them."""
+
+    def __init__(self):
+        self.wide = np.empty((HELD, 5, GROUP), dtype=np.int8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.used, self.begin, self.size, self.said = 0, [], [], []
+
+    def fits(self, size: np.ndarray) -> bool:
+        return self.used + int((-(-size // GROUP)).sum()) <= HELD
+
+    def add(self, x: np.ndarray, size: np.ndarray, said: Callable[[np.ndarray], pa.RecordBatch]) -> None:
+        self.begin.append(self.used + laid_out(x, size, self.wide[self.used :]))
+        self.used += int((-(-size // GROUP)).sum())
+        self.size.append(size)
+        self.said.append(said)
+
+    def scored(self) -> Iterator[pa.RecordBatch]:
+        if self.said:
+            size = np.concatenate(self.size)
+            gain = refined(self.wide, np.concatenate(self.begin), size, first_weights(len(size)))
+            for said, part in zip(self.said, np.split(gain, np.cumsum([len(x) for x in self.size])[:-1]), strict=True):
+                yield said(part)
+        self.clear()
+
+
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row, by a model of the rows for which ``learn`` holds."""
     spark = docs.sparkSession
@@ -643,12 +749,18 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     d = docs.select(F.col(id_col).alias("id"), text).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, none = None, np.zeros(0, np.int64)
-        held = [none] * 4  # words and their ranges, anchors and their keys
+        last, held = None, []  # words and their ranges, anchors and their keys, of each piece
 
         def rows() -> pa.RecordBatch:
-            h, part, anchor, key = held
+            h, part, anchor, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, first, _ = uniques(h)
+            part = part[first]
             order = np.argsort(part, kind="stable")
+            by = np.argsort(anchor)
+            anchor, key = anchor[by], key[by]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), bool), anchor[1:] != anchor[:-1])))
+            one = np.minimum.reduceat(key, first) == np.maximum.reduceat(key, first) if len(first) else np.zeros(0, bool)
+            anchor, key = anchor[first], np.where(one, key[first], 0)  # 0: its texts go on in several ways
             at = pa.array(np.concatenate((part[order], key)), mask=np.concatenate((np.zeros(len(h), bool), key == 0)))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), last, np.int32)), pa.array(np.repeat(np.arange(2, dtype=np.int32), (len(h), len(anchor)))), pa.array(np.concatenate((h[order], anchor))), at], names=["block", "kind", "h", "at"])
 
@@ -661,21 +773,13 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                 for b in np.unique(block):  # rows come in order of their blocks
                     if b != last and last is not None:
                         yield rows()
-                        held = [none] * 4
+                        held = []
                     last = b
                     at = np.flatnonzero(block == b)
                     lo, hi = t.first[at[0]], t.first[at[-1] + 1]
-                    new, first = np.unique(t.hash[lo:hi], return_index=True)
-                    there = np.isin(new, held[0], assume_unique=True)
-                    new, first = new[~there], first[~there]
-                    of = [bisect_right(borders.value, w) for w in binaries(*t.spelled(lo + first)).to_pylist()]
+                    new, first, _ = uniques(t.hash[lo:hi])
                     own = (token >= lo) & (token < hi)
-                    h, s = np.concatenate((held[2], anchor[own])), np.concatenate((held[3], key[own]))
-                    order = np.argsort(h, kind="stable")
-                    h, s = h[order], s[order]
-                    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-                    one = np.minimum.reduceat(s, first) == np.maximum.reduceat(s, first) if len(h) else none == 1
-                    held = [np.concatenate((held[0], new)), np.concatenate((held[1], np.array(of, np.int64))), h[first], np.where(one, s[first], 0)]  # 0: its texts go on in several ways
+                    held.append((new, parts_of(*t.spelled(lo + first), borders.value), anchor[own], key[own]))
         if last is not None:
             yield rows()
 
@@ -696,21 +800,32 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
     on = after.where("need").join(said.select("h", "st"), "h").select("block", F.lit(1).alias("kind"), *none, "h", F.col("best").alias("n"), "st")
     own = after.where("NOT need").select("block", F.lit(1).alias("kind"), *none, "h", F.col("best").alias("n"), nothing)
     both = known.unionByName(on).unionByName(own).unionByName(d.select("block", F.lit(2).alias("kind"), "id", "text", *no, nothing))
-    both = both.repartitionById(parts, "block").sortWithinPartitions("block", "kind")
+    both = both.repartitionById(parts, "block").sortWithinPartitions("block", "kind", F.octet_length("text"))  # texts of a size are read in step
     floor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
-    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, anchored: Known, mixer: Mixer) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, known: Known, anchored: Known, mixer: Mixer, waiting: Waiting) -> Iterator[pa.RecordBatch]:
         t = Tokens(data, offsets)
-        which = np.searchsorted(known.hash, t.hash)
+        which = found(known.hash, t.hash)
         own = known.n[which]
         size = np.add.reduceat(t.size, t.first[:-1])
-        score = text_costs(t, which, known, anchored, mixer) / np.log(10)
         base = np.add.reduceat(np.log10(own + 0.5) - floor, t.first[:-1])
         ints = [np.diff(t.first), np.add.reduceat((own > 0).astype(np.int64), t.first[:-1])]
-        return pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(a.astype(np.int64)) for a in ints], pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / size)], names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        ids = pa.concat_arrays([part.column("id")])
+
+        def said(gain: np.ndarray) -> pa.RecordBatch:
+            score = gain / np.log(10)
+            return pa.RecordBatch.from_arrays([ids, *[pa.array(a.astype(np.int64)) for a in ints], pa.array(base), pa.array(score), pa.array(-score * np.log2(10) / size)], names=["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+
+        if ints[0].max() > STRETCH or int(mixer.code.size[t.low].sum()) // GROUP > HELD // 2:  # long texts
+            yield said(text_costs(t, which, known, anchored, mixer))
+            return
+        _, x, bits = next(stretches(t, which, known, anchored, mixer))
+        if not waiting.fits(bits):
+            yield from waiting.scored()
+        waiting.add(x, bits, said)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, held, rows_of, known = sent.value, None, ([], []), None
+        mixer, held, rows_of, known, waiting = sent.value, None, ([], []), None, Waiting()
         for batch in batches:
             block, what = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(what) != 0)) + 1
@@ -728,8 +843,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataF
                     empty = pa.Table.from_batches([rows.slice(0, 0).select(["h", "n", "st"])])
                     known = [Known(pa.concat_tables([x.cast(empty.schema) for x in (empty, *of)])) for of in rows_of]
                     rows_of = ([], [])
-                for piece in text_blocks(rows, "text", PIECE >> 1):  # a bit takes some 30 bytes
-                    yield scored(*piece, *known, mixer)
+                for piece in text_blocks(rows, "text", PIECE >> 2):  # a bit takes some 50 bytes
+                    yield from scored(*piece, *known, mixer, waiting)
+        yield from waiting.scored()
 
     got = both.mapInArrow(lean(judge), f"id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

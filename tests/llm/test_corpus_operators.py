@@ -624,6 +624,54 @@ def test_lm_counts_of_ranges_agree():
             assert (got == whole[at[mine[0]] : at[mine[-1] + 1]]).all()
 
 
+def test_lm_texts_of_many_pieces_are_read_in_step(monkeypatch):
+    """Texts of several pieces wait for each other and are then refined together, in any number of lanes, with the same scores as alone."""
+    texts = [(t or "").encode() for _, t, _ in lm_rows()]
+    alone = np.concatenate([lm_local(texts, [t])[0] for t in texts[:44]])
+    calls, pieces, refined = [], [], lm_score.refined
+    monkeypatch.setattr(lm_score, "LANES", 3)
+    monkeypatch.setattr(lm_score, "mixed", lambda x, size, w: pieces.append((x, size)) or np.zeros(len(size)))
+    for k in range(0, 44, 4):
+        lm_local(texts, texts[k : k + 4])
+    monkeypatch.setattr(lm_score, "refined", lambda *a: calls.append(len(a[2])) or refined(*a))
+    for held in (1 << 12, sum(int((-(-size // lm_score.GROUP)).sum()) for _, size in pieces) // 2):
+        monkeypatch.setattr(lm_score, "HELD", held)
+        calls.clear()
+        waiting, got = lm_score.Waiting(), []
+        for x, size in pieces:
+            if not waiting.fits(size):
+                got.extend(waiting.scored())
+            waiting.add(x, size, lambda gain: gain)
+        got.extend(waiting.scored())
+        assert np.allclose(np.concatenate(got), alone, rtol=1e-5) and sum(calls) == 44
+        assert len(calls) == 1 if held == 1 << 12 else 1 < len(calls) < len(pieces)
+
+
+def test_lm_long_texts_and_many_flushes_agree(spark, monkeypatch):
+    """Scores of a table don't depend on how many texts wait, nor on which are scored by themselves."""
+    df = spark.createDataFrame(lm_rows(), DOCS)
+    learned = lm_score.F.col("doc_id") % 4 != 1
+    want = {r.doc_id: r.score for r in lm_score.score_texts(df, learned).collect()}
+    for name, value in (("HELD", 200), ("PIECE", 1 << 10)):
+        monkeypatch.setattr(lm_score, name, value)
+        got = {r.doc_id: r.score for r in lm_score.score_texts(df, learned).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-5)
+
+
+def test_lm_ranges_of_words_and_spans():
+    """Ranges of words by their first letters as bisect finds them, and numbers of spans of which some are empty."""
+    rng = np.random.default_rng(21)
+    every = [bytes(rng.choice([0, 97, 98, 255], int(rng.integers(1, 12))).astype(np.uint8)) + b" " for _ in range(500)] + [b"\n"]
+    at = np.concatenate(([0], np.cumsum([len(w) for w in every])))
+    flat = np.frombuffer(b"".join(every), np.uint8)
+    for borders in ([], [b"a"], sorted({w[:-1] for w in every[:40]} | {every[41], every[42][:8]})):
+        assert lm_score.parts_of(flat, at, borders).tolist() == [lm_score.bisect_right(borders, w) for w in every]
+    lo = rng.integers(0, 50, 200)
+    hi = lo + rng.integers(0, 3, 200)
+    assert lm_score.ranges(lo, hi).tolist() == [k for a, b in zip(lo, hi, strict=True) for k in range(a, b)]
+    assert len(lm_score.ranges(lo, lo)) == 0
+
+
 def test_mixing_totals(docs, none):
     rows = mix(docs).collect()
     total = sum(len(words(t)) for _, t, _ in corpus())
