@@ -133,15 +133,28 @@ def boundary_f1(truths: DataFrame, found: DataFrame, durations: DataFrame, thres
     return s.select("threshold", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
-def wups(pairs: DataFrame, similarity: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(id, wups) of (id, answer, truth) token arrays and a table (a, b, sim) of word similarities, both ways; those under gamma count a tenth."""
-    sim = similarity.select("a", "b", F.when(F.col("sim") < gamma, F.col("sim") * 0.1).otherwise(F.col("sim")).alias("sim"))
-
-    def side(x: str, y: str) -> DataFrame:
-        flat = pairs.select("id", F.posexplode(x).alias("i", "a"), F.col(y).alias("_o")).select("id", "i", "a", F.explode("_o").alias("b"))
-        each = flat.join(sim, ["a", "b"], "left").withColumn("sim", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
-        return each.groupBy("id", "i").agg(F.max("sim").alias("s")).groupBy("id").agg(F.product("s").alias("s"))
-
-    got = side("answer", "truth").withColumnRenamed("s", "x").join(side("truth", "answer").withColumnRenamed("s", "y"), "id")
-    value = F.when(F.array_sort("answer") == F.array_sort("truth"), 1.0).otherwise(F.coalesce(F.least("x", "y"), F.lit(0.0)))
-    return pairs.join(got, "id", "left").select("id", value.alias("wups"))
+def wups(pairs: DataFrame, similarity: DataFrame | None, gamma: float = 0.9) -> DataFrame:
+    """(id, wups) of (id, answer, truth) token arrays and a table (a, b, sim) of word similarities, both ways; those under gamma count a tenth. Without a table only equal words are similar, and rows stay where they are.
+
+    A word's other similarities come by its neighbours in the table that the other side holds; pairs of words aren't listed.
+    """
+    got = pairs
+    if similarity is not None:
+        sim = similarity.where("a <> b").groupBy("a", "b").agg(F.max(F.when(F.col("sim") < gamma, F.col("sim") * 0.1).otherwise(F.col("sim"))).alias("sim")).where("sim > 0")
+
+        def near(x: str, y: str, name: str) -> DataFrame:
+            asked = pairs.select("id", F.explode(F.array_distinct(x)).alias("a")).join(sim, "a")
+            best = asked.join(pairs.select("id", F.explode(F.array_distinct(y)).alias("b")), ["id", "b"], "left_semi").groupBy("id", "a").agg(F.max("sim").alias("sim"))
+            return best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("a", "sim"))).alias(name))
+
+        got = pairs.join(near("answer", "truth", "_x"), "id", "left").join(near("truth", "answer", "_y"), "id", "left")
+
+    def side(x: str, y: str, best: str) -> Column:
+        if similarity is None:
+            return F.when((F.size(x) > 0) & (F.size(y) > 0), (F.size(F.array_except(x, y)) == 0).cast("double"))
+        other = lambda a: F.coalesce(F.try_element_at(best, a), F.lit(0.0))
+        each = lambda a: F.greatest(other(a), F.when(F.array_contains(y, a), 1.0).otherwise(0.0))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(x, F.lit(1.0), lambda s, a: s * each(a)))
+
+    least = F.least(side("answer", "truth", "_x"), side("truth", "answer", "_y"))
+    return got.select("id", F.when(F.array_sort("answer") == F.array_sort("truth"), 1.0).otherwise(F.coalesce(least, F.lit(0.0))).alias("wups"))

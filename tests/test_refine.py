@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import refine
+from spanloom.operators import metrics, refine
 from spanloom.sources import runs
 
 
@@ -66,3 +66,20 @@ def test_runs_are_numbered_and_read_again(spark, tmp_path):
     assert runs.load(spark, second) == ({}, {})
     left = runs.unfinished(spark.range(6), spark.range(4), "id", spark.range(1))
     assert sorted(r.id for r in left.collect()) == [0, 4, 5]
+
+
+def test_word_similarity_lists_no_pairs_of_words(spark):
+    """Against plain loops, with and without a table; without one no row leaves its task."""
+    texts = ["a b b", "b a", "c", "a c", "d d a", "", "e"]
+    rows = [(i, x.split(), y.split()) for i, (x, y) in enumerate((x, y) for x in texts for y in texts)]
+    pairs = spark.createDataFrame(rows, "id long, answer array<string>, truth array<string>")
+    table = {("a", "c"): 0.95, ("c", "a"): 0.95, ("b", "d"): 0.5, ("d", "b"): 0.5, ("a", "d"): 0.92, ("a", "a"): 0.3}
+    sim = spark.createDataFrame([(*k, v) for k, v in table.items()], "a string, b string, sim double")
+    for known, given in ((table, sim), ({}, None)):
+        of = lambda a, b: 1.0 if a == b else known.get((a, b), 0.0) * (1 if known.get((a, b), 0.0) >= 0.9 else 0.1)  # noqa: B023, E731
+        side = lambda x, y: math.prod(max(of(a, b) for b in y) for a in x) if x and y else 0.0  # noqa: B023, E731
+        want = {i: 1.0 if sorted(x) == sorted(y) else min(side(x, y), side(y, x)) for i, x, y in rows}
+        got = {r.id: r.wups for r in metrics.wups(pairs, given, 0.9).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    plan = metrics.wups(pairs, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
