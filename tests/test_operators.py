@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import aggregates, joins, metrics, windows
+from spanloom.operators import aggregates, frames, joins, metrics, windows
 from spanloom.plans import queries
 from spanloom.sources import loaders
 
@@ -77,3 +77,18 @@ def test_sources_hold_whole_texts_and_all_turns(spark, tmp_path):
     want = sorted((c, t * 3.0, x) for (c, t), x in flat.items())
     for name in ("s15_srt", "s16_json_subtitles"):
         assert sorted((r.video_id, r.start_sec, r.text) for r in q[name](spark, d).collect()) == want
+
+
+def test_frame_groups_get_chunks_once_and_vectors_only_if_read(spark):
+    """Chunks aren't repeated on every window, and methods without vectors don't have them dealt."""
+    rows = [(v, k, 2.0 * k, [float(k == j) for j in range(4)]) for v in (1, 2) for k in range(4)]
+    w = spark.createDataFrame(rows, "video_id int, w_idx int, t_sec double, emb array<double>")
+    rel = w.crossJoin(spark.createDataFrame([(7,), (8,)], "query_id int")).select("video_id", "query_id", "w_idx", F.when(F.col("query_id") == 7, F.col("w_idx") / 10).otherwise(1 - F.col("w_idx") / 10).alias("score"))
+    meta = spark.createDataFrame([(1, 30.0, 240), (2, 30.0, 240)], "video_id int, fps double, total_frames long")
+    c = spark.createDataFrame([(1, 0, 0, 120), (1, 1, 120, 240)], "video_id int, chunk_idx int, start_frame long, end_frame long")
+    got = frames.select_frames(w, rel, meta, "weighted", 2, 2.0, None, c)
+    assert sorted((r.video_id, r.query_id, r.w_idx) for r in got.collect()) == [(1, 7, 1), (1, 7, 3), (1, 8, 0), (1, 8, 2), (2, 7, 1), (2, 7, 2), (2, 8, 0), (2, 8, 2)]
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for method in ("constrained", "mmr"):
+        plan = frames.select_frames(w, rel, meta, method, 2, 2.0)._jdf.queryExecution().optimizedPlan()
+        assert ("emb" in [x.name() for x in (plan.children().head().output().apply(k) for k in range(plan.children().head().output().size()))]) == (method == "mmr")
