@@ -1,6 +1,7 @@
 """Kernels on arrays: fixed cases, brute force and properties."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -140,3 +141,27 @@ def test_penalized_runs_with_a_longest_duration(values, most, penalty):
     got = moments.penalized_runs(np.array(values), np.arange(n), np.arange(n) + 1, penalty, most=most)
     assert all(b - a < most for a, b in got) and all(p[1] < q[0] for p, q in itertools.pairwise(got))
     assert abs(sum(c[a : b + 1].sum() - penalty for a, b in got) - best[n]) < 1e-6
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_coverage_against_plain_loops_in_blocks(seed, monkeypatch):
+    """With copies, and blocks of a few windows."""
+    monkeypatch.setattr(frames, "BLOCK", 90)
+    g = group(40, seed)
+    g.emb[20:30] = g.emb[:10]
+    g.rel[20:30] = g.rel[:10]
+    sims, reach, out = g.emb @ g.emb.T, np.full(40, -np.inf), []
+    while len(out) < 9:
+        gain = [-np.inf if k in out else round(np.maximum(reach, sims[:, k]).sum() + 0.5 * g.rel[k], 9) for k in range(40)]
+        out.append(int(np.argmax(gain)))
+        reach = np.maximum(reach, sims[:, out[-1]])
+    assert frames.coverage(g, 9) == out
+
+
+def test_coverage_holds_no_square_of_its_windows():
+    g = group(6000, 1)
+    tracemalloc.start()
+    frames.coverage(g, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # the square has 288 MB
