@@ -51,10 +51,11 @@ def around(points: DataFrame, subtitles: DataFrame, reach: float = 3.0) -> DataF
 
 
 def bracket(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """(video_id, t, left_idx, right_idx): the grid points before or at t, and after it; an as-of join by one sort of both sides."""
+    """(video_id, t, left_idx, right_idx): the grid points before or at t, and after it; an as-of join by two sorts of both sides, one running value each."""
     both = points.select("video_id", "t", F.lit(1).alias("_p"), F.lit(None).cast("long").alias("_i")).unionByName(grid.select("video_id", F.col("center").alias("t"), F.lit(0).alias("_p"), F.col("w_idx").cast("long").alias("_i")))
-    w = Window.partitionBy("video_id").orderBy("t", "_p")
-    both = both.withColumn("left_idx", F.last("_i", True).over(w)).withColumn("right_idx", F.first("_i", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    before = Window.partitionBy("video_id").orderBy("t", "_p", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("video_id").orderBy(F.desc("t"), F.desc("_p"), F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # read backward, as a frame that shrinks is gone through again for each row
+    both = both.withColumn("left_idx", F.last("_i", True).over(before)).withColumn("right_idx", F.last("_i", True).over(after))
     return both.where("_p = 1").select("video_id", "t", "left_idx", "right_idx")
 
 

@@ -92,3 +92,16 @@ def test_frame_groups_get_chunks_once_and_vectors_only_if_read(spark):
     for method in ("constrained", "mmr"):
         plan = frames.select_frames(w, rel, meta, method, 2, 2.0)._jdf.queryExecution().optimizedPlan()
         assert ("emb" in [x.name() for x in (plan.children().head().output().apply(k) for k in range(plan.children().head().output().size()))]) == (method == "mmr")
+
+
+def test_bracket_reads_running_frames_only(spark):
+    """Against plain loops, with points on grid points; no frame shrinks, which would be quadratic in a video."""
+    grid = [(v, k, 2.0 * k + v) for v in (1, 2) for k in range(6)]
+    points = [(v, x / 2) for v in (1, 2, 3) for x in range(-1, 30, 3)]
+    g = spark.createDataFrame(grid, "video_id int, w_idx int, center double")
+    p = spark.createDataFrame(points, "video_id int, t double")
+    got = joins.bracket(p, g)
+    left = {(v, t): max((k for u, k, c in grid if u == v and c <= t), default=None) for v, t in points}
+    right = {(v, t): min((k for u, k, c in grid if u == v and c > t), default=None) for v, t in points}
+    assert {(r.video_id, r.t): (r.left_idx, r.right_idx) for r in got.collect()} == {k: (left[k], right[k]) for k in left}
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
