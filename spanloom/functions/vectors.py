@@ -30,8 +30,16 @@ def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     return F.when(n < eps, v).otherwise(F.transform(v, lambda x: x / n))
 
 
+def round_half_away(x: Column, digits: int = 6) -> Column:
+    """A double rounded as C and SQL engines do: x * 10^digits to a whole number, halves away from zero, and a zero keeps its sign (F.round goes by decimal digits and drops the sign)."""
+    y = x * F.lit(10.0**digits)
+    whole = F.rint(y)
+    whole = F.when(F.abs(y - whole) == 0.5, y + F.signum(y) * 0.5).otherwise(whole)
+    return F.when(F.abs(y) < float("inf"), whole / F.lit(10.0**digits)).otherwise(x)
+
+
 def rounded(v: Column, digits: int = 6) -> Column:
-    return F.transform(v, lambda x: F.round(x, digits))
+    return F.transform(v, lambda x: round_half_away(x, digits))
 
 
 def linspace(a: Column | float, b: Column | float, n: Column) -> Column:

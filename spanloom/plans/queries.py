@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.functions.vectors import doubles, l2_normalize, norm, rounded
+from spanloom.functions.vectors import doubles, l2_normalize, norm, round_half_away, rounded
 from spanloom.operators import aggregates, chunking, frames, joins, metrics, moments, reports, scoring
 from spanloom.operators import windows as W
 from spanloom.plans import views as V
@@ -23,7 +23,8 @@ def query(f):
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: round_half_away(F.col(c)) if kinds[c] == "double" else F.round(F.col(c), 6) for c in columns})
 
 
 # ---------------------------------------------------------------- windows and series
@@ -207,7 +208,7 @@ for _m, _n in (("mean", "a01_mean"), ("gem", "a02_gem"), ("coherence_mean", "a03
 @query
 def a08_normalize(s, d):
     e = V.table(s, d, "embeddings")
-    return e.select("vec_id", rounded(l2_normalize(doubles(F.col("embedding")))).alias("unit"), F.round(norm(doubles(F.col("embedding"))), 6).alias("norm"))
+    return e.select("vec_id", rounded(l2_normalize(doubles(F.col("embedding")))).alias("unit"), round_half_away(norm(doubles(F.col("embedding")))).alias("norm"))
 
 
 # ---------------------------------------------------------------- scores
@@ -431,7 +432,7 @@ def t32_shorten(s, d):
 @query
 def t02_chunk_prompt(s, d):
     c = V.chunk_scores(s, d).where("video_id = query_id")
-    line = T.interval_line((F.col("chunk_idx") + 1).cast("int"), F.col("start_sec"), F.col("end_sec"), F.round("score", 2))
+    line = T.interval_line((F.col("chunk_idx") + 1).cast("int"), F.col("start_sec"), F.col("end_sec"), round_half_away(F.col("score"), 2))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", line.alias("line")))), lambda x: x["line"])
     return c.groupBy("video_id").agg(F.array_join(lines, "\n").alias("prompt"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.vectors import round_half_away
 from spanloom.operators import aggregates, chunking, scoring
 from spanloom.operators.joins import members
 
@@ -43,13 +44,13 @@ def chunk_embs(spark: SparkSession, sf_dir: str, method: str = "mean") -> DataFr
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, query_id, chunk_idx, start_sec, end_sec, score), scores rounded to six digits."""
     c, m = chunks(spark, sf_dir), meta(spark, sf_dir)
-    s = scoring.max_sim(windows(spark, sf_dir), c, m, queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    s = scoring.max_sim(windows(spark, sf_dir), c, m, queries(spark, sf_dir)).withColumn("score", round_half_away(F.col("score")))
     at = c.join(m, "video_id").select("video_id", "chunk_idx", (F.col("start_frame") / F.col("fps")).alias("start_sec"), (F.col("end_frame") / F.col("fps")).alias("end_sec"))
     return s.join(at, ["video_id", "chunk_idx"])
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.relevance(windows(spark, sf_dir), queries(spark, sf_dir), ["video_id", "w_idx"]).withColumn("score", F.round("score", 6))
+    return scoring.relevance(windows(spark, sf_dir), queries(spark, sf_dir), ["video_id", "w_idx"]).withColumn("score", round_half_away(F.col("score")))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators on tiny tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions.vectors import round_half_away, rounded
 from spanloom.operators import aggregates, frames, joins, metrics, windows
 from spanloom.plans import queries
 from spanloom.sources import loaders
@@ -105,3 +107,14 @@ def test_bracket_reads_running_frames_only(spark):
     right = {(v, t): min((k for u, k, c in grid if u == v and c > t), default=None) for v, t in points}
     assert {(r.video_id, r.t): (r.left_idx, r.right_idx) for r in got.collect()} == {k: (left[k], right[k]) for k in left}
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_rounding_goes_by_the_product_and_keeps_the_sign_of_zero(spark):
+    """As DuckDB's round, sign of zero included; in sums, prompts and vectors."""
+    values = [-3e-7, 3e-7, -0.0, 0.285, 1.005, -0.285, 0.125, -0.125, 2.5e-7, 0.0078125, -0.0078125, 1e300, -1e305, 123456.7890625]
+    df = spark.createDataFrame([(i, x, [x]) for i, x in enumerate(values)], "i int, x double, v array<double>")
+    got = df.select("i", round_half_away(F.col("x"), 2).alias("two"), round_half_away(F.col("x")).alias("six"), rounded(F.col("v"))[0].alias("v")).orderBy("i").collect()
+    want = duckdb.sql("SELECT " + ", ".join(f"round({x!r}::DOUBLE, 2), round({x!r}::DOUBLE, 6)" for x in values)).fetchall()[0]
+    assert [repr(x) for r in got for x in (r.two, r.six)] == [repr(x) for x in want]
+    assert [repr(r.v) for r in got] == [repr(r.six) for r in got]
+    assert [repr(r.x) for r in queries.r6(df, "x").orderBy("i").collect()] == [repr(r.six) for r in got]
